@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from riskmon.llm import mixing
+from riskmon.llm import mixing, rules
 
 
 def queries() -> dict:
     return {
+        "op4_quality_rules": rules.op4_quality_rules,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op4_quality_rules": rules.SQL,
         "op10_mix_sources": mixing.SQL,
     }
