@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from riskmon.llm import mixing, rules
+from riskmon.llm import mixing, pii, rules
 
 
 def queries() -> dict:
     return {
+        "op3_pii": pii.op3_pii,
         "op4_quality_rules": rules.op4_quality_rules,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
