@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from riskmon.llm import mixing, pii, rules
+from riskmon.llm import mixing, packing, pii, rules
 
 
 def queries() -> dict:
     return {
         "op3_pii": pii.op3_pii,
         "op4_quality_rules": rules.op4_quality_rules,
+        "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskmon.session import importable
+
 # Words of every operator of this subpackage: maximal runs of other characters
 # than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,7 +62,7 @@ def let(value: Column, body) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def tasks_for(df: DataFrame, rows_per_task: int, least: int = 1) -> int:
