@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from riskmon.llm import mixing, packing, pii, rules
+from riskmon.llm import mixing, packing, pii, quality, rules, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_pii": pii.op3_pii,
         "op4_quality_rules": rules.op4_quality_rules,
+        "op5_quality_classifier": quality.op5_quality_classifier,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 
