@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskmon.llm import minhash, mixing, packing, pii, quality, rules, toxicity
+from riskmon.llm import minhash, mixing, packing, pii, quality, rules, search, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_pii": pii.op3_pii,
         "op4_quality_rules": rules.op4_quality_rules,
         "op5_quality_classifier": quality.op5_quality_classifier,
+        "op6_exact_top_k": search.op6_exact_top_k,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_mix_sources": mixing.op10_mix_sources,
@@ -20,5 +21,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op4_quality_rules": rules.SQL,
+        "op6_exact_top_k": search.SQL,
         "op10_mix_sources": mixing.SQL,
     }
