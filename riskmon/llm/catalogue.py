@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskmon.llm import minhash, mixing, packing, pii, quality, rules, search, toxicity
+from riskmon.llm import minhash, mixing, packing, pii, quality, rules, search, substrings, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_quality_rules": rules.op4_quality_rules,
         "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_exact_top_k": search.op6_exact_top_k,
+        "op7_substring_dedup": substrings.op7_substring_dedup,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_mix_sources": mixing.op10_mix_sources,
@@ -22,5 +23,6 @@ def oracle_sql() -> dict:
     return {
         "op4_quality_rules": rules.SQL,
         "op6_exact_top_k": search.SQL,
+        "op7_substring_dedup": substrings.SQL,
         "op10_mix_sources": mixing.SQL,
     }
