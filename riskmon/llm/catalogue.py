@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from riskmon.llm import minhash, mixing, packing, pii, quality, rules, search, substrings, toxicity
+from riskmon.llm import minhash, mixing, packing, pii, quality, rules, search, substrings, suffixes, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffixes.op1_suffix_dedup,
         "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
         "op3_pii": pii.op3_pii,
         "op4_quality_rules": rules.op4_quality_rules,
