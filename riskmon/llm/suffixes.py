@@ -79,26 +79,35 @@ def coded_runs(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) ->
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Positions of a text's suffixes in order, by doubling; its symbols above 0 end at distinct zeros.
+    """Positions of a text's suffixes in order, by doubling over those that are still tied.
 
-    `text` holds byte + 1 and a 0 after each context; a 0 counts as smaller than
-    all bytes and than the zeros after it.
+    `text` holds byte + 1 and a 0 after each context; a 0 ends a suffix, and equal
+    suffixes keep the order of their contexts.
     """
     n = len(text)
-    rank = text.astype(np.int64)
+    places = np.arange(n)
     zeros = np.flatnonzero(text == 0)
-    rank[:] = rank + len(zeros)
-    rank[zeros] = np.arange(len(zeros))
-    step = 1
+    left = zeros[np.searchsorted(zeros, places)] - places
+    key = np.zeros(n, np.uint64)
+    for k in range(8):
+        key[: n - k] |= np.where(left[: n - k] > k, text[k:], 0).astype(np.uint64) << np.uint64(56 - 8 * k)
+    order = np.argsort(key)
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    rank = np.empty(n, np.int64)
+    tied, step = places, 8
     while True:
-        key = rank * (rank.max() + 2)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key)
-        sorted_ = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(sorted_[1:] != sorted_[:-1])))
-        if rank[order[-1]] == n - 1:
+        # A rank is the first place of its group of ties, so settled ranks stay as they are.
+        group = np.maximum.accumulate(np.where(new, tied, 0))
+        rank[order[tied]] = group
+        tied = tied[~(new & np.concatenate((new[1:], [True])))]
+        if not len(tied):
             return order
+        at = order[tied]
+        key = rank[at] * np.int64(n) + np.where(left[at] < step, at, rank[np.minimum(at + step, n - 1)])
+        dealt = np.argsort(key)
+        order[tied] = at[dealt]
+        key = key[dealt]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
         step *= 2
 
 
@@ -118,7 +127,7 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int)
     deals them stably by symbol, which interleaves the shards one symbol deeper.
     """
     first = np.cumsum([0] + [len(s[1]) for s in shards[:-1]])
-    symbols = np.concatenate([s[1] for s in shards]).astype(np.uint16)
+    symbols = np.concatenate([s[1] for s in shards])
     back = np.concatenate([s[2] + at for s, at in zip(shards, first)])
     entries, block = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
     for _ in range(length):
@@ -144,10 +153,10 @@ def repeated_windows(contexts: list[bytes], length: int, shard_bytes: int = SHAR
             end += 1
         sizes = np.array([len(c) + 1 for c in contexts[at:end]])
         last = np.cumsum(sizes) - 1
-        text = np.zeros(last[-1] + 1, np.int16)
+        text = np.zeros(last[-1] + 1, np.uint8)
         inside = np.ones(len(text), bool)
         inside[last] = False
-        text[inside] = np.frombuffer(b"".join(contexts[at:end]), np.uint8).astype(np.int16) + 1
+        text[inside] = np.frombuffer(b"".join(contexts[at:end]), np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
         shards.append(transform(text))
         starts.append(np.repeat(last - sizes + 1, sizes))
         owners.append(np.repeat(np.arange(at, end), sizes))
