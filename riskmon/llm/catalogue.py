@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from riskmon.llm import minhash, mixing, packing, pii, quality, rules, search, substrings, suffixes, toxicity
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_suffix_dedup": suffixes.op1_suffix_dedup,
         "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
         "op3_pii": pii.op3_pii,

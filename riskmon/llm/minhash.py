@@ -13,6 +13,7 @@ links than join them. So no group is expanded into its pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ SHINGLE, BANDS, ROWS = 5, 20, 4
 COORDINATES = BANDS * ROWS
 # A link needs 100 x intersection >= PERCENT x union.
 PERCENT = 85
-# Open buckets with more members are compared in blocks of about BLOCK classes.
-SMALL, BLOCK = 32, 256
+# Open buckets with more members are compared in blocks of about so many classes and shingles.
+SMALL, BLOCK, BLOCK_SHINGLES = 32, 512, 1 << 20
 SLICE = 1 << 15
 
 
@@ -246,28 +247,37 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def compare_blocks(many: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links within the groups that large open buckets tie together, every pair of blocks in a task of its own."""
+    """Links within the groups that large open buckets tie together, every pair of blocks in a task of its own.
+
+    Sets can be linked only if their sizes are of one level or of two neighbouring ones.
+    """
     groups = components(many.select(F.col("head.class_id").alias("a"), F.col("class_id").alias("b")).distinct())
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = groups.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    sizes = many.select(F.col("class_id").alias("id"), F.col("n_shingles").alias("size")).distinct()
+    level = F.floor(F.log("size") / (-1.001 * math.log(percent / 100)))
+    dealt = groups.join(sizes, "id").withColumn("level", level).withColumn("pair", F.explode(F.array(F.col("level") - 1, F.col("level"))))
+    counts = dealt.groupBy("component", "pair").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("blocks")
+    )
+    dealt = dealt.join(counts, ["component", "pair"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     rows = dealt.select(
-        "component", "id", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
+        "component", "pair", "level", "id", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
     ).join(texts, "id")
 
     def compared(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sets = list(shingle_sets([(t or "").encode() for t in pdf["text"]]))
         both, n = common_counts(sets), np.array([len(s) for s in sets], np.float64)
         linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-        own = pdf["own"].to_numpy()
-        linked &= (own[:, None] <= own[None, :]) if key[1] == key[2] else (own[:, None] < own[None, :])
+        own, lower = pdf["own"].to_numpy(), pdf["level"].to_numpy() == key[1]
+        linked &= (own[:, None] <= own[None, :]) if key[2] == key[3] else (own[:, None] < own[None, :])
+        linked &= lower[:, None] | lower[None, :]
         i, j = np.nonzero(linked & (both > 0))
         ids = pdf["id"].to_numpy()
         out = joining(len(ids), [(x, y) for x, y in zip(i.tolist(), j.tolist()) if x != y])
         return pd.DataFrame({"a": [ids[x] for x, _ in out], "b": [ids[y] for _, y in out]}, dtype="int64")
 
-    return rows.groupBy("component", "lo", "hi").applyInPandas(compared, "a long, b long")
+    return rows.groupBy("component", "pair", "lo", "hi").applyInPandas(compared, "a long, b long")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,8 @@ FEATURES = (
 )
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the features of each document; a null text counts as empty."""
+def statistics(docs: DataFrame, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, the columns `extra` and the features of each document; a null text counts as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     of_words = let(
         words_of(F.col("text")),
@@ -42,7 +42,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.trim(line)) > 0)
     of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("different")))
     counted = docs.select(
-        "doc_id", of_words.alias("w"), of_lines.alias("l"),
+        "doc_id", *extra, of_words.alias("w"), of_lines.alias("l"),
         *[F.regexp_count(text, F.lit(p)).alias(n) for n, p in (("sym", "[#*$%&<>]"), ("exc", "!"), ("bar", r"\|"), ("cap", "[A-ZÀ-ÖØ-Þ]"), ("dig", "[0-9]"))],
     )
     words, lined = F.greatest(F.col("w.n"), F.lit(1)), F.greatest(F.col("l.n"), F.lit(1))
@@ -60,7 +60,8 @@ def statistics(docs: DataFrame) -> DataFrame:
         "line_words": F.log1p(F.col("w.n") / lined),
         "duplicate_lines": 1 - F.col("l.different") / lined,
     }
-    return counted.select("doc_id", *[values[f].cast("double").alias(f) for f in FEATURES])
+    others = [c for c in counted.columns if c not in ("w", "l", "sym", "exc", "bar", "cap", "dig")]
+    return counted.select(*others, *[values[f].cast("double").alias(f) for f in FEATURES])
 
 
 Test = tuple[int, str, float]
@@ -102,7 +103,7 @@ class RuleEnsemble:
         return [f"{w:+.3f} if " + " and ".join(f"{FEATURES[f]} {s} {b:.4g}" for f, s, b in rule) for rule, w in self.weighted]
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> RuleEnsemble:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> RuleEnsemble:
     """Fit on a sample of at most `sample_rows` labelled rows, chosen by hash of their id.
 
     Rows without a label play no part. With one class only, the score is that
@@ -110,7 +111,8 @@ def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """
     sample = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("double").alias("label"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    train = materialize(stats.join(F.broadcast(sample), "doc_id"), "quality-train")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    train = materialize(statistics(labelled, (F.col("label"),)), "quality-train")
     n, ones = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if ones in (0, n):
         share = (ones + 0.5) / (n + 1.0)
@@ -128,15 +130,16 @@ def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return RuleEnsemble(float(model.intercept), [(r, float(w)) for r, w in zip(rules, weights) if abs(w) > 1e-4])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row per input row: doc_id and `score`, the estimate that its quality label is 1.
+def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keep_rows: bool = False) -> DataFrame:
+    """One row per input row: doc_id, `score`, the estimate that its quality label is 1, and the features.
 
     `labels` holds doc_id and label, and only rows that may be learned from. Null
     and empty texts are scored by their statistics like others; repeated rows get
-    equal scores; other columns play no part; an empty table gives no row.
+    equal scores; other columns play no part; an empty table gives no row. With
+    `keep_rows` the input row comes along as the struct ``row``.
     """
-    stats = materialize(statistics(docs), "quality")
-    return stats.withColumn("score", fit(stats, labels, sample_rows).score()).select("doc_id", "score", *FEATURES)
+    row = (F.struct(*[docs[c] for c in docs.columns]).alias("row"),) if keep_rows else ()
+    return statistics(docs, row).withColumn("score", fit(docs, labels, sample_rows).score())
 
 
 def fold(modulus: int) -> Column:
