@@ -43,15 +43,18 @@ def source_targets(sized: DataFrame, share: float, weights: tuple, most: float)
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     ranked = per.withColumn("w", F.element_at(cycle, ((F.row_number().over(listed) - 1) % len(weights) + 1).cast("int")))
     ranked = ranked.withColumn("cap", F.lit(most) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("w"))
-    before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
+    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     filled = (
         ranked.withColumn("caps", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("used", F.coalesce(F.sum("w").over(before), F.lit(0.0)))
         .withColumn("budget", F.least(F.lit(share) * F.sum("source_size").over(every), F.sum("cap").over(every)))
+        .withColumn("place", F.row_number().over(by_ratio))
         .withColumn("level", (F.col("budget") - F.col("caps")) / (F.sum("w").over(every) - F.col("used")))
     )
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every)
+    # The first source in this order that its own level does not lift above its cap sets the level of all.
+    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(every)["level"]
     return filled.select("source", "source_size", F.least(F.col("cap"), F.coalesce(level, F.col("ratio")) * F.col("w")).alias("target"))
 
 
@@ -129,7 +132,7 @@ r AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WH
 c AS (SELECT *, 2.0::DOUBLE * ssize AS cap, 2.0::DOUBLE * ssize / w AS ratio FROM r),
 f AS (SELECT *, (least(1.5::DOUBLE * sum(ssize) OVER (), sum(cap) OVER ()) - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lev
       FROM c WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, ssize, least(cap, coalesce((SELECT min(lev) FROM f WHERE lev <= ratio), ratio) * w) AS target FROM f),
+t AS (SELECT source, ssize, least(cap, coalesce((SELECT lev FROM f WHERE lev <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1), ratio) * w) AS target FROM f),
 e AS (SELECT *, CASE WHEN ssize > 0 THEN floor(target / ssize + 1e-9) ELSE 0 END AS epochs FROM t),
 x AS (SELECT d.*, e.ssize, e.target, e.epochs, e.target - e.epochs * e.ssize AS rest,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto
