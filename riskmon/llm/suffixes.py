@@ -4,10 +4,10 @@ Only text around recurring anchors can hold a repeated string, so first the
 contexts of such anchors are gathered, equal ones once. Contexts that share
 anchors are dealt into buckets; a bucket's contexts are split into shards, each
 shard's suffixes are sorted once, and its Burrows-Wheeler transform is kept. The
-transforms are merged by refining their interleave symbol by symbol: after round
-k it is sorted by the first k bytes, and neighbours that a round tells apart
-have k - 1 bytes in common. Entries that stand alone leave. The intervals left
-after `length` rounds are the repeated strings.
+transforms are merged by refining their interleave two symbols a round: after k
+rounds it is sorted by the first 2k bytes, and neighbours that a round tells
+apart have fewer in common. Entries that stand alone leave. The intervals left
+at `length` bytes are the repeated strings.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from riskmon.llm.common import discard, documents, materialize
 from riskmon.llm.words import BYTE_CODE
 
 LENGTH, GRAM = 100, 32
-SHARD_BYTES, BUCKET_BYTES = 1 << 19, 1 << 22
+SHARD_BYTES, BUCKET_BYTES = 1 << 17, 1 << 21
 # An anchor with more different contexts is resolved window by window instead.
-MOST_CONTEXTS = 2000
+MOST_CONTEXTS = 16_000
 LAST = 2**63 - 1
 # A run's place as one number: first window, extra windows (under 128), text hash.
 PLACE = "doc long, anchor long, context long, place long"
@@ -123,21 +123,31 @@ def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Entries (numbered through all shards) in repeated intervals of `length` symbols, and their interval's number.
 
-    Entries start in shard order; a round replaces each by its predecessor and
-    deals them stably by symbol, which interleaves the shards one symbol deeper.
+    Entries start in shard order; a round replaces each by the entry two places
+    before it in the text and deals them stably by these two symbols, which
+    interleaves the shards two symbols deeper. Entries that meet the end of a
+    context or stand alone leave.
     """
     first = np.cumsum([0] + [len(s[1]) for s in shards[:-1]])
     symbols = np.concatenate([s[1] for s in shards])
-    back = np.concatenate([s[2] + at for s, at in zip(shards, first)])
-    entries, block = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
-    for _ in range(length):
-        symbol = symbols[entries]
-        dealt = np.argsort(symbol, kind="stable")
-        symbol, block, entries = symbol[dealt], block[dealt], back[entries[dealt]]
-        apart = np.concatenate(([True], (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1]) | (symbol[1:] == 0)))
-        alone = apart & np.concatenate((apart[1:], [True]))
-        block = np.cumsum(apart)[~alone]
-        entries = entries[~alone]
+    back = np.concatenate([s[2] + at for s, at in zip(shards, first)]).astype(np.int32)
+    before = symbols[back]
+    pairs = np.where((symbols == 0) | (before == 0), 0, before.astype(np.uint16) << 8 | symbols).astype(np.uint16)
+    twice = back[back]
+    entries, block = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
+    steps = [(pairs, twice)] * (length // 2) + [(symbols.astype(np.uint16), back)] * (length % 2)
+    for codes, previous in steps:
+        code = codes[entries]
+        inside = code != 0
+        code, block, entries = code[inside], block[inside], previous[entries[inside]]
+        dealt = np.argsort(code, kind="stable")
+        code, block, entries = code[dealt], block[dealt], entries[dealt]
+        apart = np.ones(len(code) + 1, bool)
+        np.not_equal(code[1:], code[:-1], out=apart[1:-1])
+        apart[1:-1] |= block[1:] != block[:-1]
+        shared = ~(apart[:-1] & apart[1:])
+        block = np.cumsum(apart[:-1], dtype=np.int32)[shared]
+        entries = entries[shared]
         if not len(entries):
             break
     return entries, block
