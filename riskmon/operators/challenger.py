@@ -89,7 +89,7 @@ def segment_recall(scores: DataFrame, minimum_positive: int, iterations: int = 3
     segment is resampled from them as a multinomial.
     """
     positive = scores.where("label = 1").groupBy("segment", "value").agg(
-        F.count(F.lit(1)).alias("positives"), F.count_if("champion = 1 and challenger = 0").alias("lost"), F.count_if("champion = 0 and challenger = 1").alias("won")
+        F.count(F.lit(1)).alias("positives"), F.count_if(F.expr("champion = 1 and challenger = 0")).alias("lost"), F.count_if(F.expr("champion = 0 and challenger = 1")).alias("won")
     ).where(F.col("positives") >= minimum_positive)
 
     def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
