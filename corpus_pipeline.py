@@ -12,22 +12,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskmon.llm import minhash, mixing, packing, pii, quality
-from riskmon.llm.common import documents, materialize
-from riskmon.session import importable
+from riskmon.llm.common import documents, materialize, prepared
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.7 or more."""
-    importable(spark)
+    prepared(spark)
     labels = quality.training_labels(spark, sf_dir, "quality", 4, 2)
     return quality.score_quality(docs, labels, keep_rows=True).where("score >= 0.7").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates; rows that repeat an id count once."""
-    importable(spark)
+    prepared(spark)
     dropped = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     first = Window.partitionBy("doc_id").orderBy("text")
@@ -38,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data replaced by its kind; n_chars follows the text."""
-    importable(spark)
+    prepared(spark)
     text = pii.redacted(F.coalesce(F.col("row.text"), F.lit("")), F.col("spans"))
     clean = pii.detect(docs, keep_rows=True).select("row", F.when(F.col("row.text").isNotNull(), text).alias("clean"))
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
@@ -47,14 +46,14 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    importable(spark)
+    prepared(spark)
     mixed = mixing.mix_sources(docs, keep_rows=True)
     return mixed.where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their place in sequences of 1024 tokens."""
-    importable(spark)
+    prepared(spark)
     return packing.pack_documents(docs)
 
 

@@ -13,6 +13,8 @@ from riskmon.session import importable
 # Words of every operator of this subpackage: maximal runs of other characters
 # than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+# Rows of one Arrow batch between the JVM and a Python worker.
+BATCH_ROWS = 1000
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -61,8 +63,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches small enough for rows of long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return importable(spark)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importable(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def tasks_for(df: DataFrame, rows_per_task: int, least: int = 1) -> int:

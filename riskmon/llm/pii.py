@@ -248,7 +248,7 @@ def detect(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
     other columns play no part; an empty table gives no row. The reliabilities
     are estimated from the candidates of all documents.
     """
-    stored = materialize(candidates(docs, keep_rows), "pii")
+    stored = materialize(candidates(docs, False), "pii")
     votes_of = [F.col(f"x.{name}") for name in LABELERS]
     counted = stored.select(F.explode("spans").alias("x")).groupBy(*votes_of).agg(F.count(F.lit(1)).alias("n")).collect()
     patterns = sorted((tuple(r[name] for name in LABELERS), float(r["n"])) for r in counted)
@@ -272,7 +272,8 @@ def detect(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
         return F.struct(rank.alias("rank"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["base"].alias("base"))
 
     chosen = F.sort_array(F.transform(F.filter("spans", accepted), placed))
-    return stored.select("doc_id", chosen.alias("spans"), *(["row"] if keep_rows else []))
+    # Whole rows are scanned again rather than stored with their spans.
+    return (candidates(docs, True) if keep_rows else stored).select("doc_id", chosen.alias("spans"), *(["row"] if keep_rows else []))
 
 
 def listed(spans: Column) -> Column:
