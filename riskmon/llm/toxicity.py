@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,8 @@ def count_forms(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
             for text in pdf["text"]:
                 got = forms(text)
                 seen.update(got & only if only is not None else got)
-            yield pd.DataFrame({"form": list(seen), "n": np.fromiter(seen.values(), "int64", len(seen))})
+            if seen:
+                yield pd.DataFrame({"form": list(seen), "n": np.fromiter(seen.values(), "int64", len(seen))})
 
     return rows.select("text").mapInPandas(counted, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
 
@@ -177,12 +179,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     lexicon, weights = fit(docs, labels, sample_rows, voters)
     votes = Votes(lexicon)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            total = np.array([weights[-1] + sum(weights[i] for i in votes.of(t)) for t in pdf["text"]], np.float64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 1 / (1 + np.exp(-np.clip(total, -30, 30)))})
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.array([weights[-1] + sum(weights[i] for i in votes.of(t)) for t in batch.column(1).to_pylist()], np.float64)
+            score = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(scored, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id long, score double")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
