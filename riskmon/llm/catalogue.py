@@ -24,6 +24,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_suffix_dedup": suffixes.SQL,
+        "op2_minhash_near_dedup": minhash.SQL,
         "op4_quality_rules": rules.SQL,
         "op6_exact_top_k": search.SQL,
         "op7_substring_dedup": substrings.SQL,

@@ -296,3 +296,19 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(documents(spark, sf_dir))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 200)) AS w FROM (SELECT doc_id, h, unnest(range(1, greatest(len(h) // 2 - 98, 1))) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
+o AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
+m AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR before + 100 < i THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM o),
+x AS (SELECT doc_id, min(i) AS first, max(i) + 99 AS last FROM m GROUP BY doc_id, span),
+p AS (SELECT doc_id, first, last, lag(last, 1, 0) OVER (PARTITION BY doc_id ORDER BY first) AS after FROM x),
+k AS (SELECT d.doc_id, sum(last - first + 1) AS gone, count(*) AS spans, max(last) AS final, string_agg(substr(h, 2 * after + 1, 2 * (first - 1 - after)), '' ORDER BY first) AS head
+      FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(final, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
