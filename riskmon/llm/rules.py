@@ -20,7 +20,7 @@ RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 10"),
     ("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     ("symbols", "100 * n_symbols > 30 * n_words"),
-    ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("duplicate_lines", "n_dup_lines >= 3 and 100 * n_dup_lines > 30 * n_lines"),
     ("long_words", "word_chars > 25 * n_words"),
     ("short_words", "word_chars < 2 * n_words"),
     ("exclamations", "100 * n_exclaims > 30 * n_words"),
@@ -164,7 +164,7 @@ m AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to
       FROM w JOIN l ON l.r = w.r LEFT JOIN q ON q.r = w.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 30 * n_lines
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 30 * n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)
             OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR 100 * n_exclaims > 30 * n_words) AS kept
 FROM m
 """
