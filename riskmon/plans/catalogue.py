@@ -51,6 +51,7 @@ def contract_validation(spark: SparkSession, d: str) -> DataFrame:
 
 def one_to_one_join(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    labels = labels.withColumns({c: F.col(c).cast("double") for c in ("quality", "toxic")})
     return ingest.join_one_to_one(docs.select("doc_id", "source", "n_chars"), labels, "doc_id")
 
 
@@ -96,7 +97,7 @@ def union_batches(spark: SparkSession, d: str) -> DataFrame:
     made = batches(labelled(spark, d)).select(F.format_string("production_%03d", "batch").alias("batch_id"), "score", "label")
     late = shadow_rows(spark, d).select(F.format_string("shadow_%03d", "shadow_batch").alias("batch_id"), "score")
     return rounded(made.unionByName(late, allowMissingColumns=True).groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives"), F.avg("score").alias("score_mean")
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("label").cast("double")).alias("positives"), F.avg("score").alias("score_mean")
     ))
 
 
@@ -313,7 +314,7 @@ def segment_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segment_metrics_pooled(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(segment_rows(spark, d))
+    return rounded(segment_rows(spark, d).withColumns({c: F.col(c).cast("double") for c in ("false_positive", "false_negative")}))
 
 
 def top_segments(spark: SparkSession, d: str) -> DataFrame:

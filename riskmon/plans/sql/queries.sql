@@ -37,7 +37,7 @@ UNION ALL
 SELECT 'labels', count(*), count(*) FILTER (WHERE doc_id IS NULL), count(doc_id) - count(DISTINCT doc_id), count(*) FILTER (WHERE toxic IS NULL OR toxic NOT IN (0, 1)) FROM labels
 
 -- view joined
-SELECT d.doc_id, source, n_chars, quality, toxic, l.doc_id IS NOT NULL AS identity_available FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+SELECT d.doc_id, source, n_chars, CAST(quality AS DOUBLE) AS quality, CAST(toxic AS DOUBLE) AS toxic, l.doc_id IS NOT NULL AS identity_available FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 
 -- query one_to_one_join
 SELECT * FROM joined
@@ -68,7 +68,7 @@ FROM lab, (SELECT unnest([3, 4, 5]) AS k) WHERE development_block <= k GROUP BY
 SELECT shadow_batch, count(*) AS rows, round(avg(score), 6) AS score_mean FROM shadow GROUP BY shadow_batch
 
 -- query union_batches
-SELECT batch_id, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives, round(avg(score), 6) AS score_mean
+SELECT batch_id, count(*) AS rows, CAST(sum(label) AS DOUBLE) AS positives, round(avg(score), 6) AS score_mean
 FROM (SELECT 'production_' || lpad(CAST(batch AS VARCHAR), 3, '0') AS batch_id, score, label FROM prod
       UNION ALL SELECT 'shadow_' || lpad(CAST(shadow_batch AS VARCHAR), 3, '0'), score, NULL FROM shadow) GROUP BY batch_id
 
@@ -325,7 +325,7 @@ FROM (SELECT n.batch, n.segment, n.value, pool, n.rows + CASE WHEN pool THEN coa
 -- query segment_metrics_pooled
 SELECT batch, segment, value, window_batches, rows, CAST(positives AS BIGINT) AS positives, CAST(negatives AS BIGINT) AS negatives, CASE WHEN enough THEN 'reported' ELSE 'suppressed' END AS status,
        CASE WHEN enough THEN round(positives / rows, 6) END AS prevalence, CASE WHEN enough THEN round(coalesce(tp / nullif(tp + fp, 0), 0), 6) END AS precision,
-       CASE WHEN enough THEN round(coalesce(tp / nullif(tp + fn, 0), 0), 6) END AS recall, CASE WHEN enough THEN fp END AS false_positive, CASE WHEN enough THEN fn END AS false_negative,
+       CASE WHEN enough THEN round(coalesce(tp / nullif(tp + fn, 0), 0), 6) END AS recall, CASE WHEN enough THEN CAST(fp AS DOUBLE) END AS false_positive, CASE WHEN enough THEN CAST(fn AS DOUBLE) END AS false_negative,
        CASE WHEN enough AND fa > 0 THEN round(ca / fa, 6) END AS captured_rate FROM seg
 
 -- view topseg
