@@ -30,50 +30,63 @@ def windows(df: DataFrame, delay: int, label: str = "label") -> DataFrame:
     return mature.select("batch", "rows", "positives", role.alias("role"))
 
 
-def average_precision(y: np.ndarray, p: np.ndarray) -> float:
+def average_precision(y: np.ndarray, p: np.ndarray, n: np.ndarray | None = None) -> float:
+    """Of rows that occur n times each."""
+    n = np.ones(len(y), np.int64) if n is None else n
     order = np.argsort(-p, kind="stable")
-    y, p = y[order], p[order]
+    y, p, n = y[order], p[order], n[order]
     last = np.flatnonzero(np.append(p[1:] != p[:-1], True))
-    hits = np.cumsum(y)[last]
-    return float((np.diff(np.append(0, hits)) * hits / (last + 1)).sum() / y.sum()) if y.sum() else float("nan")
+    hits, seen = np.cumsum(y * n)[last], np.cumsum(n)[last]
+    whole = (y * n).sum()
+    return float((np.diff(np.append(0, hits)) * hits / np.maximum(seen, 1)).sum() / whole) if whole else float("nan")
 
 
-def recall(y: np.ndarray, decided: np.ndarray) -> float:
-    return float((decided * y).sum() / y.sum()) if y.sum() else float("nan")
+def recall(y: np.ndarray, decided: np.ndarray, n: np.ndarray | None = None) -> float:
+    n = np.ones(len(y), np.int64) if n is None else n
+    return float((decided * y * n).sum() / (y * n).sum()) if (y * n).sum() else float("nan")
 
 
-Metric = Callable[[np.ndarray, np.ndarray], float]
+Metric = Callable[[np.ndarray, np.ndarray, np.ndarray], float]
 
 
-def paired_difference(scores: DataFrame, metric: Metric, iterations: int = 500, level: float = 0.95, seed: int = 42) -> tuple[float, float, float] | None:
+def paired_difference(scores: DataFrame, metric: Metric, iterations: int = 500, level: float = 0.95, seed: int = 42, most_triples: int = 200_000) -> tuple[float, float, float] | None:
     """(difference, lower, upper) of metric(challenger) - metric(champion) under stratified resampling.
 
     `scores` holds label, champion and challenger of an evaluation window. Rows
-    are counted per distinct triple first; the iterations are spread over tasks.
-    None for a single class.
+    are counted per distinct triple first, and scores are rounded to fewer places
+    until there are at most `most_triples`, so that what reaches the driver and
+    the tasks is bounded; the iterations are spread over tasks. None for a single
+    class.
     """
     spark = scores.sparkSession
-    counts = scores.groupBy("label", "champion", "challenger").agg(F.count(F.lit(1)).alias("n")).orderBy("label", "champion", "challenger").toPandas()
-    y = np.repeat(counts["label"].to_numpy(int), counts["n"])
-    a, b = (np.repeat(counts[c].to_numpy(float), counts["n"]) for c in ("champion", "challenger"))
+    for places in (None, 6, 5, 4, 3, 2):
+        held = scores if places is None else scores.withColumns({c: F.round(c, places) for c in ("champion", "challenger")})
+        groups = held.groupBy("label", "champion", "challenger").agg(F.count(F.lit(1)).alias("n"))
+        if groups.limit(most_triples + 1).count() <= most_triples:
+            break
+    counts = groups.orderBy("label", "champion", "challenger").toPandas()
+    y, n = counts["label"].to_numpy(int), counts["n"].to_numpy()
+    a, b = (counts[c].to_numpy(float) for c in ("champion", "challenger"))
     if len(set(y.tolist())) < 2:
         return None
-    shared = spark.sparkContext.broadcast((y, a, b))
+    shared = spark.sparkContext.broadcast((y, a, b, n))
 
     def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        y, a, b = shared.value
+        y, a, b, n = shared.value
         classes = [np.flatnonzero(y == c) for c in (0, 1)]
         for pdf in batches:
             out = []
             for i in pdf["id"]:
                 rng = np.random.default_rng([seed, int(i)])
-                at = np.concatenate([rng.choice(c, len(c)) for c in classes])
-                out.append(metric(y[at], b[at]) - metric(y[at], a[at]))
+                drawn = np.zeros(len(y), np.int64)
+                for c in classes:
+                    drawn[c] = rng.multinomial(n[c].sum(), n[c] / n[c].sum())
+                out.append(metric(y, b, drawn) - metric(y, a, drawn))
             yield pd.DataFrame({"d": out})
 
     found = spark.range(iterations).mapInPandas(resample, "d double").where(~F.isnan("d"))
     low, high = found.agg(F.percentile("d", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))).first()[0]
-    return metric(y, b) - metric(y, a), low, high
+    return metric(y, b, n) - metric(y, a, n), low, high
 
 
 def decide(pr_auc: tuple[float, float, float] | None, recall_difference: tuple[float, float, float] | None, regressions: int) -> bool:

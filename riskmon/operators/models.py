@@ -144,5 +144,5 @@ def bootstrap_interval(scores: DataFrame, metric, iterations: int = 500, level:
     from riskmon.operators.challenger import paired_difference
 
     both = scores.select("label", F.lit(0.0).alias("champion"), F.col("score").alias("challenger"))
-    found = paired_difference(both, lambda y, p: 0.0 if not p.any() else metric(y, p), iterations, level, seed)
+    found = paired_difference(both, lambda y, p, n: metric(y, p, n) if p.any() else 0.0, iterations, level, seed)
     return None if found is None else found[1:]
