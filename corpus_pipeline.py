@@ -28,11 +28,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the smallest id of each group of near-duplicates; rows that repeat an id count once."""
     prepared(spark)
     dropped = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    again = docs.join(repeated, "doc_id", "left_semi").withColumn("__place", F.row_number().over(first)).where("__place = 1").drop("__place")
-    once = docs.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(again.select(*docs.columns)).join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    once = docs
+    repeated = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        # Only then are the texts dealt out by id to keep one row of each.
+        first = Window.partitionBy("doc_id").orderBy("text")
+        again = docs.join(repeated, "doc_id", "left_semi").withColumn("__place", F.row_number().over(first)).where("__place = 1")
+        once = docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+    return once.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
