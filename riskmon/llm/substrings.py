@@ -29,9 +29,11 @@ RUN = "doc long, th long, anchor long, context long, lo long, hi long"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc, th, text): the id, null as the largest, and a hash that tells rows of one id apart."""
+    """(doc, th, text): the id, null as the largest, and 16 bits of text hash that tell rows of one id apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(65535)).alias("th"), text.alias("text")
+    )
 
 
 def fingerprints(rows: DataFrame, length: int, gram: int) -> DataFrame:
