@@ -4,7 +4,8 @@ Documents arrive in batches by rising id. The index is a list of immutable runs,
 each sorted by anchor hash, that hold where a window context first occurred. A
 new batch is merge-joined with every run. A context that is known as a whole
 marks all its windows; contexts that share only an anchor are verified window by
-window on the texts. The batch then becomes a run itself, and runs are compacted
+window on the texts, and what is found in a context's first place holds in all
+its places of that id. The batch then becomes a run itself, and runs are compacted
 into one when there are too many.
 """
 
@@ -55,7 +56,7 @@ def fingerprints(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def verified(places: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """Hashes of all windows of the places (doc, th, anchor, lo, hi), from the texts."""
+    """Hashes of all windows of the places (doc, th, anchor, lo, hi), from the texts; `at` is lo x length + offset."""
     wanted = places.groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("p"))
     joined = wanted.join(rows, ["doc", "th"]).select("doc", "th", "text", "p.anchor", "p.lo", "p.hi")
 
@@ -69,8 +70,9 @@ def verified(places: DataFrame, rows: DataFrame, length: int) -> DataFrame:
                 at = np.repeat(lo - np.concatenate(([0], np.cumsum(each)[:-1])), each) + np.arange(each.sum())
                 got = span_hashes(sums, at, at + length).view(np.int64)
                 anchor = np.repeat(np.array(row["anchor"], np.int64), each)
+                place = np.repeat(lo, each) * (length - 1) + at
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), row[k], np.int64)) for k in ("doc", "th")] + [pa.array(x) for x in (anchor, got, at)],
+                    [pa.array(np.full(len(at), row[k], np.int64)) for k in ("doc", "th")] + [pa.array(x) for x in (anchor, got, place)],
                     names=["doc", "th", "anchor", "window", "at"],
                 )
 
@@ -98,17 +100,26 @@ class FingerprintIndex:
         new = self.sorted_run(got)
         known = reduce(DataFrame.unionByName, [run.join(new.select("anchor").distinct(), "anchor", "left_semi") for run in self.runs], new)
         first = materialize(known.groupBy("anchor", "context").agg(F.min("first").alias("first")), "first")
-        whole = got.join(first, ["anchor", "context"]).where("doc > first.doc").select("doc", "th", "lo", "hi")
+        other = F.expr("doc > first.doc or th <> first.th or lo <> first.lo")
+        places = got.join(first, ["anchor", "context"]).where(other).select("doc", "th", "lo", "hi", F.expr("if(doc = first.doc, first, null)").alias("same"))
+        again = materialize(places, "again")
+        whole = again.where("same is null").select("doc", "th", "lo", "hi")
         shared = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("first.doc").alias("a"), F.max("first.doc").alias("b")).where("n > 1 and a < b")
         places = first.join(shared.select("anchor"), "anchor").select("first.doc", "first.th", "anchor", "first.lo", "first.hi")
         windows = materialize(verified(places, history, self.length), "windows")
         earliest = windows.groupBy("anchor", "window").agg(F.min("doc").alias("earliest"))
-        single = windows.join(earliest, ["anchor", "window"]).where("doc > earliest").select("doc", "th", F.col("at").alias("lo"), F.col("at").alias("hi"))
+        found = windows.join(earliest, ["anchor", "window"]).where("doc > earliest")
+        single = materialize(found.selectExpr("doc", "th", f"at div {self.length} as lo", f"at % {self.length} as offset"), "single")
+        # What is repeated in a context's first place is so in all its places of that id.
+        offsets = single.groupBy("doc", F.col("th").alias("first_th"), F.col("lo").alias("first_lo")).agg(F.collect_set("offset").alias("offsets"))
+        within = again.where("same is not null").select("doc", "th", "lo", F.col("same.th").alias("first_th"), F.col("same.lo").alias("first_lo"))
+        copied = within.join(offsets, ["doc", "first_th", "first_lo"]).select("doc", "th", "lo", F.explode("offsets").alias("offset"))
+        each = single.unionByName(copied).select("doc", "th", (F.col("lo") + F.col("offset")).alias("lo"))
         self.runs.append(new)
         if len(self.runs) > self.fan_in:
             merged = reduce(DataFrame.unionByName, self.runs).select("anchor", "context", "first.*")
             self.runs = [self.sorted_run(merged)]
-        return whole.unionByName(single)
+        return whole.unionByName(each.withColumn("hi", F.col("lo")))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
