@@ -48,8 +48,10 @@ def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> Iterator[np.ndar
 
 
 def second_permutation(x: np.ndarray) -> np.ndarray:
+    """Two multiplies: after one alone, neighbouring shifts order small sets much alike."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ (x >> np.uint64(29))
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -71,6 +73,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def band_hashes(rows: np.ndarray) -> np.ndarray:
+    """One row of BANDS hashes per signature."""
+    mixed = mix(rows).reshape(len(rows), BANDS, ROWS)
+    return mix((mixed * PLACE_CODE[:ROWS]).sum(axis=2, dtype=np.uint64))
+
+
 def lists(matrix: np.ndarray) -> pa.ListArray:
     bounds = np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(matrix.ravel()))
@@ -87,9 +95,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = list(shingle_sets([(t or "").encode() for t in part.column(1).to_pylist()]))
-                rows = signatures(sets)
-                mixed = mix(rows).reshape(len(sets), BANDS, ROWS)
-                bands = mix((mixed * PLACE_CODE[:ROWS]).sum(axis=2, dtype=np.uint64)).view(np.int64)
+                bands = band_hashes(signatures(sets)).view(np.int64)
                 sums = [
                     np.array([mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                     for salt in (0x5BD1E995, 0xC2B2AE3D27D4EB4F)
