@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from riskmon.llm import minhash, mixing, packing, pii, quality
 from riskmon.llm.common import documents, materialize, prepared
 
+# Percent of similarity from which the near-duplicate stage takes two documents for one.
+SIMILAR = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -24,18 +27,35 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality.score_quality(docs, labels, keep_rows=True).where("score >= 0.7").select("row.*")
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """docs with `__key`: the id, or for each row without one a number above all ids."""
+    known = docs.withColumn("__key", F.col("doc_id").cast("long"))
+    without = docs.where("doc_id is null")
+    if without.isEmpty():
+        return known
+    # Stored, since the numbers must be the same in every plan.
+    numbered = materialize(without.withColumn("__key", F.monotonically_increasing_id()), "without-id")
+    most = docs.agg(F.coalesce(F.max("doc_id").cast("long"), F.lit(-1))).first()[0]
+    return known.where("doc_id is not null").unionByName(numbered.withColumn("__key", F.col("__key") + F.lit(most + 1)))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; rows that repeat an id count once."""
+    """The document with the smallest id of each group of near-duplicates, of similarity 0.8 or more.
+
+    Rows that repeat an id count once; rows without an id are documents of their own, after all others.
+    """
     prepared(spark)
-    dropped = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    once = docs
-    repeated = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    keyed = row_keys(docs)
+    judged = minhash.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), SIMILAR)
+    dropped = judged.where("not kept").select(F.col("doc_id").alias("__key")).distinct()
+    once = keyed
+    repeated = materialize(keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key"), "repeated")
     if not repeated.isEmpty():
         # Only then are the texts dealt out by id to keep one row of each.
-        first = Window.partitionBy("doc_id").orderBy("text")
-        again = docs.join(repeated, "doc_id", "left_semi").withColumn("__place", F.row_number().over(first)).where("__place = 1")
-        once = docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
-    return once.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+        first = Window.partitionBy("__key").orderBy("text")
+        again = keyed.join(repeated, "__key", "left_semi").withColumn("__place", F.row_number().over(first)).where("__place = 1")
+        once = keyed.join(repeated, "__key", "left_anti").select(*keyed.columns).unionByName(again.select(*keyed.columns))
+    return once.join(dropped, "__key", "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
