@@ -13,6 +13,8 @@ from riskmon.session import importable
 # Words of every operator of this subpackage: maximal runs of other characters
 # than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+# Stands for a missing id.
+LAST = 2**63 - 1
 # Rows of one Arrow batch between the JVM and a Python worker.
 BATCH_ROWS = 1000
 SPACES = r"[\x20\x09-\x0D]+"
@@ -75,6 +77,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether several rows share an id; rows without one share the largest."""
+    return not docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).count().where("count > 1").isEmpty()
+
+
+def keyed(docs: DataFrame, hashed: bool = True) -> DataFrame:
+    """(doc, th, text): the id, null as the largest, and a 64-bit text hash that tells rows of one id apart, 0 where no id repeats."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    th = F.xxhash64(text) if hashed else F.lit(0).cast("long")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), th.alias("th"), text.alias("text"))
+
+
 def tasks_for(df: DataFrame, rows_per_task: int, least: int = 1) -> int:
     """Number of groups such that none holds many more than `rows_per_task` rows; grows with the input."""
     return max(least, -(-df.count() // rows_per_task))

@@ -21,22 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmon.llm.anchors import cover, prefix_sums, runs, span_hashes
-from riskmon.llm.common import documents, materialize
+from riskmon.llm.common import LAST, documents, ids_repeat, keyed, materialize
 from riskmon.llm.words import hash_words
 
 LENGTH, GRAM, BATCHES, FAN_IN = 50, 12, 3, 3
-LAST = 2**63 - 1
 RUN = "doc long, th long, anchor long, context long, lo long, hi long"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc, th, text): the id, null as the largest, and 16 bits of text hash that tell rows of one id apart."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(65535)).alias("th"), text.alias("text")
-    )
-
-
 def fingerprints(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """Anchor runs of the words of each text."""
 
@@ -131,7 +122,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     rows without an id come after all others; other columns play no part; an
     empty table gives no row.
     """
-    rows = keyed(docs)
+    rows = keyed(docs, ids_repeat(docs))
     cuts = rows.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     index = FingerprintIndex(length, gram)
     marked, below = [], None

@@ -23,24 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmon.llm.anchors import cover, prefix_sums, runs, span_hashes
-from riskmon.llm.common import discard, documents, materialize
+from riskmon.llm.common import LAST, discard, documents, ids_repeat, keyed, materialize
 from riskmon.llm.words import BYTE_CODE
 
 LENGTH, GRAM = 100, 32
 SHARD_BYTES, BUCKET_BYTES = 1 << 17, 1 << 21
 # An anchor with more different contexts is resolved window by window instead.
 MOST_CONTEXTS = 16_000
-LAST = 2**63 - 1
-# A run's place as one number: first window, extra windows (under 128), text hash.
-PLACE = "doc long, anchor long, context long, place long"
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc, th, text): the id, null as the largest, and 16 bits of text hash that tell rows of one id apart."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(65535)).alias("th"), text.alias("text")
-    )
+# A run's place as one number: first window, extra windows (under 128).
+PLACE = "doc long, th long, anchor long, context long, place long"
 
 
 def fingerprints(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -53,10 +44,10 @@ def fingerprints(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 data = np.frombuffer(b"".join(texts), np.uint8)
                 doc, th = part.column(0).to_numpy(), part.column(1).to_numpy()
                 for own, anchor, context, lo, hi in coded_runs(data, bounds, length, gram):
-                    place = (lo << 23) | ((hi - lo) << 16) | th[own]
+                    place = (lo << 7) | (hi - lo)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (doc[own], anchor.view(np.int64), context.view(np.int64), place)],
-                        names=["doc", "anchor", "context", "place"],
+                        [pa.array(x) for x in (doc[own], th[own], anchor.view(np.int64), context.view(np.int64), place)],
+                        names=["doc", "th", "anchor", "context", "place"],
                     )
 
     return rows.mapInArrow(found, PLACE)
@@ -236,24 +227,31 @@ def single_windows(contexts: DataFrame, length: int) -> DataFrame:
     return windows.join(first, ["anchor", "window"]).where("struct(doc, lo) > first").select("doc", "th", "lo", F.col("lo").alias("hi"))
 
 
-def repeated(rows: DataFrame, length: int, gram: int) -> list[DataFrame]:
+def repeated(rows: DataFrame, length: int, gram: int, shared_ids: bool) -> list[DataFrame]:
     """Ranges of windows (doc, th, lo, hi) whose bytes also start earlier."""
     stored = materialize(fingerprints(rows, length, gram), "prints")
     recurring = stored.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     held = materialize(stored.join(recurring, "anchor"), "recurring")
     discard(stored)
-    first = materialize(held.groupBy("anchor", "context").agg(F.min(F.struct("doc", "place")).alias("first")), "first")
-    ranged = [
-        F.col("place").bitwiseAND(F.lit(65535)).alias("th"), F.shiftright("place", 23).alias("lo"),
-        (F.shiftright("place", 23) + F.shiftright("place", 16).bitwiseAND(F.lit(127))).alias("hi"),
-    ]
-    whole = held.join(first, ["anchor", "context"]).where("struct(doc, place) > first").select("doc", *ranged)
+    first = materialize(held.groupBy("anchor", "context").agg(F.min(F.struct("doc", "place", "th")).alias("first")), "first")
+    lo = F.shiftright("place", 7)
+    ranged = ["th", lo.alias("lo"), (lo + F.col("place").bitwiseAND(F.lit(127))).alias("hi")]
+    placed = held.join(first, ["anchor", "context"])
+    whole = placed.where("struct(doc, place) > struct(first.doc, first.place)").select("doc", *ranged)
     kinds = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     places = first.select("anchor", "first.*").join(kinds, "anchor").select("doc", "anchor", (F.col("n") > MOST_CONTEXTS).alias("many"), *ranged)
     contexts = materialize(cut_out(places, rows, length), "contexts")
     size = contexts.agg(F.coalesce(F.sum(F.when(~F.col("many"), F.length("bytes") + 1)), F.lit(0))).first()[0]
     few = contexts.where("not many")
-    return [whole, merged_windows(few, max(1, -(-size // BUCKET_BYTES)), length), single_windows(contexts.where("many"), length)]
+    found = [merged_windows(few, max(1, -(-size // BUCKET_BYTES)), length), single_windows(contexts.where("many"), length)]
+    if not shared_ids:
+        return [whole, *found]
+    # Other texts of the id may hold a context at its first place too; what was found there holds in them.
+    stored = materialize(reduce(DataFrame.unionByName, found), "found")
+    twins = placed.where("doc = first.doc and place = first.place and th <> first.th").select("doc", F.col("first.th").alias("first_th"), *ranged)
+    twins = twins.select("doc", "th", "first_th", F.explode(F.sequence("lo", "hi")).alias("lo"))
+    copied = twins.join(stored.withColumnRenamed("th", "first_th"), ["doc", "first_th", "lo"]).select("doc", "th", "lo", "hi")
+    return [whole, stored, copied]
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -267,8 +265,9 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     """
     if not gram < length <= gram + 128:
         raise ValueError("length must exceed gram by 1 to 128")
-    rows = keyed(docs)
-    gone = reduce(DataFrame.unionByName, repeated(rows, length, gram))
+    shared_ids = ids_repeat(docs)
+    rows = keyed(docs, shared_ids)
+    gone = reduce(DataFrame.unionByName, repeated(rows, length, gram, shared_ids))
     gone = gone.groupBy("doc", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("w"))
     joined = rows.join(gone, ["doc", "th"], "left").select("doc", "text", F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi"))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from riskmon.llm import substrings
+from riskmon.llm import substrings, suffixes
 from tests.llm.conftest import make, prose
-from tests.llm.test_dedup import brute_words
+from tests.llm.test_dedup import brute_bytes, brute_words
 
 
 def words_match(spark, rows, batches):
@@ -22,3 +22,24 @@ def test_contexts_that_recur_in_their_first_document(spark, batches):
     twice = f"{x} {passage} {x} " * 2
     rows = [(1, line * 6), (2, line * 100), (3, f"{y} {passage} {y}"), (4, twice), (4, "other " + twice)] + [(i, prose(i, 90)) for i in range(5, 12)]
     assert words_match(spark, rows, batches)[:3] == [1000, 120, 120]
+
+
+def crowd(n):
+    """Texts of many lengths without an id, some with a passage of the first document in different places."""
+    passage = prose(41, 60)
+    rows = [(1, prose(42, 5) + " " + passage)]
+    for k in range(n):
+        rows.append((None, f"{prose(k + 1000, 1 + k % 40)} {passage if k % 3 == 0 else ''} {prose(k + 9000, 1 + k % 25)}"))
+    # Two texts that share all but the end, under one id; the middle is also in a smaller document with other text around.
+    start = prose(43, 8)
+    return rows + [(50, f"{start} {passage} {prose(44, 70)}"), (50, f"{start} {passage} {prose(44, 70)} end")]
+
+
+def test_words_of_many_rows_without_an_id(spark):
+    words_match(spark, crowd(3000), 3)
+
+
+def test_bytes_of_many_rows_without_an_id(spark):
+    rows = crowd(3000)
+    got = suffixes.remove_repeated_bytes(make(spark, [(i, t, "s") for i, t in rows])).collect()
+    assert sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got], key=str) == brute_bytes(rows, 100)
