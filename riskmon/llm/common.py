@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,30 +25,28 @@ def scratch_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor share.
 
     The cluster names it in ``spark.checkpoint.dir``. Where that is unset, local
-    masters use the machine's temporary folder and others the warehouse.
+    masters use the machine's temporary folder and others are refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith(("local[", "local")) and "cluster" not in spark.sparkContext.master:
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         return "file://" + tempfile.gettempdir() + "/riskmon-scratch"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/riskmon-scratch"
+    raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep_in: str | None = None) -> DataFrame:
     """Write `df` once to the shared scratch folder and return the stored table.
 
-    This cuts the lineage in a form that survives lost executors; the folder is
-    removed when the application ends.
+    This cuts the lineage in a form that survives lost executors; the table is
+    removed when the application ends, unless a folder to keep it in is given.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    path = f"{keep_in or scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not keep_in:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._scratch_path = path
     return stored
@@ -82,11 +81,34 @@ def ids_repeat(docs: DataFrame) -> bool:
     return not docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).count().where("count > 1").isEmpty()
 
 
-def keyed(docs: DataFrame, hashed: bool = True) -> DataFrame:
-    """(doc, th, text): the id, null as the largest, and a 64-bit text hash that tells rows of one id apart, 0 where no id repeats."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc, th, text, doc_id) and whether ids repeat.
+
+    doc is the id to compare by, a missing one as the largest; th tells rows of one
+    id apart and is 0 where no id repeats.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    th = F.xxhash64(text) if hashed else F.lit(0).cast("long")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), th.alias("th"), text.alias("text"))
+    repeat = ids_repeat(docs)
+    ident = F.col("doc_id").cast("long")
+    number = F.monotonically_increasing_id() if repeat else F.lit(0).cast("long")
+    rows = docs.select(F.coalesce(ident, F.lit(LAST)).alias("doc"), number.alias("th"), text.alias("text"), ident.alias("doc_id"))
+    # Stored where rows are numbered, since every plan must see the same numbers.
+    return (materialize(rows, "keyed") if repeat else rows), repeat
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], parts: int = 1024) -> DataFrame:
+    """Inner join of stored `rows` with a stored `table` that holds each key once and in `n` the number of its rows.
+
+    Keys of more than 1 / `parts` of all rows, fewer than `parts` by count, are joined
+    by broadcast, so that no task gathers the rows of a hot key; the others by shuffle.
+    """
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") > max(total / parts, parts)
+    few = table.where(hot)
+    if few.isEmpty():
+        return rows.join(table, keys)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(table.where(~hot), keys)
+    return rest.unionByName(rows.join(F.broadcast(few), keys))
 
 
 def tasks_for(df: DataFrame, rows_per_task: int, least: int = 1) -> int:

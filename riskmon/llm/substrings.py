@@ -5,8 +5,9 @@ each sorted by anchor hash, that hold where a window context first occurred. A
 new batch is merge-joined with every run. A context that is known as a whole
 marks all its windows; contexts that share only an anchor are verified window by
 window on the texts, and what is found in a context's first place holds in all
-its places of that id. The batch then becomes a run itself, and runs are compacted
-into one when there are too many.
+its places of that id. The batch then becomes a run itself; once there are more
+than `fan_in` runs, the next batch first compacts them into one. Runs may be kept
+in a folder, from where a later job goes on.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmon.llm.anchors import cover, prefix_sums, runs, span_hashes
-from riskmon.llm.common import LAST, documents, ids_repeat, keyed, materialize
+from riskmon.llm.common import LAST, discard, documents, join_counted, keyed, materialize, prepared
 from riskmon.llm.words import hash_words
 
-LENGTH, GRAM, BATCHES, FAN_IN = 50, 12, 3, 3
+LENGTH, GRAM, BATCHES, FAN_IN = 50, 12, 4, 2
 RUN = "doc long, th long, anchor long, context long, lo long, hi long"
 
 
@@ -71,15 +72,44 @@ def verified(places: DataFrame, rows: DataFrame, length: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted runs of (anchor, context) with the first place (doc, th, lo, hi) of each."""
+    """Sorted runs of (anchor, context) with the first place (doc, th, lo, hi) and the number n of places of each."""
 
-    def __init__(self, length: int = LENGTH, gram: int = GRAM, fan_in: int = FAN_IN):
-        self.length, self.gram, self.fan_in = length, gram, fan_in
+    def __init__(self, length: int = LENGTH, gram: int = GRAM, fan_in: int = FAN_IN, folder: str | None = None):
+        self.length, self.gram, self.fan_in, self.folder = length, gram, fan_in, folder
         self.runs: list[DataFrame] = []
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, **parameters: int) -> FingerprintIndex:
+        """The index that earlier jobs left in a folder; its parameters must be the same."""
+        index = cls(folder=folder, **parameters)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in files.listStatus(path) if files.exists(path) else []:
+            run = found.getPath().toString()
+            # A run without the mark of a finished write is left out.
+            if files.exists(spark._jvm.org.apache.hadoop.fs.Path(run + "/_SUCCESS")):
+                index.runs.append(spark.read.parquet(run))
+                index.runs[-1]._scratch_path = run
+        return index
+
     def sorted_run(self, rows: DataFrame) -> DataFrame:
-        first = rows.groupBy("anchor", "context").agg(F.min(F.struct("doc", "th", "lo", "hi")).alias("first"))
-        return materialize(first.sortWithinPartitions("anchor"), "run")
+        """Rows (anchor, context, first, n) as one run, each key once."""
+        once = rows.groupBy("anchor", "context").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+        return materialize(once.sortWithinPartitions("anchor"), "run", self.folder)
+
+    def compact(self) -> None:
+        """One run in place of all; the others go once it is stored."""
+        merged = self.sorted_run(reduce(DataFrame.unionByName, self.runs))
+        old, self.runs = self.runs, [merged]
+        for run in old:
+            discard(run)
+
+    def known(self, new: DataFrame) -> DataFrame:
+        """All contexts that share an anchor with the new run: first place, and n of the new run alone."""
+        anchors = new.select("anchor").distinct()
+        old = [run.join(anchors, "anchor", "left_semi").withColumn("n", F.lit(0).cast("long")) for run in self.runs]
+        every = reduce(DataFrame.unionByName, old, new)
+        return every.groupBy("anchor", "context").agg(F.min("first").alias("first"), F.sum("n").alias("n")) if old else new
 
     def add(self, batch: DataFrame, history: DataFrame) -> DataFrame:
         """Index a batch of `keyed` rows; returns its repeated windows as (doc, th, lo, hi).
@@ -87,30 +117,36 @@ class FingerprintIndex:
         `history` holds the rows of this batch and of all earlier ones. A window
         is repeated if its words also start in a row of a smaller id.
         """
+        if len(self.runs) > self.fan_in:
+            self.compact()
         got = materialize(fingerprints(batch, self.length, self.gram), "batch")
-        new = self.sorted_run(got)
-        known = reduce(DataFrame.unionByName, [run.join(new.select("anchor").distinct(), "anchor", "left_semi") for run in self.runs], new)
-        first = materialize(known.groupBy("anchor", "context").agg(F.min("first").alias("first")), "first")
+        place = F.struct("doc", "th", "lo", "hi").alias("first")
+        new = self.sorted_run(got.select("anchor", "context", place, F.lit(1).cast("long").alias("n")))
+        first = materialize(self.known(new), "first")
+        self.runs.append(new)
         other = F.expr("doc > first.doc or th <> first.th or lo <> first.lo")
-        places = got.join(first, ["anchor", "context"]).where(other).select("doc", "th", "lo", "hi", F.expr("if(doc = first.doc, first, null)").alias("same"))
-        again = materialize(places, "again")
-        whole = again.where("same is null").select("doc", "th", "lo", "hi")
-        shared = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("first.doc").alias("a"), F.max("first.doc").alias("b")).where("n > 1 and a < b")
-        places = first.join(shared.select("anchor"), "anchor").select("first.doc", "first.th", "anchor", "first.lo", "first.hi")
+        places = join_counted(got, first.where("n > 0"), ["anchor", "context"]).where(other)
+        again = materialize(places.select("doc", "th", "lo", "hi", F.expr("if(doc = first.doc, first, null)").alias("same")), "again")
+        discard(got)
+        kinds = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("first.doc").alias("a"), F.max("first.doc").alias("b"))
+        shared = materialize(kinds.where("n > 1 and a < b").select("anchor", "n"), "shared")
+        places = join_counted(first.drop("n"), shared, ["anchor"]).select("first.doc", "first.th", "anchor", "first.lo", "first.hi")
         windows = materialize(verified(places, history, self.length), "windows")
-        earliest = windows.groupBy("anchor", "window").agg(F.min("doc").alias("earliest"))
-        found = windows.join(earliest, ["anchor", "window"]).where("doc > earliest")
+        twice = windows.groupBy("anchor", "window").agg(F.min("doc").alias("earliest"), F.max("doc").alias("latest"), F.count(F.lit(1)).alias("n"))
+        twice = materialize(twice.where("latest > earliest").drop("latest"), "twice")
+        found = join_counted(windows, twice, ["anchor", "window"]).where("doc > earliest")
         single = materialize(found.selectExpr("doc", "th", f"at div {self.length} as lo", f"at % {self.length} as offset"), "single")
+        for done in (first, shared, windows, twice):
+            discard(done)
         # What is repeated in a context's first place is so in all its places of that id.
         offsets = single.groupBy("doc", F.col("th").alias("first_th"), F.col("lo").alias("first_lo")).agg(F.collect_set("offset").alias("offsets"))
         within = again.where("same is not null").select("doc", "th", "lo", F.col("same.th").alias("first_th"), F.col("same.lo").alias("first_lo"))
         copied = within.join(offsets, ["doc", "first_th", "first_lo"]).select("doc", "th", "lo", F.explode("offsets").alias("offset"))
-        each = single.unionByName(copied).select("doc", "th", (F.col("lo") + F.col("offset")).alias("lo"))
-        self.runs.append(new)
-        if len(self.runs) > self.fan_in:
-            merged = reduce(DataFrame.unionByName, self.runs).select("anchor", "context", "first.*")
-            self.runs = [self.sorted_run(merged)]
-        return whole.unionByName(each.withColumn("hi", F.col("lo")))
+        each = single.unionByName(copied).select("doc", "th", (F.col("lo") + F.col("offset")).alias("lo")).withColumn("hi", F.col("lo"))
+        marked = materialize(again.where("same is null").select("doc", "th", "lo", "hi").unionByName(each), "marked")
+        discard(again)
+        discard(single)
+        return marked
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -118,11 +154,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
 
     A word goes if a window of `length` words over it also starts in a document
     of a smaller id; windows are judged on the input. Null, empty and short texts
-    keep all their words; rows that share an id never remove each other's words;
-    rows without an id come after all others; other columns play no part; an
-    empty table gives no row.
+    keep all their words, and texts of any length are read whole; rows that share an
+    id, and so tie, never remove each other's words; rows without an id come after
+    all others, with the largest id; other columns play no part; an empty table
+    gives no row.
     """
-    rows = keyed(docs, ids_repeat(docs))
+    prepared(docs.sparkSession)
+    rows, _ = keyed(docs)
     cuts = rows.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     index = FingerprintIndex(length, gram)
     marked, below = [], None
@@ -130,8 +168,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         batch = rows.where(F.col("doc") <= cut)
         marked.append(index.add(batch if below is None else batch.where(F.col("doc") > below), batch))
         below = cut
+    for run in index.runs:
+        discard(run)
     removed = reduce(DataFrame.unionByName, marked).groupBy("doc", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("w"))
-    joined = rows.join(removed, ["doc", "th"], "left").select("doc", "text", F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi"))
+    joined = rows.join(removed, ["doc", "th"], "left").select("doc_id", "text", F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +184,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
                         out = cover(n, list(zip(row["lo"], row["hi"])), length)
                         words = [w for w, o in zip(words, out.tolist()) if not o]
                     text = b" ".join(words)
-                    ids.append(None if row["doc"] == LAST else row["doc"])
+                    ids.append(row["doc_id"])
                     sizes.append(n)
                     gone.append(n - len(words))
                     digests.append(hashlib.sha256(text).hexdigest())

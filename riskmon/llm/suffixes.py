@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmon.llm.anchors import cover, prefix_sums, runs, span_hashes
-from riskmon.llm.common import LAST, discard, documents, ids_repeat, keyed, materialize
+from riskmon.llm.common import discard, documents, join_counted, keyed, materialize, prepared
 from riskmon.llm.words import BYTE_CODE
 
 LENGTH, GRAM = 100, 32
@@ -223,27 +223,32 @@ def single_windows(contexts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, got, at + row["lo"])], names=["doc", "th", "anchor", "window", "lo"])
 
     windows = materialize(contexts.mapInArrow(split, "doc long, th long, anchor long, window long, lo long"), "windows")
-    first = windows.groupBy("anchor", "window").agg(F.min(F.struct("doc", "lo")).alias("first"))
-    return windows.join(first, ["anchor", "window"]).where("struct(doc, lo) > first").select("doc", "th", "lo", F.col("lo").alias("hi"))
+    first = windows.groupBy("anchor", "window").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = join_counted(windows, materialize(first, "first-windows"), ["anchor", "window"])
+    return placed.where("struct(doc, lo) > first").select("doc", "th", "lo", F.col("lo").alias("hi"))
 
 
 def repeated(rows: DataFrame, length: int, gram: int, shared_ids: bool) -> list[DataFrame]:
     """Ranges of windows (doc, th, lo, hi) whose bytes also start earlier."""
     stored = materialize(fingerprints(rows, length, gram), "prints")
-    recurring = stored.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    held = materialize(stored.join(recurring, "anchor"), "recurring")
+    recurring = materialize(stored.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
+    held = materialize(join_counted(stored, recurring, ["anchor"]).drop("n"), "recurring")
     discard(stored)
-    first = materialize(held.groupBy("anchor", "context").agg(F.min(F.struct("doc", "place", "th")).alias("first")), "first")
+    discard(recurring)
+    first = held.groupBy("anchor", "context").agg(F.min(F.struct("doc", "place", "th")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = materialize(first, "first")
     lo = F.shiftright("place", 7)
     ranged = ["th", lo.alias("lo"), (lo + F.col("place").bitwiseAND(F.lit(127))).alias("hi")]
-    placed = held.join(first, ["anchor", "context"])
+    placed = join_counted(held, first, ["anchor", "context"])
     whole = placed.where("struct(doc, place) > struct(first.doc, first.place)").select("doc", *ranged)
-    kinds = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    places = first.select("anchor", "first.*").join(kinds, "anchor").select("doc", "anchor", (F.col("n") > MOST_CONTEXTS).alias("many"), *ranged)
+    kinds = materialize(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "kinds")
+    places = join_counted(first.select("anchor", "first.*"), kinds, ["anchor"]).select("doc", "anchor", (F.col("n") > MOST_CONTEXTS).alias("many"), *ranged)
     contexts = materialize(cut_out(places, rows, length), "contexts")
     size = contexts.agg(F.coalesce(F.sum(F.when(~F.col("many"), F.length("bytes") + 1)), F.lit(0))).first()[0]
     few = contexts.where("not many")
-    found = [merged_windows(few, max(1, -(-size // BUCKET_BYTES)), length), single_windows(contexts.where("many"), length)]
+    found = [merged_windows(few, max(1, -(-size // BUCKET_BYTES)), length)]
+    if size < contexts.agg(F.coalesce(F.sum(F.length("bytes") + 1), F.lit(0))).first()[0]:
+        found.append(single_windows(contexts.where("many"), length))
     if not shared_ids:
         return [whole, *found]
     # Other texts of the id may hold a context at its first place too; what was found there holds in them.
@@ -259,17 +264,19 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
 
     A byte goes if a string of `length` bytes over it also starts earlier, in a
     smaller doc_id or before in the same document; strings are judged on the
-    input and never cross documents. A null text is empty; rows with equal ids
-    and texts count as one document; rows without an id come after all others;
-    other columns play no part; an empty table gives no row.
+    input and never cross documents. A null text is empty; texts of any length are
+    handled whole, in pieces that overlap; of rows with one id a string that starts
+    at an equal place in two of them repeats in neither; rows without an id come
+    after all others, with the largest id; other columns play no part; an empty
+    table gives no row.
     """
     if not gram < length <= gram + 128:
         raise ValueError("length must exceed gram by 1 to 128")
-    shared_ids = ids_repeat(docs)
-    rows = keyed(docs, shared_ids)
+    prepared(docs.sparkSession)
+    rows, shared_ids = keyed(docs)
     gone = reduce(DataFrame.unionByName, repeated(rows, length, gram, shared_ids))
     gone = gone.groupBy("doc", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("w"))
-    joined = rows.join(gone, ["doc", "th"], "left").select("doc", "text", F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi"))
+    joined = rows.join(gone, ["doc", "th"], "left").select("doc_id", "text", F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,7 +291,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
                         removed = int(mask.sum())
                         spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
                         text = np.frombuffer(text, np.uint8)[~mask].tobytes()
-                    out.append((None if row["doc"] == LAST else row["doc"], n, removed, spans, hashlib.sha256(text).hexdigest()))
+                    out.append((row["doc_id"], n, removed, spans, hashlib.sha256(text).hexdigest()))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]

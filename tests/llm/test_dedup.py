@@ -99,11 +99,63 @@ def test_words_against_brute_force(spark, edges, batches):
 
 def test_index_compacts(spark):
     index = substrings.FingerprintIndex(length=10, gram=4, fan_in=2)
-    rows = substrings.keyed(make(spark, [(i, prose(i % 2, 40), "s") for i in range(5)]))
-    removed = []
+    rows, _ = substrings.keyed(make(spark, [(i, prose(i % 2, 40), "s") for i in range(5)]))
+    removed, runs = [], []
     for i in range(5):
         removed.append(index.add(rows.where(f"doc = {i}"), rows.where(f"doc <= {i}")).count())
-    assert len(index.runs) <= 2 and removed[:2] == [0, 0] and all(removed[2:])
+        runs.append(len(index.runs))
+    assert runs == [1, 2, 3, 2, 3] and removed[:2] == [0, 0] and all(removed[2:])
+    index.compact()
+    assert len(index.runs) == 1 and index.runs[0].groupBy("anchor", "context").count().where("count > 1").isEmpty()
+
+
+def test_index_is_kept_for_a_later_job(spark, tmp_path):
+    rows, _ = substrings.keyed(make(spark, [(i, prose(51 + i % 2, 40), "s") for i in range(4)]))
+    sizes = {"length": 10, "gram": 4}
+    first = substrings.FingerprintIndex(folder=f"file://{tmp_path}", **sizes)
+    first.add(rows.where("doc < 2"), rows.where("doc < 2"))
+    later = substrings.FingerprintIndex.open(spark, f"file://{tmp_path}", **sizes)
+    assert len(later.runs) == 1
+    marked = later.add(rows.where("doc >= 2"), rows).collect()
+    assert {(r["doc"], p) for r in marked for p in range(r["lo"], r["hi"] + 1)} == {(d, p) for d in (2, 3) for p in range(31)}
+    assert len(substrings.FingerprintIndex.open(spark, f"file://{tmp_path}", **sizes).runs) == 2
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_long_words_of_one_polynomial_hash_differ(spark):
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([prose(1, 29), word, prose(2, 30)])), (2, " ".join([prose(1, 29), other, prose(2, 30)])), (3, word), (4, other)]
+    docs = make(spark, [(i, t, "s") for i, t in rows])
+    got = substrings.remove_repeats(docs).collect()
+    assert sorted([(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got], key=str) == brute_words(rows, 50)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {i: i for i in range(1, 5)}
+
+
+def test_word_hashes_are_of_whole_words():
+    rnd = random.Random(1)
+    words = list({"".join(rnd.choice("ab") for _ in range(rnd.randint(1, 150))) for _ in range(30_000)})
+    got, bounds = hash_words([" ".join(words).encode(), b"", ("\t".join(words[:9]) + "\n").encode()])
+    assert len(set(got[: len(words)].tolist())) == len(words) and bounds.tolist() == [0, len(words), len(words), len(words) + 9]
+    assert got[len(words) :].tolist() == got[:9].tolist()
+
+
+def test_texts_above_a_megabyte(spark):
+    passage = prose(61, 200)
+    long = " ".join(prose(600 + k, 5000) for k in range(45))
+    rows = [(1, long + " " + passage), (2, passage + " end"), (3, long), (2**63 - 1, passage), (None, passage + " x")]
+    assert len(long) > 1 << 20
+    docs = make(spark, [(i, t, "s") for i, t in rows])
+    order = [(2**63 - 1 if i is None else i, t) for i, t in rows]
+    words = sorted(((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(docs).collect()))
+    assert words == sorted(x[1:] for x in brute_words(order, 50))
+    got = suffixes.remove_repeated_bytes(docs).collect()
+    assert sorted((r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(x[1:] for x in brute_bytes(order, 100))
+    assert {r["doc_id"] for r in got} == {i for i, _ in rows}
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs.where("doc_id is not null")).collect()}[3] == 1
 
 
 def test_runs_cover_each_window_once(monkeypatch):
