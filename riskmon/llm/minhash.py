@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmon.llm.common import documents, materialize
+from riskmon.llm.common import discard, documents, join_counted, materialize, prepared
 from riskmon.llm.words import PLACE_CODE, hash_windows, hash_words, mix
 
 SHINGLE, BANDS, ROWS = 5, 20, 4
@@ -32,6 +32,8 @@ PERCENT = 85
 # Open buckets with more members are compared in blocks of about so many classes and shingles.
 SMALL, BLOCK, BLOCK_SHINGLES = 32, 512, 1 << 20
 SLICE = 1 << 15
+# Partners that are compared with one copy of a text.
+PART = 64
 
 
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -112,27 +114,37 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are as similar as asked."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text"))
-    both = (
-        pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-        .join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
+    """The distinct pairs (a, b) whose full shingle sets are as similar as asked.
+
+    The partners of each a are dealt into parts of about `PART`; a part's rows lie
+    next to each other, the one of a first, so that no text is copied per pair.
+    """
+    stored = materialize(pairs, "pairs")
+    many = materialize(stored.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "partners")
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PART))
+    dealt = join_counted(stored, many, ["a"]).select("a", "b", part.alias("part"))
+    heads = dealt.select(F.col("a").alias("id"), "a", "part").distinct().withColumn("b", F.lit(None).cast("long"))
+    roles = heads.unionByName(dealt.select(F.col("b").alias("id"), "a", "part", "b"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    placed = roles.join(texts, "id").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: tuple[tuple[int, int], np.ndarray] | None = None
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                left = shingle_sets([(t or "").encode() for t in part.column(2).to_pylist()])
-                right = shingle_sets([(t or "").encode() for t in part.column(3).to_pylist()])
-                keep = []
-                for x, y in zip(left, right):
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(same > 0 and 100 * same >= percent * (len(x) + len(y) - same))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                a, parts, b, texts = (part.column(i).to_pylist() for i in range(4))
+                out = []
+                for x, p, y, own in zip(a, parts, b, shingle_sets([(t or "").encode() for t in texts])):
+                    if y is None:
+                        head = (x, p), own
+                    elif head is not None and head[0] == (x, p):
+                        same = len(np.intersect1d(head[1], own, assume_unique=True))
+                        if same > 0 and 100 * same >= percent * (len(head[1]) + len(own) - same):
+                            out.append((x, y))
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return both.mapInArrow(alike, "a long, b long")
+    return placed.select("a", "part", "b", "text").mapInArrow(alike, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -146,13 +158,16 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        centre = both.groupBy("hi").agg(F.min("lo").alias("m")).withColumn("m", F.least("m", "hi"))
-        large = both.join(centre, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
-        large = materialize(large, "cc")
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(least, "hi")
+        least = F.min("lo").alias("m"), F.count(F.lit(1)).alias("n")
+        centre = materialize(both.groupBy("hi").agg(*least).withColumn("m", F.least("m", "hi")), "cc")
+        large = join_counted(both, centre, ["hi"]).where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        large = materialize(large.where("hi <> lo").distinct(), "cc")
+        lower = materialize(large.groupBy("hi").agg(*least), "cc")
+        joined = join_counted(large, lower, ["hi"])
         small = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(joined.select("hi", F.col("m").alias("lo")))
-        edges = materialize(small.where("hi <> lo").distinct(), "cc")
+        edges, old = materialize(small.where("hi <> lo").distinct(), "cc"), edges
+        for done in (old, centre, large, lower):
+            discard(done)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -164,41 +179,49 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_id, component_id, kept.
 
     class_id is the smallest doc_id with the same shingle set. A null, empty or
-    blank text has no shingles and is linked with nothing; rows that repeat a
-    doc_id count as one document; rows without a doc_id join the class of their
-    text but are no bridge; other columns play no part; an empty table gives no
-    row.
+    blank text has no shingles and is linked with nothing; texts of any length are
+    read whole; ties go to the smallest doc_id; rows that repeat a doc_id count as
+    one document; rows without a doc_id join the class of their text but are no
+    bridge; other columns play no part; an empty table gives no row.
     """
+    prepared(docs.sparkSession)
     rows = materialize(sketch(docs), "sketch")
     key = ["n_shingles", "sum_a", "sum_b"]
-    classes = materialize(rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id")), "classes")
-    heads = rows.join(classes, key).where("doc_id = class_id").select("class_id", "n_shingles", "bands")
+    classes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    classes = materialize(classes, "classes")
+    heads = join_counted(rows.where("n_shingles > 0"), classes, key).where("doc_id = class_id").select("class_id", "n_shingles", "bands")
     heads = materialize(heads.dropDuplicates(["class_id", "n_shingles"]), "heads")
     spread = heads.select("class_id", "n_shingles", F.posexplode("bands").alias("band", "hash"))
-    shared = spread.groupBy("band", "hash").agg(F.min(F.struct("class_id", "n_shingles")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(spread.join(shared.drop("n"), ["band", "hash"]), "members")
+    shared = spread.groupBy("band", "hash").agg(F.min(F.struct("class_id", "n_shingles")).alias("head"), F.count(F.lit(1)).alias("n"))
+    members = materialize(join_counted(spread, materialize(shared.where("n > 1"), "buckets"), ["band", "hash"]).drop("n"), "members")
+    discard(heads)
     first = members.select(F.col("head.class_id").alias("a"), F.col("class_id").alias("b"), F.col("head.n_shingles").alias("na"), F.col("n_shingles").alias("nb"))
     links = materialize(confirm(comparable(first, percent), docs, percent), "links")
     placed = components(links)
     open_ = materialize(open_buckets(members, placed), "open")
+    discard(members)
     few, many = open_.where(F.col("n") <= SMALL), open_.where(F.col("n") > SMALL)
     x, y = few.alias("x"), few.alias("y")
     apart = F.expr("x.band = y.band and x.hash = y.hash and x.class_id < y.class_id and x.component <> y.component")
     pairs = x.join(y, apart).where("x.class_id <> x.head.class_id").select(
         F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"), F.col("x.n_shingles").alias("na"), F.col("y.n_shingles").alias("nb")
     )
-    more = confirm(comparable(pairs, percent), docs, percent).unionByName(compare_blocks(many, docs, percent))
+    more = confirm(comparable(pairs, percent), docs, percent)
+    if not many.isEmpty():
+        more = more.unionByName(compare_blocks(many, docs, percent))
     more = materialize(more, "links")
     if not more.isEmpty():
         placed = components(links.unionByName(more))
-    answer = classes.join(placed.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn(
-        "component_id", F.coalesce("component", "class_id")
-    )
-    out = rows.join(answer.drop("component"), key, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select(
-        "doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), "component_id",
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+    answer = materialize(
+        classes.join(placed.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id")).drop("component"),
+        "answer",
     )
+    slim = rows.select("doc_id", *key)
+    # Rows without shingles are the only ones that no class holds.
+    held = join_counted(slim.where("n_shingles > 0"), answer, key).drop("n")
+    none = slim.where("n_shingles = 0").withColumns({"class_id": F.col("doc_id"), "component_id": F.col("doc_id")})
+    out = held.unionByName(none).withColumns({c: F.coalesce(c, "doc_id") for c in ("class_id", "component_id")})
+    return out.select("doc_id", "n_shingles", "class_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def comparable(pairs: DataFrame, percent: int) -> DataFrame:
