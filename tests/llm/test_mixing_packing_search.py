@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -137,12 +138,46 @@ def test_search_against_brute_force(spark, monkeypatch, shard):
         assert found == [(k + 1, i, scores[i]) for k, i in enumerate(want)]
 
 
+def brute_search(rows, every, k=5):
+    """(query_id, rank, vec_id, score) of all queries by looking at every row but the query's own."""
+    most = 2**63 - 1
+    whole = [(i, [max(-most - 1, min(most, math.floor(256 * x))) for x in v]) for i, v in rows]
+    out = []
+    for q, (i, v) in enumerate(whole):
+        if i % every == 0:
+            scored = [(-max(-most - 1, min(most, sum(a * b for a, b in zip(v, w)))), j, c) for c, (j, w) in enumerate(whole) if c != q and len(v) == len(w)]
+            out += [(i, rank + 1, j, -score) for rank, (score, j, _) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
+
 def test_search_of_few_or_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in search.search(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 131072), (0, 2, 2, 131072)]
     assert search.search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_search_keeps_rows_of_one_id_and_large_numbers(spark):
+    rnd = random.Random(7)
+    rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (5, [1e20, -1.0]), (6, [-1e20, 3.0]), (7, [3e9, 2e9]), (10, [1e17, 1e17]), (10, [0.1, 0.2])]
+    rows += [(20 + i, [rnd.uniform(-2e11, 2e11), rnd.uniform(-1, 1)]) for i in range(40)] + [(70 + i, [float(i), 1.0, 2.0]) for i in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = search.search(df, F.col("vec_id") % 5 == 0, shard_rows=8).collect()
+    assert sorted(map(tuple, got)) == brute_search(rows, 5)
+
+
+def test_search_of_clusters_skips_shards(spark):
+    rnd = np.random.default_rng(9)
+    centres = rnd.normal(size=(16, 4)) * 20
+    rows = [(i, (centres[i % 16] + rnd.normal(size=4)).tolist()) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, search.search(df, F.col("vec_id") % 50 == 0, shard_rows=50).collect())) == brute_search(rows, 50)
+
+
+def test_splits_deal_a_sample_evenly():
+    points = np.random.default_rng(3).normal(size=(1000, 5))
+    assert len(search.splits(points, 16)) == 15 and len(search.splits(points, 1)) == 0 and search.splits(points[:0], 8) == []
+
+
 def test_pipeline_stages(spark, tmp_path):
     rows = [(i, prose(i, 80), "ab"[i % 2]) for i in range(60)]
     rows += [(100 + i, " ".join(w + "$$$" for w in prose(i, 80).split()), "a") for i in range(60)]
