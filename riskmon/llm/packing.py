@@ -19,25 +19,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmon.llm.common import documents, materialize, tasks_for
+from riskmon.llm.common import documents, materialize, prepared, tasks_for
 
 LENGTH, END = 1024, 2
 GROUP = 100_000
 
 
+# Literal tokens of the vocabulary's `tokenizers` file, and their ids.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
 class Encoder:
-    """Ids of whole texts under a byte-level BPE vocabulary."""
+    """Ids of whole texts under a byte-level BPE vocabulary, literal special tokens included.
+
+    The rank file gives the ids of the `tokenizers` file at a quarter of its time
+    (177 against 790 CPU seconds a GB); the tests hold the two against each other.
+    """
 
     def __init__(self, ranks_path: str, pattern: str):
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return np.asarray(self.encode(text), "<u4").tobytes()
+        return np.asarray(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
 
 
 ENCODERS: dict[str, Encoder] = {}
@@ -156,11 +164,13 @@ def pack(pieces: DataFrame, groups: int, length: int = LENGTH) -> DataFrame:
 def pack_documents(docs: DataFrame, length: int = LENGTH, end: int = END, ranks_path: str | None = None, group: int = GROUP) -> DataFrame:
     """Pack all documents into sequences of at most `length` tokens.
 
-    A null or empty text is its end token alone; repeated rows are packed one by
-    one; an empty table gives no row; other columns play no part. Groups hold
-    about `group` pieces at any input size, so a task's memory is bounded and at
+    A null or empty text is its end token alone; texts of any length are encoded
+    whole and cut; repeated rows are packed one by one; pieces of one length tie and
+    go by doc_id; an empty table gives no row; other columns play no part. Groups
+    hold about `group` pieces at any input size, so a task's memory is bounded and at
     most a few sequences per group stay part-filled.
     """
+    prepared(docs.sparkSession)
     stored = materialize(tokenize(docs, length, end, ranks_path), "pieces")
     return pack(stored, tasks_for(stored, group), length)
 

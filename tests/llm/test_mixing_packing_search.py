@@ -66,26 +66,45 @@ def test_mix_edges(edges, nothing):
     assert mixing.mix_sources(nothing).count() == 0
 
 
-def test_encoder_matches_the_public_tokenizer():
+@pytest.fixture(scope="session")
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    own, other = packing.encoder(None), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    other.encode_special_tokens = True
-    for text in [prose(1, 50), "don't  stop\n\n x", "<|endoftext|> é 漢字 😀", "", "  a \t b  ", *(t or "" for _, t, _ in edge_rows())]:
-        assert np.frombuffer(own.ids(text), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda text: made.encode(text, add_special_tokens=False).ids
 
 
-def test_packing_round_trip(spark, edges):
-    got = packing.pack_documents(edges.where("doc_id is not null").dropDuplicates(["doc_id"]), group=7).collect()
+SPECIAL_TEXTS = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>  y", "<|endoftext", "<|endoftext|>\n é 漢字 😀", "|endoftext|>"]
+
+
+def test_encoder_matches_the_public_tokenizer(tokenizer):
+    own = packing.encoder(None)
+    marks = [chr(c) for c in range(0, 0x30000, 13) if not 0xD800 <= c < 0xE000]
+    odd = [" ".join(f"a{c}b 1{c}2 {c}{c}!" for c in marks[k : k + 50]) for k in range(0, len(marks), 50)]
+    for text in [prose(1, 50), "don't  stop\n\n x", "", "  a \t b  ", "x" * 20_000, *SPECIAL_TEXTS, *odd, *(t or "" for _, t, _ in edge_rows())]:
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == tokenizer(text)
+
+
+def test_encoder_matches_on_every_document(tokenizer):
+    pq = pytest.importorskip("pyarrow.parquet")
+    own = packing.encoder(None)
+    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist():
+        assert np.frombuffer(own.ids(text or ""), "<u4").tolist() == tokenizer(text or "")
+
+
+def test_packing_round_trip(spark, edges, tokenizer):
+    special = [(1000 + i, t, "s") for i, t in enumerate([*SPECIAL_TEXTS, " ".join(f"{t} {prose(i, 700)}" for i, t in enumerate(SPECIAL_TEXTS))])]
+    docs = edges.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(make(spark, special))
+    got = packing.pack_documents(docs, group=7).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in got:
         by_doc[r["doc_id"]].append(r)
         by_sequence[r["sequence_id"]].append(r)
-    texts = {i: t for i, t, _ in edge_rows() if i is not None}
+    texts = {i: t for i, t, _ in [*edge_rows(), *special] if i is not None}
     assert set(by_doc) == set(texts)
     for i, pieces in by_doc.items():
-        ids = packing.encoder(None).ids(texts[i] or "") + np.asarray([2], "<u4").tobytes()
+        ids = np.asarray([*tokenizer(texts[i] or ""), 2], "<u4").tobytes()
         at = 0
         for p, r in enumerate(sorted(pieces, key=lambda r: r["piece"])):
             assert (r["piece"], r["start"]) == (p, at) and r["ids_crc32"] == zlib.crc32(ids[4 * at : 4 * (at + r["length"])])
