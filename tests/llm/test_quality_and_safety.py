@@ -77,6 +77,66 @@ def test_method_adds_and_redacts(spark):
     assert got.where("doc_id = 99").select(pii.redacted(F.col("row.text"), F.col("spans"))).first()[0] == "nothing to see"
 
 
+def brute_candidates(text):
+    """Loose spans that overlap no base span, by Python's own matcher."""
+    base = [tuple(map(int, x.split(":")[1:])) for x in brute_spans(text).split(",") if x]
+    out = []
+    for kind, pattern in pii.LOOSE.items():
+        for m in re.finditer(pattern, text or ""):
+            if all(e <= m.start() or m.end() <= s for s, e in base):
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return sorted(out)
+
+
+def test_loose_candidates_against_python(spark):
+    rnd = random.Random(14)
+    parts = ["a", "b(at)c", " [at] ", "x.y", "(dot)", ".", "org", " ", "319-555-5132", "(319) 555-5132", "555", "-", "token", "=", "secret: ", "abcdef123456", "Zz9/+", "+1", "4111111111111111", "a@b.c", "é", "😀", "\n", "api_key=\""]
+    rows = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))), "s") for i in range(500)]
+    rows += [(1000, "." * 20_000 + " a(at)b.org " + "-" * 20_000, "s"), (1001, "token=" + "k3" * 400 + " end", "s"), (1002, "x" * 300 + "[at]" + "y" * 200 + ".com", "s")]
+    loose = F.filter("spans", lambda x: ~x["base"])
+    got = pii.candidates(make(spark, rows), False).select("doc_id", F.transform(loose, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])).alias("s")).collect()
+    assert {r["doc_id"]: sorted(r["s"]) for r in got} == {i: brute_candidates(t) for i, t, _ in rows}
+    assert sum(len(r["s"]) for r in got) > 200
+
+
+def test_long_secrets_go_whole(spark):
+    rows = [(i, f'set token = "{"f3ef4d6b2755" * (1 + i)}" here', "s") for i in range(70)]
+    got = pii.detect(make(spark, rows), keep_rows=True).select(pii.redacted(F.col("row.text"), F.col("spans")).alias("t")).collect()
+    assert {r["t"] for r in got} == {'set <secret>" here'}
+
+
+def test_many_candidates_in_one_text(spark):
+    text = " ".join(f"u{i}@b.com or {i % 10}19-555-{1000 + i % 9000} x" for i in range(6000))
+    spans = pii.detect(make(spark, [(1, text, "s")])).select(F.size(F.filter("spans", lambda x: x["base"]))).first()[0]
+    assert spans == 6000
+
+
+def test_classifier_depends_on_the_labelers(spark):
+    rows = [(i, f"call my phone {200 + i % 79}-555-{1000 + i} or mail a{i}@b.com", "s") for i in range(300)]
+    rows += [(1000 + i, f"build no. 000-{100 + i % 90}-{1000 + i} {prose(i, 30)}", "s") for i in range(300)]
+    docs = make(spark, rows)
+    stored = pii.candidates(docs, False)
+    got = {r["doc_id"]: r["n"] for r in pii.detect(docs).select("doc_id", F.size(F.filter("spans", lambda x: x["kind"] == "phone")).alias("n")).collect()}
+    assert all(got[i] == 1 for i in range(300)) and not any(got[1000 + i] for i in range(300))
+    # Without the posterior labels nothing separates the two.
+    rows = stored.select(F.explode("spans").alias("x")).select("x.*").collect()
+    counts = [(r["kind"], tuple(r[c] for c in pii.LABELERS), tuple(r[c] for c in pii.BINS), 1.0) for r in rows]
+    blind = pii.fit_classifier(counts, [0.9] * len(counts))
+    assert stored.select(F.explode("spans").alias("x")).where(pii.classifier(blind, F.col("x")) <= 0).isEmpty()
+
+
+def test_em_finds_the_reliable_labelers():
+    rnd = random.Random(2)
+    counts = {}
+    for _ in range(5000):
+        true = rnd.random() < 0.4
+        p = tuple((1 if (rnd.random() < r) == true else -1) for r in (0.95, 0.9, 0.85, 0.5, 0.5))
+        counts[p] = counts.get(p, 0) + 1
+    rates, posterior = pii.em(sorted(counts.items()))
+    right = [t[1][1] for t in rates]
+    assert min(right[:3]) > 0.8 and max(right[3:]) < 0.6
+
+
 def test_running_folds_across_blocks(spark):
     values = list(range(1, 400))
     df = spark.createDataFrame([(values,)], "v array<long>")
