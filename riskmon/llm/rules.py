@@ -3,7 +3,7 @@
 Every rule is evaluated once over a text. The ledger stores the measurements and
 one integer whose bit i says that rule i fails. A policy is a versioned mask of
 rules: applying one, comparing two or leaving a rule out are bitwise operations
-on the ledger and never touch the texts again.
+on the stored ledger and never touch the texts again.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmon.llm.common import SPACES, WORD, documents, let
+from riskmon.llm.common import SPACES, WORD, documents, let, materialize, prepared
 
 WINDOW = 5
 
@@ -103,10 +103,12 @@ def measure(docs: DataFrame) -> DataFrame:
 def ledger(docs: DataFrame) -> DataFrame:
     """Measurements plus ``bits``, the failed rules of each document.
 
-    A null or empty text has no words and fails few_words; repeated rows are
-    judged one by one; other columns of any name play no part; an empty table
+    A null or empty text has no words and fails few_words; texts of any length are
+    read whole; no rule depends on other rows, so there are no ties; repeated rows
+    are judged one by one; other columns of any name play no part; an empty table
     gives an empty ledger.
     """
+    prepared(docs.sparkSession)
     failed = [F.when(F.expr(condition), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, condition) in enumerate(RULES)]
     bits = failed[0]
     for one in failed[1:]:
@@ -131,19 +133,30 @@ def ablate(entries: DataFrame, version: str) -> DataFrame:
     def total(condition: Column) -> Column:
         return F.sum(F.when(condition, F.col("n")).otherwise(0))
 
-    return crossed.groupBy("rule").agg(
+    return crossed.groupBy("rule", "bit").agg(
         total(F.col("bits").bitwiseAND(F.col("bit")) != 0).alias("failed"),
         total(F.col("bits") == F.col("bit")).alias("failed_alone"),
         total(F.col("bits").bitwiseAND(F.bitwise_not(F.col("bit"))) == 0).alias("kept_without"),
     )
 
 
+def explained(entries: DataFrame, version: str) -> DataFrame:
+    """The ledger under a policy: `policy`, `kept`, and for the rest `first_failed` with that rule's ablation figures."""
+    failed = F.col("bits").bitwiseAND(F.lit(mask(version)))
+    lowest = failed.bitwiseAND(-failed)
+    table = ablate(entries, version).withColumnRenamed("rule", "first_failed")
+    # At most one row per rule of the policy.
+    told = apply_policy(entries, version).withColumn("lowest", lowest).join(F.broadcast(table), F.col("lowest") == F.col("bit"), "left")
+    return told.drop("lowest", "bit").withColumn("policy", F.lit(version))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = sum(bit(name) for name in BASE)
-    judged = apply_policy(ledger(documents(spark, sf_dir)), "v3")
+    judged = explained(materialize(ledger(documents(spark, sf_dir)), "ledger"), "v3")
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("bits").bitwiseAND(F.lit(base)) != 0).alias("base_failed"), "kept",
+        "bits", "policy", "first_failed", "failed", "failed_alone", "kept_without",
     )
 
 
@@ -161,10 +174,14 @@ m AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to
              CAST(len(regexp_extract_all(w.text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
              len(regexp_extract_all(w.text, '!')) AS n_exclaims, l.n_lines,
              CAST(l.n_dup_lines AS BIGINT) AS n_dup_lines, CAST(coalesce(q.n_repeat_words, 0) AS BIGINT) AS n_repeat_words
-      FROM w JOIN l ON l.r = w.r LEFT JOIN q ON q.r = w.r)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 30 * n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)
-            OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR 100 * n_exclaims > 30 * n_words) AS kept
-FROM m
+      FROM w JOIN l ON l.r = w.r LEFT JOIN q ON q.r = w.r),
+b AS (SELECT *, CAST((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (100 * n_symbols > 30 * n_words)::INT
+             + 8 * (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)::INT + 16 * (word_chars > 25 * n_words)::INT
+             + 32 * (word_chars < 2 * n_words)::INT + 64 * (100 * n_exclaims > 30 * n_words)::INT AS INTEGER) AS bits FROM m),
+v(rule, bit) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('duplicate_lines', 8), ('long_words', 16), ('short_words', 32), ('exclamations', 64)),
+a AS (SELECT rule, bit, count(*) FILTER (WHERE bits & bit <> 0) AS failed, count(*) FILTER (WHERE bits = bit) AS failed_alone,
+             count(*) FILTER (WHERE bits & ~bit = 0) AS kept_without FROM b, v GROUP BY rule, bit)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept,
+       bits, 'v3' AS policy, a.rule AS first_failed, failed, failed_alone, kept_without
+FROM b LEFT JOIN a ON a.bit = b.bits & -b.bits
 """
