@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmon.llm.common import documents, let, materialize
+from riskmon.llm.common import documents, let, materialize, prepared
 from riskmon.llm.rules import repeated_words, words_of
 
 # At most so many labelled rows fit the model; statistics cover every document.
@@ -103,16 +103,25 @@ class RuleEnsemble:
         return [f"{w:+.3f} if " + " and ".join(f"{FEATURES[f]} {s} {b:.4g}" for f, s, b in rule) for rule, w in self.weighted]
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """(doc_id, text, label) of at most `sample_rows` labelled ids, chosen by hash of the id, each once.
+
+    Of labels that share an id the largest counts, and of texts the smallest.
+    """
+    ids = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> RuleEnsemble:
-    """Fit on a sample of at most `sample_rows` labelled rows, chosen by hash of their id.
+    """Fit on `labelled_sample`.
 
     Rows without a label play no part. With one class only, the score is that
     class's share, smoothed; without labels it is one half.
     """
-    sample = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("double").alias("label"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    train = materialize(statistics(labelled, (F.col("label"),)), "quality-train")
+    labelled = labelled_sample(docs, labels, sample_rows)
+    # A bounded table, read many times by the two fits: few partitions, kept in memory.
+    train = materialize(statistics(labelled, (F.col("label").cast("double").alias("label"),)), "quality-train").coalesce(4).persist()
     n, ones = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if ones in (0, n):
         share = (ones + 0.5) / (n + 1.0)
@@ -127,6 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> R
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=PENALTY, standardization=False, maxIter=60)
     model = lasso.fit(held.select("label", array_to_vector("x").alias("features")))
     weights = model.coefficients.toArray()
+    train.unpersist()
     return RuleEnsemble(float(model.intercept), [(r, float(w)) for r, w in zip(rules, weights) if abs(w) > 1e-4])
 
 
@@ -134,10 +144,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     """One row per input row: doc_id, `score`, the estimate that its quality label is 1, and the features.
 
     `labels` holds doc_id and label, and only rows that may be learned from. Null
-    and empty texts are scored by their statistics like others; repeated rows get
-    equal scores; other columns play no part; an empty table gives no row. With
-    `keep_rows` the input row comes along as the struct ``row``.
+    and empty texts are scored by their statistics like others, and texts of any
+    length by all of their words; a row's score depends on no other row, so ties need
+    no rule and repeated rows get equal scores; other columns play no part; an empty
+    table gives no row. With `keep_rows` the input row comes along as the struct
+    ``row``.
     """
+    prepared(docs.sparkSession)
     row = (F.struct(*[docs[c] for c in docs.columns]).alias("row"),) if keep_rows else ()
     return statistics(docs, row).withColumn("score", fit(docs, labels, sample_rows).score())
 
