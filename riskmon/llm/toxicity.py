@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
 Lexicon voters (words and word beginnings) are mined from labelled documents and
-joined by pattern voters over their hits. A generative label model estimates by
-expectation-maximisation how often each voter fires in either class, and from the
-residual correlations between voters which of them repeat each other. The
-posterior labels that it gives train a linear classifier on the same votes,
+joined by pattern voters over their hits and by the given labels. A generative
+label model estimates by expectation-maximisation how often each voter fires in
+either class and which voters depend on each other: a maximum spanning forest of
+conditional mutual information gives each voter at most one other that its firing
+rates depend on. The posterior labels train a linear classifier on the same votes,
 which scores every document.
 """
 
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmon.llm.common import documents, materialize
-from riskmon.llm.quality import fold, training_labels
+from riskmon.llm.common import documents, materialize, prepared
+from riskmon.llm.quality import fold, labelled_sample, training_labels
 
-# At most so many labelled rows fit the model, and so many lexicon voters are kept.
-SAMPLE_ROWS, VOTERS = 20_000, 300
+# At most so many labelled rows fit the model.
+SAMPLE_ROWS = 20_000
 PREFIXES = (4, 5, 6)
 STRIP = ".,;:!?*&%$#|<>\"'()[]{}"
 PATTERNS = ("several", "dense", "none")
@@ -56,7 +57,7 @@ def count_forms(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
     return rows.select("text").mapInPandas(counted, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
 
 
-def mine(train: DataFrame, toxic: int, clean: int, voters: int) -> list[str]:
+def mine(train: DataFrame, toxic: int, clean: int) -> list[str]:
     """Forms far more frequent in toxic rows, the most telling one of each family of related forms."""
     least = max(3, math.ceil(0.02 * toxic))
     hits = {r["form"]: r["n"] for r in count_forms(train.where("label = 1")).where(F.col("n") >= least).collect()}
@@ -69,7 +70,7 @@ def mine(train: DataFrame, toxic: int, clean: int, voters: int) -> list[str]:
     kept: list[str] = []
     for _, _, form in sorted(rated, key=lambda x: (-x[0], x[1], x[2])):
         body = form[1:]
-        if len(kept) < voters and not any(body.startswith(k[1:]) or k[1:].startswith(body) for k in kept):
+        if not any(body.startswith(k[1:]) or k[1:].startswith(body) for k in kept):
             kept.append(form)
     return kept
 
@@ -102,28 +103,60 @@ class Votes:
         return sorted(fired)
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Posterior P(toxic) of each row from its 0/1 votes and its noisy label.
+def dependencies(votes: np.ndarray, posterior: np.ndarray, doubt: float = 15.0) -> np.ndarray:
+    """For each voter the one it depends on, or -1: a maximum spanning forest of conditional mutual information.
 
-    Voters are independent given the class except within groups of correlated
-    ones, whose evidence is divided by the group's size.
+    An edge counts if twice its information times the rows, which follows a
+    chi-square law of two degrees where there is none, exceeds `doubt`.
+    """
+    n, m = votes.shape
+    gain = np.zeros((m, m))
+    for weight in (1 - posterior, posterior):
+        mass = weight.sum() + 1.0
+        on = (weight @ votes + 0.5) / mass
+        both = ((votes * weight[:, None]).T @ votes + 0.25) / mass
+        for joint, x, y in (
+            (both, on[:, None], on[None, :]), (on[:, None] - both, on[:, None], 1 - on[None, :]),
+            (on[None, :] - both, 1 - on[:, None], on[None, :]), (1 - on[:, None] - on[None, :] + both, 1 - on[:, None], 1 - on[None, :]),
+        ):
+            joint = np.maximum(joint, 1e-9)
+            gain += mass / n * joint * np.log(joint / np.maximum(x * y, 1e-9))
+    gain[2 * n * gain < doubt] = 0
+    np.fill_diagonal(gain, 0)
+    parent, best, near = np.full(m, -1), np.zeros(m), np.full(m, -1)
+    inside = np.zeros(m, bool)
+    for _ in range(m):
+        # Prim's algorithm; where no edge leads on, a new tree starts.
+        at = int(np.argmax(np.where(inside, -1.0, best)))
+        parent[at], inside[at] = near[at], True
+        closer = ~inside & (gain[at] > best)
+        best[closer], near[closer] = gain[at][closer], at
+    return parent
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30, dependent: bool = True) -> np.ndarray:
+    """Posterior P(toxic) of each row from its 0/1 votes and its noisy label, which is one more voter and the start.
+
+    A voter's rates in either class are those given the vote of the voter that it
+    depends on; the forest of dependencies is estimated twice along the way.
     """
     everyone = np.column_stack([votes, labels]).astype(np.float64)
     posterior = np.where(labels > 0, 0.95, 0.05)
-    share = np.ones(everyone.shape[1])
+    parent = np.full(everyone.shape[1], -1)
     for turn in range(rounds):
+        if dependent and turn in (rounds // 3, 2 * rounds // 3):
+            parent = dependencies(everyone, posterior)
+        above = np.where(parent[None, :] >= 0, everyone[:, parent], 0.0)
         mass = np.array([(1 - posterior).sum(), posterior.sum()]) + 1.0
-        fires = np.vstack([(1 - posterior) @ everyone, posterior @ everyone])
-        rate = (fires + 0.5) / (mass[:, None] + 1.0)
-        on, off = np.log(rate[1] / rate[0]) * share, np.log((1 - rate[1]) / (1 - rate[0])) * share
-        score = math.log(mass[1] / mass[0]) + everyone @ (on - off) + off.sum()
+        score = np.full(len(everyone), math.log(mass[1] / mass[0]))
+        for value in (above, 1 - above):
+            rate = []
+            for weight in (1 - posterior, posterior):
+                whole, fires = weight @ value, weight @ (value * everyone)
+                rate.append((fires + 0.5) / (whole + 1.0))
+            on, off = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
+            score += (value * everyone) @ on + (value * (1 - everyone)) @ off
         posterior = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        if turn == rounds // 3:
-            rest = everyone - np.outer(1 - posterior, rate[0]) - np.outer(posterior, rate[1])
-            spread = np.sqrt((rest**2).mean(0)) + 1e-9
-            linked = np.abs(rest.T @ rest / len(rest) / np.outer(spread, spread)) > 0.5
-            np.fill_diagonal(linked, True)
-            share = 1 / linked.sum(0)
     return posterior
 
 
@@ -144,13 +177,11 @@ def linear_classifier(votes: np.ndarray, posterior: np.ndarray, steps: int = 30,
     return weights
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int, voters: int) -> tuple[list[str], np.ndarray]:
-    ids = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    train = materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label"), "toxic-train")
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[list[str], np.ndarray]:
+    train = materialize(labelled_sample(docs, labels, sample_rows).select("text", "label"), "toxic-train")
     counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
-    lexicon = mine(train, toxic, clean, voters) if toxic and clean else []
+    lexicon = mine(train, toxic, clean) if toxic and clean else []
     votes = Votes(lexicon)
     if not toxic or not clean:
         weights = np.zeros(votes.size + 1)
@@ -168,15 +199,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int, voters: int) -> tu
     return lexicon, linear_classifier(matrix, label_model(matrix, label))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, voters: int = VOTERS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per input row: doc_id and `score`, the estimate that its toxic label is 1.
 
     `labels` holds doc_id and label, and only rows that may be learned from. A
-    null or empty text has no hits and is scored by that; repeated rows get equal
-    scores; other columns play no part; an empty table gives no row; without
-    labels of both classes the score is the smoothed share.
+    null or empty text has no hits and is scored by that, and a text of any length by
+    all of its words; a row's score depends on no other row, so ties need no rule and
+    repeated rows get equal scores; other columns play no part; an empty table gives
+    no row; without labels of both classes the score is the smoothed share.
     """
-    lexicon, weights = fit(docs, labels, sample_rows, voters)
+    prepared(docs.sparkSession)
+    lexicon, weights = fit(docs, labels, sample_rows)
     votes = Votes(lexicon)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
