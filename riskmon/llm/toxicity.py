@@ -138,13 +138,13 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30, depende
     """Posterior P(toxic) of each row from its 0/1 votes and its noisy label, which is one more voter and the start.
 
     A voter's rates in either class are those given the vote of the voter that it
-    depends on; the forest of dependencies is estimated twice along the way.
+    depends on; the forest of dependencies is estimated at the start and twice along the way.
     """
     everyone = np.column_stack([votes, labels]).astype(np.float64)
     posterior = np.where(labels > 0, 0.95, 0.05)
     parent = np.full(everyone.shape[1], -1)
     for turn in range(rounds):
-        if dependent and turn in (rounds // 3, 2 * rounds // 3):
+        if dependent and turn in (0, rounds // 3, 2 * rounds // 3):
             parent = dependencies(everyone, posterior)
         above = np.where(parent[None, :] >= 0, everyone[:, parent], 0.0)
         mass = np.array([(1 - posterior).sum(), posterior.sum()]) + 1.0
