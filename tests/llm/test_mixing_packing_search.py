@@ -215,3 +215,37 @@ def test_pipeline_stages(spark, tmp_path):
     assert 200 not in ids["near-duplicates"] and ids["near-duplicates"] >= set(range(60)) - {8} and len(kept["near-duplicates"]) == len(ids["near-duplicates"])
     assert all("@" not in r["text"] and r["n_chars"] == len(r["text"]) for r in kept["personal data"])
     assert ids["personal data"] == ids["near-duplicates"] >= ids["mixing"] == ids["packing"]
+
+
+def test_pipeline_stages_on_edges(spark, edges, nothing, tmp_path):
+    """Every stage on nulls, empty and long texts, repeated rows and ids, clashing columns, and on an empty table."""
+    spark.createDataFrame([(i, int(i != 14), 0) for i in range(1, 15)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = [t for _, t, _ in edge_rows()]
+    for name, stage in corpus_pipeline.STAGES:
+        got, empty = stage(spark, edges, str(tmp_path)), stage(spark, nothing, str(tmp_path))
+        rows = got.collect()
+        assert empty.count() == 0 and rows, name
+        if name == "packing":
+            assert {r["doc_id"] for r in rows} == {i for i, _, _ in edge_rows()}
+            continue
+        assert got.columns == edges.columns and empty.columns == edges.columns
+        if name != "personal data":
+            assert all(r["text"] in texts for r in rows)
+        if name == "personal data":
+            assert len(rows) == len(texts) and sum(r["text"] is None for r in rows) == texts.count(None)
+        if name == "near-duplicates":
+            # 1, 2, 3 and 3 again are copies of one another, 7 and 8 too; texts without words stay.
+            assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [1, 4, 5, 6, 7, 9, 10, 11, 12, 13, 14] and len(rows) == 12
+
+
+def test_near_duplicate_stage_keeps_other_texts_of_an_id(spark):
+    rows = [(1, prose(71, 40)), (1, prose(72, 40)), (1, prose(72, 40)), (2, prose(71, 40)), (3, prose(73, 40)), (None, prose(73, 40)), (None, prose(74, 40))]
+    got = corpus_pipeline.drop_near_duplicates(spark, make(spark, [(i, t, "s") for i, t in rows]), "").select("doc_id", "text").collect()
+    assert sorted(t for _, t in got) == sorted(prose(k, 40) for k in (71, 72, 73, 74)) and (3, prose(73, 40)) in map(tuple, got)
+
+
+def test_redaction_leaves_no_part_of_a_secret(spark):
+    secret = "f3ef4d6b2755a36d" * 50
+    docs = make(spark, [(i, f'key: token = "{secret}" and more', "s") for i in range(5)])
+    got = corpus_pipeline.redact_personal_data(spark, docs, "").collect()
+    assert all("f3ef" not in r["text"] and r["n_chars"] == len(r["text"]) for r in got)

@@ -41,6 +41,22 @@ def test_policies_and_ablation(spark):
     assert table["few_words"]["failed"] == 1 and table["symbols"]["failed_alone"] == 1 and table["symbols"]["kept_without"] == 2
 
 
+def test_ablation_against_brute_force(spark, edges):
+    """Every rejected row of the query carries what its first failed rule costs, over all rows."""
+    entries = rules.materialize(rules.ledger(edges), "ledger")
+    got = rules.explained(entries, "v3").collect()
+    bits = [r["bits"] for r in got]
+    names = [n for n, _ in rules.RULES]
+    assert len(got) == len(edge_rows()) and len(set(bits)) > 2
+    for r in got:
+        failed = [i for i in range(len(names)) if r["bits"] >> i & 1]
+        assert r["kept"] == (not failed) and r["policy"] == "v3" and r["first_failed"] == (names[failed[0]] if failed else None)
+        if failed:
+            one = 1 << failed[0]
+            assert (r["failed"], r["failed_alone"], r["kept_without"]) == (sum(b & one > 0 for b in bits), sum(b == one for b in bits), sum(b & ~one == 0 for b in bits))
+    assert rules.explained(rules.ledger(edges.limit(0)), "v1").count() == 0
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -156,6 +172,38 @@ def test_quality_held_out_accuracy(spark):
     assert got and np.mean([(r["score"] >= 0.7) == r["label"] for r in got]) >= 0.97
 
 
+def brute_statistics(text):
+    """The classifier's features of one text, in plain Python."""
+    text = text or ""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    lines = [x for x in text.split("\n") if x.strip(" ")]
+    n, chars, m = max(len(words), 1), max(sum(map(len, words)), 1), max(len(lines), 1)
+    count = lambda p: len(re.findall(p, text))
+    return [
+        np.log1p(len(words)), sum(map(len, words)) / n, count("[#*$%&<>]") / n, count("!") / n, count(r"\|") / n, count("[A-ZÀ-ÖØ-Þ]") / chars,
+        count("[0-9]") / chars, len(set(words)) / n, brute_repeats(words) / n, np.log1p(len(words) / m), 1 - len(set(lines)) / m,
+    ]
+
+
+def test_quality_score_against_brute_force(spark, edges):
+    """The compiled column gives what its rules, evaluated one by one in Python, add up to."""
+    docs, labels = labelled(spark, lambda i, r: " ".join(w + "***" for w in prose(i, 60).split()))
+    model = quality.fit(docs, labels)
+    assert len(model.weighted) > 1
+    for r in quality.statistics(edges).withColumn("score", model.score()).join(edges.select("doc_id", "text"), "doc_id").collect():
+        x = brute_statistics(r["text"])
+        assert np.allclose([r[f] for f in quality.FEATURES], x)
+        total = model.intercept + sum(w for rule, w in model.weighted if all(x[f] <= b if sign == "<=" else x[f] > b for f, sign, b in rule))
+        assert abs(r["score"] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_fit_takes_each_labelled_id_once(spark):
+    docs = make(spark, [(1, "b b", "s")] * 5 + [(1, "a a", "s"), (2, None, "s"), (3, "c", "s"), (None, "d", "s")])
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, None), (None, 1), (9, 1)], "doc_id long, label int")
+    assert sorted(map(tuple, quality.labelled_sample(docs, labels, 100).collect())) == [(1, 1, "a a"), (2, 0, None)]
+    assert quality.labelled_sample(docs, labels, 1).count() <= 1
+
+
 def test_fold_is_crc32(spark):
     got = spark.range(50).select(F.col("id").alias("doc_id")).select("doc_id", quality.fold(4).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["doc_id"]).encode()) % 4 for r in got)
@@ -179,6 +227,36 @@ def test_toxicity_held_out_accuracy(spark):
     assert got and np.mean([(r["score"] >= 0.5) == r["label"] for r in got]) >= 0.97
 
 
+def test_toxicity_score_against_brute_force(spark, edges):
+    """Scores are the logistic sum of the weights of the voters that fire, found here word by word."""
+    docs, labels = labelled(spark, lambda i, r: prose(i, 60) + " blarg! zz" + r.choice(["gorp", "gorpen"]))
+    labels = labels.withColumn("label", 1 - F.col("label"))
+    lexicon, weights = toxicity.fit(docs, labels, 1000)
+    assert lexicon
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels, 1000).collect()}
+    for i, text in [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]:
+        words = [w.strip(toxicity.STRIP) for w in text.lower().split()]
+        fires = [any((w == f[1:]) if f[0] == "w" else (w[: int(f[0])] == f[1:] and len(w) > int(f[0])) for w in words if w) for f in lexicon]
+        hits = sum(any((w == f[1:]) if f[0] == "w" else (w[: int(f[0])] == f[1:] and len(w) > int(f[0])) for f in lexicon) for w in words if w)
+        fires += [sum(fires) >= 2, hits > 0 and 100 * hits >= len(words), hits == 0]
+        total = weights[-1] + sum(w for w, x in zip(weights, fires) if x)
+        assert abs(got[i] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_label_model_discounts_copies_of_a_voter():
+    rnd = np.random.default_rng(4)
+    y = rnd.random(6000) < 0.3
+    weak = rnd.random(6000) < np.where(y, 0.6, 0.3)
+    copies = np.column_stack([np.where(rnd.random(6000) < 0.97, weak, ~weak) for _ in range(5)])
+    good = np.column_stack([rnd.random(6000) < np.where(y, 0.85, 0.1) for _ in range(3)])
+    votes = np.column_stack([copies, good]).astype(np.float32)
+    noisy = np.where(rnd.random(6000) < 0.15, ~y, y).astype(float)
+    right = {d: np.mean((toxicity.label_model(votes, noisy, dependent=d) > 0.5) == y) for d in (True, False)}
+    assert right[True] > 0.95 and right[True] > right[False] + 0.2
+    parent = toxicity.dependencies(np.column_stack([votes, noisy]).astype(float), y.astype(float))
+    assert sum(p >= 0 for p in parent[:5]) == 4 and all(p < 5 for p in parent[:5])
+
+
 def test_label_model_trusts_good_voters():
     rnd = np.random.default_rng(1)
     y = rnd.random(2000) < 0.3
