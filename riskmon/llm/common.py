@@ -96,19 +96,17 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
     return (materialize(rows, "keyed") if repeat else rows), repeat
 
 
-def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], parts: int = 1024) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], most: int = 1024) -> DataFrame:
     """Inner join of stored `rows` with a stored `table` that holds each key once and in `n` the number of its rows.
 
-    Keys of more than 1 / `parts` of all rows, fewer than `parts` by count, are joined
-    by broadcast, so that no task gathers the rows of a hot key; the others by shuffle.
+    The `most` keys of the most rows are joined by broadcast, all others, of which
+    none has more than 1 / `most` of the rows, by shuffle. So no task gathers the
+    rows of a hot key, and what is broadcast is bounded at any size.
     """
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = F.col("n") > max(total / parts, parts)
-    few = table.where(hot)
-    if few.isEmpty():
-        return rows.join(table, keys)
-    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(table.where(~hot), keys)
-    return rest.unionByName(rows.join(F.broadcast(few), keys))
+    hot = table.orderBy(F.desc("n"), *keys).limit(most)
+    known = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("__hot"))), keys, "left")
+    rest = known.where("__hot is null").select(*rows.columns).join(table, keys)
+    return rest.unionByName(rows.join(F.broadcast(hot), keys))
 
 
 def tasks_for(df: DataFrame, rows_per_task: int, least: int = 1) -> int:
