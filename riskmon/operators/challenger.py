@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskmon.operators.metrics import ranking
+
 
 def windows(df: DataFrame, delay: int, label: str = "label") -> DataFrame:
     """(batch, role): the last two mature batches evaluate, the shortest suffix of the others with both classes calibrates, the rest trains.
@@ -52,18 +54,15 @@ Metric = Callable[[np.ndarray, np.ndarray, np.ndarray], float]
 def paired_difference(scores: DataFrame, metric: Metric, iterations: int = 500, level: float = 0.95, seed: int = 42, most_triples: int = 200_000) -> tuple[float, float, float] | None:
     """(difference, lower, upper) of metric(challenger) - metric(champion) under stratified resampling.
 
-    `scores` holds label, champion and challenger of an evaluation window. Rows
-    are counted per distinct triple first, and scores are rounded to fewer places
-    until there are at most `most_triples`, so that what reaches the driver and
-    the tasks is bounded; the iterations are spread over tasks. None for a single
-    class.
+    `scores` holds label, champion and challenger of an evaluation window. Rows are
+    counted per distinct triple first. An arbitrary metric needs all triples at one
+    place, so windows of more than `most_triples` are refused;
+    `paired_average_precision` takes any number. None for a single class.
     """
     spark = scores.sparkSession
-    for places in (None, 6, 5, 4, 3, 2):
-        held = scores if places is None else scores.withColumns({c: F.round(c, places) for c in ("champion", "challenger")})
-        groups = held.groupBy("label", "champion", "challenger").agg(F.count(F.lit(1)).alias("n"))
-        if groups.limit(most_triples + 1).count() <= most_triples:
-            break
+    groups = scores.groupBy("label", "champion", "challenger").agg(F.count(F.lit(1)).alias("n"))
+    if groups.limit(most_triples + 1).count() > most_triples:
+        raise ValueError(f"more than {most_triples} different triples: use paired_average_precision")
     counts = groups.orderBy("label", "champion", "challenger").toPandas()
     y, n = counts["label"].to_numpy(int), counts["n"].to_numpy()
     a, b = (counts[c].to_numpy(float) for c in ("champion", "challenger"))
@@ -89,6 +88,36 @@ def paired_difference(scores: DataFrame, metric: Metric, iterations: int = 500,
     return metric(y, b, n) - metric(y, a, n), low, high
 
 
+def paired_average_precision(scores: DataFrame, iterations: int = 500, level: float = 0.95, seed: int = 42) -> tuple[float, float, float] | None:
+    """The same for average precision, for windows of any size and with exact scores.
+
+    Rows are counted per distinct triple, each triple draws how often it occurs in
+    every iteration from a Poisson law of its count, and all iterations are ranked at
+    once by two-level running sums. None for a single class.
+    """
+    counts = scores.groupBy("label", "champion", "challenger").agg(F.count(F.lit(1)).alias("n"))
+    if counts.select("label").distinct().count() < 2:
+        return None
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                # The same triple draws the same numbers wherever it is computed.
+                times = np.array([np.random.default_rng([seed, key]).poisson(n, iterations) for key, n in zip(part["key"].to_numpy(np.uint64), part["n"])])
+                row, turn = np.nonzero(times)
+                out = part[["label", "champion", "challenger"]].iloc[row].assign(iter=turn + 1, w=times[row, turn])
+                yield pd.concat([out, part[["label", "champion", "challenger"]].assign(iter=0, w=part["n"])])
+
+    keyed = counts.select("label", "champion", "challenger", "n", F.xxhash64("label", "champion", "challenger").alias("key"))
+    weighted = keyed.mapInPandas(drawn, "label int, champion double, challenger double, iter long, w long")
+    per = {c: ranking(weighted, ["iter"], score=c, weight="w").select("iter", F.col("pr_auc").alias(c)) for c in ("champion", "challenger")}
+    each = per["champion"].join(per["challenger"], "iter").select("iter", (F.col("challenger") - F.col("champion")).alias("d"))
+    ends = F.percentile(F.when(F.col("iter") > 0, F.col("d")), F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    difference, (low, high) = each.agg(F.max(F.when(F.col("iter") == 0, F.col("d"))), ends).first()
+    return difference, low, high
+
+
 def decide(pr_auc: tuple[float, float, float] | None, recall_difference: tuple[float, float, float] | None, regressions: int) -> bool:
     """Recommend only a surely better ranking with no loss of recall, overall or in any segment."""
     return bool(pr_auc and recall_difference and pr_auc[1] > 0 and recall_difference[1] >= 0 and not regressions)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskmon.operators.features import as_category
-from riskmon.operators.metrics import edges, higher_quantile, left_closed
+from riskmon.operators.metrics import edges, left_closed, running
 
 SMOOTHING = 1e-6
 SEVERITIES = ("healthy", "warning", "critical")
@@ -110,11 +110,12 @@ def wasserstein(current: DataFrame, by: list[str], reference: DataFrame) -> Data
     groups = now.select(*by, "feature").distinct()
     union = now.withColumn("r", F.lit(0)).unionByName(groups.join(ref, "feature").withColumn("c", F.lit(0)))
     merged = union.groupBy(*by, "feature", "value").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
-    order = Window.partitionBy(*by, "feature").orderBy("value")
-    upto, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by, "feature")
-    gap = F.abs(F.sum("c").over(upto) / F.sum("c").over(whole) - F.sum("r").over(upto) / F.sum("r").over(whole))
-    step = F.lead("value").over(order) - F.col("value")
-    area = merged.withColumn("area", gap * step).groupBy(*by, "feature").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("area"))
+    # The area between two step functions, summed by parts: the gap after a value holds up to the next
+    # value, so each value enters once with the gap before it and once, negated, with the gap after it.
+    run = running(merged, [*by, "feature"], "value", ["c", "r"])
+    after = F.abs(F.col("upto_c") / F.col("all_c") - F.col("upto_r") / F.col("all_r"))
+    before = F.abs((F.col("upto_c") - F.col("c")) / F.col("all_c") - (F.col("upto_r") - F.col("r")) / F.col("all_r"))
+    area = run.withColumn("area", (before - after) * F.col("value")).groupBy(*by, "feature").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("area"))
     return area.join(scale, "feature").select(*by, "feature", (F.col("area") / F.col("scale")).alias("wasserstein"))
 
 
@@ -140,11 +141,12 @@ def draw_days(spark: SparkSession, days: list[int], iterations: int, size: int =
     return spark.createDataFrame(rows, "iter int, day long, mult long")
 
 
-def cyclic_draws(days: DataFrame, iterations: int, size: int = 7) -> DataFrame:
-    """Draws by a fixed arithmetic rule over the ordered days, reproducible in any engine."""
+def hashed_draws(days: DataFrame, iterations: int, size: int = 7) -> DataFrame:
+    """(iter, day, mult): days drawn with replacement by MD5 of iteration and place, the same in any engine."""
     listed = days.agg(F.array_sort(F.collect_set("day")).alias("days"))
     each = listed.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    place = (F.col("iter") * 7919 + F.col("j") * 104729 + F.col("iter") * F.col("j") * 31) % F.size("days")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "iter", "j").cast("binary")), 1, 8), 16, 10).cast("long")
+    place = (drawn % F.size("days")).cast("int")
     return each.groupBy("iter", F.get("days", place).alias("day")).agg(F.count(F.lit(1)).alias("mult"))
 
 
@@ -171,18 +173,44 @@ def alert_limits(samples: DataFrame, limits: DataFrame, value: str) -> DataFrame
     """How many features may alert at once: (kind, limit) from the resamples themselves."""
     judged = samples.join(F.broadcast(limits), "feature").withColumn("severity", severity(F.col(value), F.col("warning_limit"), F.col("critical_limit")))
     per = judged.groupBy("iter").agg(F.count_if(F.col("severity") != "healthy").alias("warning"), F.count_if(F.col("severity") == "critical").alias("critical"))
-    low = higher_quantile(per, "warning", [0.95]).select(F.lit("warning").alias("kind"), F.col("value").alias("limit"))
-    return low.unionByName(higher_quantile(per, "critical", [0.99]).select(F.lit("critical").alias("kind"), F.col("value").alias("limit")))
+    # One row per iteration, so the sorted counts fit into one row.
+    place = {q: F.ceil(F.round((F.count(F.lit(1)) - 1) * q, 9)).cast("int") for q in (0.95, 0.99)}
+    kinds = [F.struct(F.lit(kind).alias("kind"), F.get(F.array_sort(F.collect_list(kind)), place[q]).alias("limit")) for kind, q in (("warning", 0.95), ("critical", 0.99))]
+    return per.agg(F.array(*kinds).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 def compare(values: DataFrame, limits: DataFrame, by: list[str], value: str, expected: list[str]) -> DataFrame:
-    """Drift records of all groups; a monitored feature without values is critical as schema_missing."""
+    """Drift records of all groups, one per expected feature.
+
+    A feature that a group's table lacks, so that `values` holds no row of it, is
+    critical as schema_missing, whether it has limits or not; a feature without
+    limits is judged against 0.
+    """
     groups = values.select(*by).distinct()
     wanted = groups.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in expected])))
-    held = wanted.join(values.select(*by, "feature", F.col(value).alias("value")), [*by, "feature"], "left").join(F.broadcast(limits), "feature", "left")
-    absent = F.col("warning_limit").isNull()
+    seen = values.select(*by, "feature", F.col(value).alias("value"), F.lit(True).alias("seen"))
+    held = wanted.join(seen, [*by, "feature"], "left").join(F.broadcast(limits), "feature", "left")
+    absent = F.col("seen").isNull()
+    bound = {c: F.when(absent, 0.0).otherwise(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("warning_limit", "critical_limit")}
     return held.select(
         *by, "feature", F.when(absent, "schema_missing").otherwise(value).alias("metric"),
-        F.when(absent, 1.0).otherwise(F.col("value")).alias("value"),
-        F.coalesce("warning_limit", F.lit(0.0)).alias("warning_limit"), F.coalesce("critical_limit", F.lit(0.0)).alias("critical_limit"),
+        F.when(absent, 1.0).otherwise(F.col("value")).alias("value"), bound["warning_limit"], bound["critical_limit"],
     ).withColumn("severity", severity(F.col("value"), F.col("warning_limit"), F.col("critical_limit")))
+
+
+def global_severity(records: DataFrame, limits: DataFrame, prediction: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., critical_features, alerting_features, severity): more features alert than `limits` (kind, limit) allow, or the prediction itself drifts.
+
+    `prediction` holds the severity of the scores of each group as prediction_severity.
+    """
+    most = limits.groupBy().pivot("kind", ["warning", "critical"]).agg(F.first("limit"))
+    per = records.groupBy(*by).agg(
+        F.count_if(F.col("severity") == "critical").alias("critical_features"), F.count_if(F.col("severity") != "healthy").alias("alerting_features")
+    )
+    held = per.join(prediction, by, "left").join(F.broadcast(most.select(F.col("warning").alias("__w"), F.col("critical").alias("__c"))), F.lit(True), "left")
+    level = (
+        F.when((F.col("critical_features") > F.col("__c")) | (F.col("prediction_severity") == "critical"), "critical")
+        .when((F.col("alerting_features") > F.col("__w")) | (F.col("prediction_severity") == "warning"), "warning")
+        .otherwise("healthy")
+    )
+    return held.withColumn("severity", level).select(*by, "critical_features", "alerting_features", "severity")

@@ -32,17 +32,40 @@ def left_closed(value: Column, edge: Column) -> Column:
     return F.size(F.filter(inner(edge), lambda e: e <= value))
 
 
+def running(counts: DataFrame, by: list[str], value: str, columns: list[str], descending: bool = False, buckets: int = 4096) -> DataFrame:
+    """counts with `upto_<c>`, the sum of each column over this and all earlier values of the group, and `all_<c>`.
+
+    `counts` holds each finite (by..., value) once. Sums are taken over equal buckets
+    of the group's range of values first and inside each bucket then, so that no task
+    orders a whole group.
+    """
+    names = [*by, "__bucket"]
+    # A group of its own, so that an empty `by` needs no special case.
+    held = counts.withColumn("__group", F.struct(*[F.col(c) for c in by]) if by else F.lit(0))
+    ranges = held.groupBy("__group").agg(F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"))
+    place = F.floor(F.try_divide(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo")) * buckets)
+    placed = held.join(ranges, "__group").withColumn("__bucket", F.coalesce(place, F.lit(0))).drop("__lo", "__hi", "__group")
+    turned = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    before = Window.partitionBy(*by).orderBy(turned("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    per = placed.groupBy(*names).agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    per = per.select(
+        *names, *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__before_{c}") for c in columns],
+        *[F.sum(f"__{c}").over(Window.partitionBy(*by)).alias(f"all_{c}") for c in columns],
+    )
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in names]
+    joined = placed.alias("x").join(per.alias("y"), same).select("x.*", *[f"y.{c}" for c in per.columns if c not in names])
+    inside = Window.partitionBy(*names).orderBy(turned(value)).rowsBetween(Window.unboundedPreceding, 0)
+    upto = {f"upto_{c}": F.col(f"__before_{c}") + F.sum(c).over(inside) for c in columns}
+    return joined.withColumns(upto).drop("__bucket", *[f"__before_{c}" for c in columns])
+
+
 def higher_quantile(df: DataFrame, value: str, points: list[float], by: list[str] | None = None) -> DataFrame:
     """sorted[ceil((n - 1) q)] per group: (by..., q, value)."""
     by = by or []
-    # Duplicates are counted first, so the running count covers distinct values only.
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    ranked = counts.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(whole))
-    asked = ranked.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in points])))
-    place = F.ceil(F.round((F.col("n") - 1) * F.col("q"), 9))
-    return asked.where((F.col("upto") > place) & (F.col("upto") - F.col("c") <= place)).select(*by, "q", F.col(value).alias("value"))
+    asked = running(counts, by, value, ["c"]).withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in points])))
+    place = F.ceil(F.round((F.col("all_c") - 1) * F.col("q"), 9))
+    return asked.where((F.col("upto_c") > place) & (F.col("upto_c") - F.col("c") <= place)).select(*by, "q", F.col(value).alias("value"))
 
 
 def review_thresholds(df: DataFrame, rates: list[float], score: str = "score") -> DataFrame:
@@ -80,8 +103,7 @@ def ranking(df: DataFrame, by: list[str], score: str = "score", label: str = "la
     """
     w = F.col(weight) if weight else F.lit(1)
     per = df.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("p"), F.sum(w).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.withColumn("cp", F.sum("p").over(down)).withColumn("cn", F.sum("n").over(down))
+    run = running(per, by, score, ["p", "n"], descending=True).withColumnsRenamed({"upto_p": "cp", "upto_n": "cn"})
     negatives = F.col("n") - F.col("p")
     sums = run.groupBy(*by).agg(
         F.sum("p").alias("positives"), F.sum("n").alias("weight"),
@@ -136,11 +158,29 @@ def calibration_error(df: DataFrame, by: list[str], score: str = "score", label:
 
 
 def review_budget(df: DataFrame, thresholds: DataFrame, score: str = "score", label: str = "label", amount: str = "amount") -> DataFrame:
-    """Decision metrics of every threshold of a small table, by review rate."""
-    crossed = df.select(score, label, amount).crossJoin(F.broadcast(thresholds))
-    counts = confusion(crossed, ["review_rate", "threshold"], F.col("threshold"), score, label)
-    money = captured_amount(crossed, ["review_rate"], F.col("threshold"), amount, score, label)
-    return counts.join(money, "review_rate").withColumn("realised_rate", (F.col("true_positive") + F.col("false_positive")) / F.col("rows"))
+    """Decision metrics of every threshold, by review rate; `thresholds` holds one row per asked rate.
+
+    All thresholds are conditional sums of one pass, so no row is repeated.
+    """
+    y = F.col(label) == 1
+
+    def decided(rate: float, threshold: float) -> Column:
+        flagged = F.col(score) >= threshold
+        return F.struct(
+            F.lit(rate).alias("review_rate"), F.lit(threshold).alias("threshold"), F.count_if(y & flagged).alias("true_positive"),
+            F.count_if(~y & flagged).alias("false_positive"), F.count_if(y & ~flagged).alias("false_negative"), F.count_if(~y & ~flagged).alias("true_negative"),
+            F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.when(y, F.col(amount))), F.lit(0.0)).alias("fraud_amount"),
+            F.coalesce(F.sum(F.when(y & flagged, F.col(amount))), F.lit(0.0)).alias("captured_amount"),
+        )
+
+    asked = [decided(r["review_rate"], r["threshold"]) for r in thresholds.collect()]
+    counts = df.agg(F.array(*asked).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    return counts.select(
+        "review_rate", "threshold", "true_positive", "false_positive", "false_negative", "true_negative", "rows",
+        *[v.alias(k) for k, v in rates("true_positive", "false_positive", "false_negative", "true_negative").items()],
+        "fraud_amount", "captured_amount", F.when(F.col("fraud_amount") > 0, F.col("captured_amount") / F.col("fraud_amount")).alias("captured_rate"),
+        ((F.col("true_positive") + F.col("false_positive")) / F.col("rows")).alias("realised_rate"),
+    )
 
 
 def calibration_line(df: DataFrame, score: str = "score", label: str = "label") -> tuple[float | None, float | None]:

@@ -108,6 +108,12 @@ def actions(batches: DataFrame, stream: str = "stream", batch: str = "batch") ->
     return out.withColumns({"action": action, "action_evidence": evidence}).drop("w", "pw", "pp")
 
 
+def recommendations(acted: DataFrame, stream: str = "stream", batch: str = "batch") -> DataFrame:
+    """(stream, batch, action, action_evidence, repeated): the policy's output with whether the batch before asked for the same."""
+    before = F.lag("action").over(Window.partitionBy(stream).orderBy(batch))
+    return acted.select(stream, batch, "action", "action_evidence", F.coalesce(before == F.col("action"), F.lit(False)).alias("repeated"))
+
+
 def health(drift: Column, performance: Column) -> Column:
     """Worst of two statuses: critical, warning, unavailable, healthy."""
     out = F.lit("healthy")

@@ -15,7 +15,7 @@ from riskmon.sources import export, ingest
 
 DAY = 86400
 NUMERIC, CATEGORIES = ["amount", "score"], ["product", "channel", "region", "user_id"]
-THRESHOLD, ITERATIONS = 0.8, 60
+THRESHOLD, ITERATIONS = 0.8, 500
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -255,7 +255,7 @@ def drift_severity(spark: SparkSession, d: str) -> DataFrame:
 
 def resamples(spark: SparkSession, d: str) -> DataFrame:
     rows = acceptance(labelled(spark, d)).withColumn("day", F.floor(F.col("t") / DAY))
-    draws = drift.cyclic_draws(rows.select("day"), ITERATIONS)
+    draws = drift.hashed_draws(rows.select("day"), ITERATIONS)
     return drift.bootstrap_statistics(drift.numeric_long(rows, ["day"], NUMERIC), draws)
 
 
@@ -286,7 +286,7 @@ def drift_ordered(spark: SparkSession, d: str) -> DataFrame:
 def performance_limits(spark: SparkSession, d: str) -> DataFrame:
     """Limits of recall and average precision over day-block resamples of the acceptance period."""
     rows = acceptance(labelled(spark, d)).withColumn("day", F.floor(F.col("t") / DAY))
-    draws = drift.cyclic_draws(rows.select("day"), ITERATIONS)
+    draws = drift.hashed_draws(rows.select("day"), ITERATIONS)
     per = rows.groupBy("day", "score", "label").agg(F.count(F.lit(1)).alias("n"))
     weighted = per.join(F.broadcast(draws), "day").withColumn("w", F.col("n") * F.col("mult"))
     ranked = metrics.ranking(weighted, ["iter"], weight="w").select("iter", "pr_auc")
@@ -389,6 +389,75 @@ def investigations(spark: SparkSession, d: str) -> DataFrame:
     return found.drop("driver_evidence")
 
 
+def prediction_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Score movement per batch: divergence of the scores against limits from the resamples."""
+    limits = rounded(drift.control_limits(resamples(spark, d).where("feature = 'score'"), ["feature"], "js"), 9)
+    held = rounded(divergence_values(spark, d), 9).where("feature = 'score'").join(F.broadcast(limits), "feature")
+    level = drift.severity(F.col("js"), F.col("warning_limit"), F.col("critical_limit"))
+    return held.select("batch", "js", "warning_limit", "critical_limit", level.alias("prediction_severity"))
+
+
+def score_js_limits(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(prediction_drift(spark, d))
+
+
+def global_severity(spark: SparkSession, d: str) -> DataFrame:
+    samples = rounded(resamples(spark, d), 9)
+    allowed = drift.alert_limits(samples, rounded(drift.control_limits(samples, ["feature"], "psi"), 9), "psi")
+    return drift.global_severity(drift_records(spark, d), allowed, prediction_drift(spark, d).select("batch", "prediction_severity"), ["batch"])
+
+
+def label_freshness(spark: SparkSession, d: str) -> DataFrame:
+    """How many batches have mature and pending labels, the latest mature one, and the action of the latest batch."""
+    acted = monitoring.actions(batch_table(spark, d))
+    latest = F.max_by(F.when(F.col("label_status") == "stale", "investigate").otherwise(F.col("action")), "batch")
+    return acted.agg(
+        F.count_if(F.col("label_status") == "mature").alias("mature"), F.count_if(F.col("label_status") == "pending").alias("pending"),
+        F.max(F.when(F.col("label_status") == "mature", F.col("batch"))).alias("latest_mature"), latest.alias("current_action"),
+    )
+
+
+def last_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The five latest batches with the evidence of their actions."""
+    return action_policy(spark, d).orderBy(F.desc("batch")).limit(5)
+
+
+def recommendation_history(spark: SparkSession, d: str) -> DataFrame:
+    """The latest eight recommendations, each with whether the batch before it asked for the same."""
+    rows = monitoring.recommendations(monitoring.actions(batch_table(spark, d)))
+    return rows.orderBy(F.desc("batch")).limit(8)
+
+
+def confusion_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """The confusion counts of the latest mature batch as a table of two by two."""
+    mature = batch_table(spark, d).where("label_status = 'mature'").agg(F.max("batch").alias("batch"))
+    counts = metrics.confusion(batches(labelled(spark, d)), ["batch"], F.lit(THRESHOLD)).join(F.broadcast(mature), "batch")
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(actual).alias("actual"), F.col(missed).alias("predicted_0"), F.col(hit).alias("predicted_1"))
+        for actual, missed, hit in ((0, "true_negative", "false_positive"), (1, "false_negative", "true_positive"))
+    ]))
+    return counts.select("batch", cells.alias("r")).select("batch", "r.*")
+
+
+def budget_unpivot(spark: SparkSession, d: str) -> DataFrame:
+    """The review budget in long form."""
+    shown = ["precision", "recall", "realised_rate", "captured_rate"]
+    return rounded(review_budget(spark, d).unpivot(["review_rate"], shown, "metric", "value"), 4)
+
+
+def calibration_unpivot(spark: SparkSession, d: str) -> DataFrame:
+    """Calibration error and Brier score of every batch in long form."""
+    rows = batches(labelled(spark, d))
+    both = metrics.calibration_error(rows, ["batch"]).join(metrics.score_summary(rows, ["batch"]).select("batch", "brier"), "batch")
+    return rounded(both.unpivot(["batch"], ["ece", "brier"], "metric", "value"))
+
+
+def score_movement(spark: SparkSession, d: str) -> DataFrame:
+    """Divergence and mean shift of the scores of every batch in long form."""
+    both = rounded(divergence_values(spark, d), 9).where("feature = 'score'").select("batch", "js").join(batch_table(spark, d).select("batch", "shift"), "batch")
+    return rounded(both.unpivot(["batch"], ["js", "shift"], "metric", "value"))
+
+
 def challenger_windows(spark: SparkSession, d: str) -> DataFrame:
     return challenger.windows(batches(labelled(spark, d)), delay=2)
 
@@ -405,7 +474,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         wasserstein_by_batch, drift_severity, bootstrap_drift_limits, alert_count_limits, drift_compare, drift_ordered,
         performance_limits, label_maturity, segment_topk, segment_metrics_pooled, top_segments, batch_metrics, action_policy,
         health_timeline, latest_batch, metric_unpivot, public_projection, shap_rank_change, driver_ranking, investigations,
-        challenger_windows,
+        challenger_windows, score_js_limits, global_severity, label_freshness, last_evidence, recommendation_history, confusion_pivot,
+        budget_unpivot, calibration_unpivot, score_movement,
     )
 } | {"development_blocks": counted("development_block"), "daily_batches": counted("production_batch"), "fold_membership": lambda s, d: temporal.fold_rows(labelled(s, d))}
 

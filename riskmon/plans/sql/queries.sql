@@ -152,7 +152,7 @@ SELECT batch, CAST(sum(p) AS BIGINT) AS positives, round(sum(p * cp / cn) / null
 -- query roc_auc_by_batch
 SELECT batch, CAST(sum(n - p) AS BIGINT) AS negatives, round(sum((n - p) * (cp - p / 2)) / nullif(sum(p) * sum(n - p), 0), 6) AS roc_auc FROM steps GROUP BY batch
 
--- query brier_logloss
+-- view brierb
 SELECT batch, round(avg((score - label) * (score - label)), 6) AS brier,
        round(avg(-(label * ln(c) + (1 - label) * ln(1 - c))), 6) AS log_loss
 FROM (SELECT *, least(greatest(score, 2.220446049250313e-16::DOUBLE), 1 - 2.220446049250313e-16::DOUBLE) AS c FROM prod) GROUP BY batch
@@ -165,7 +165,7 @@ SELECT batch, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives, round(a
 SELECT batch, list_sort(list_distinct(list_transform(quantile_cont(score, [0.0::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 0.30000000000000004::DOUBLE, 0.4::DOUBLE, 0.5::DOUBLE, 0.6000000000000001::DOUBLE, 0.7000000000000001::DOUBLE, 0.8::DOUBLE, 0.9::DOUBLE, 1.0::DOUBLE]), lambda x: round(x, 9)))) AS e
 FROM prod GROUP BY batch
 
--- query ece_by_batch
+-- view eceb
 SELECT batch, round(sum(n * gap) / sum(n), 6) AS ece
 FROM (SELECT prod.batch, len(list_filter(e[2:len(e) - 1], lambda x: x < score)) AS b, count(*) AS n, abs(avg(label) - avg(score)) AS gap FROM prod JOIN pedges ON prod.batch = pedges.batch GROUP BY ALL) GROUP BY batch
 
@@ -174,7 +174,7 @@ SELECT rows, round(mean_probability, 6) AS mean_probability, round(observed_rate
 FROM (SELECT len(list_filter(e[2:len(e) - 1], lambda x: x < score)) AS b, count(*) AS rows, avg(score) AS mean_probability, avg(label) AS observed_rate, min(score) AS minimum_probability, max(score) AS maximum_probability
       FROM acc, (SELECT edges AS e FROM nedges WHERE feature = 'score') GROUP BY b)
 
--- query review_budget
+-- view budget
 SELECT CAST(review_rate AS DOUBLE) AS review_rate, threshold, tp AS true_positive, fp AS false_positive, fn AS false_negative, tn AS true_negative, n AS rows,
        round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1,
        round(fp / nullif(fp + tn, 0), 4) AS false_positive_rate, round(fn / nullif(tp + fn, 0), 4) AS false_negative_rate,
@@ -256,8 +256,15 @@ SELECT batch, CASE WHEN max(p) > 0.05::DOUBLE THEN 'critical' WHEN max(p) > 0.01
 FROM (SELECT batch, round(psi, 6) AS p FROM diverge) GROUP BY batch
 
 -- view draws
-SELECT iter, days[(iter * 7919 + j * 104729 + iter * j * 31) % len(days) + 1] AS day, count(*) AS mult
-FROM (SELECT list_sort(list(DISTINCT t // 86400)) AS days FROM acc), range(60) i(iter), range(7) k(j) GROUP BY 1, 2
+SELECT iter, days[CAST('0x' || substr(md5(iter || ':' || j), 1, 8) AS BIGINT) % len(days) + 1] AS day, count(*) AS mult
+FROM (SELECT list_sort(list(DISTINCT t // 86400)) AS days FROM acc), range(500) i(iter), range(7) k(j) GROUP BY 1, 2
+
+-- view jsamples
+SELECT s.iter, round(sqrt(greatest(sum(a * log2(a / ((a + e) / 2)) + e * log2(e / ((a + e) / 2))) / 2, 0)), 9) AS js
+FROM (SELECT g.iter, cells.feature, cells.bin, (coalesce(n, 0) + 1e-6::DOUBLE) / sum(coalesce(n, 0) + 1e-6::DOUBLE) OVER (PARTITION BY g.iter, cells.feature) AS a
+      FROM cells JOIN (SELECT DISTINCT iter FROM draws) g ON true
+      LEFT JOIN (SELECT iter, feature, bin, sum(mult) AS n FROM binned JOIN draws ON draws.day = binned.day WHERE dataset_period = 'acceptance' GROUP BY ALL) c ON c.iter = g.iter AND c.feature = cells.feature AND c.bin = cells.bin) s
+JOIN refshare ON refshare.feature = s.feature AND refshare.bin = s.bin WHERE s.feature = 'score' GROUP BY s.iter
 
 -- view samples
 SELECT s.iter, s.feature, round(sum((a - e) * ln(a / e)), 9) AS psi
@@ -278,9 +285,9 @@ UNION ALL
 SELECT 'critical', list_sort(list(w))[CAST(ceil(round((count(*) - 1) * 0.99::DOUBLE, 9)) AS BIGINT) + 1] FROM (SELECT iter, count(*) FILTER (WHERE psi > critical_limit) AS w FROM samples JOIN dlimits ON samples.feature = dlimits.feature GROUP BY iter)
 
 -- view records
-SELECT batch, feature, CASE WHEN warning_limit IS NULL THEN 'schema_missing' ELSE 'psi' END AS metric, CASE WHEN warning_limit IS NULL THEN 1.0::DOUBLE ELSE value END AS value,
-       coalesce(warning_limit, 0) AS warning_limit, coalesce(critical_limit, 0) AS critical_limit,
-       CASE WHEN warning_limit IS NULL OR value > critical_limit THEN 'critical' WHEN value > warning_limit THEN 'warning' ELSE 'healthy' END AS severity
+SELECT batch, feature, CASE WHEN value IS NULL THEN 'schema_missing' ELSE 'psi' END AS metric, CASE WHEN value IS NULL THEN 1.0::DOUBLE ELSE value END AS value,
+       CASE WHEN value IS NULL THEN 0 ELSE coalesce(warning_limit, 0) END AS warning_limit, CASE WHEN value IS NULL THEN 0 ELSE coalesce(critical_limit, 0) END AS critical_limit,
+       CASE WHEN value IS NULL OR value > critical_limit THEN 'critical' WHEN value > warning_limit THEN 'warning' ELSE 'healthy' END AS severity
 FROM (SELECT g.batch, f.feature, round(diverge.psi, 9) AS value, warning_limit, critical_limit FROM (SELECT DISTINCT batch FROM prod) g JOIN (SELECT unnest(['amount', 'score', 'absent']) AS feature) f ON true
       LEFT JOIN diverge ON diverge.batch = g.batch AND diverge.feature = f.feature LEFT JOIN dlimits ON dlimits.feature = f.feature)
 
@@ -397,3 +404,62 @@ FROM (SELECT *, (SELECT min(k) FROM m2 WHERE k > 2 AND cp > 0 AND cn > 0) AS c F
 -- view m2
 SELECT *, sum(CASE WHEN k > 2 THEN positives END) OVER (ORDER BY k) AS cp, sum(CASE WHEN k > 2 THEN rows - positives END) OVER (ORDER BY k) AS cn
 FROM (SELECT *, row_number() OVER (ORDER BY batch DESC) AS k FROM (SELECT batch, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives, max(batch) OVER () AS latest FROM prod GROUP BY batch) WHERE batch + 2 <= latest)
+
+-- view jlimits
+SELECT round(quantile_cont(js, 0.95), 9) AS warning_limit, round(quantile_cont(js, 0.99), 9) AS critical_limit FROM jsamples
+
+-- view pdrift
+SELECT batch, round(js, 9) AS js, warning_limit, critical_limit, CASE WHEN round(js, 9) > critical_limit THEN 'critical' WHEN round(js, 9) > warning_limit THEN 'warning' ELSE 'healthy' END AS prediction_severity
+FROM diverge, jlimits WHERE feature = 'score'
+
+-- query score_js_limits
+SELECT batch, round(js, 6) AS js, round(warning_limit, 6) AS warning_limit, round(critical_limit, 6) AS critical_limit, prediction_severity FROM pdrift
+
+-- view allowed
+SELECT list_sort(list(w))[CAST(ceil(round((count(*) - 1) * 0.95::DOUBLE, 9)) AS BIGINT) + 1] AS mw, list_sort(list(c))[CAST(ceil(round((count(*) - 1) * 0.99::DOUBLE, 9)) AS BIGINT) + 1] AS mc
+FROM (SELECT iter, count(*) FILTER (WHERE psi > warning_limit) AS w, count(*) FILTER (WHERE psi > critical_limit) AS c FROM samples JOIN dlimits ON samples.feature = dlimits.feature GROUP BY iter)
+
+-- query global_severity
+SELECT batch, critical_features, alerting_features, CASE WHEN critical_features > mc OR prediction_severity = 'critical' THEN 'critical' WHEN alerting_features > mw OR prediction_severity = 'warning' THEN 'warning' ELSE 'healthy' END AS severity
+FROM (SELECT r.batch, count(*) FILTER (WHERE severity = 'critical') AS critical_features, count(*) FILTER (WHERE severity <> 'healthy') AS alerting_features, any_value(prediction_severity) AS prediction_severity
+      FROM records r LEFT JOIN pdrift ON pdrift.batch = r.batch GROUP BY r.batch), allowed
+
+-- view acted
+SELECT batch, label_status, CASE WHEN primary_critical AND pp THEN 'retrain_evaluation_required' WHEN drift_severity = 'critical' OR performance_severity = 'critical' OR (w AND pw) THEN 'investigate' ELSE 'continue_monitoring' END AS action,
+       CASE WHEN primary_critical AND pp THEN 'Primary performance guardrail breached in two mature batches'
+            WHEN drift_severity = 'critical' OR performance_severity = 'critical' THEN concat_ws('; ', CASE WHEN drift_severity = 'critical' THEN 'Critical data or prediction drift' END, CASE WHEN performance_severity = 'critical' THEN 'Critical mature-label performance breach' END)
+            WHEN w AND pw THEN 'Warning persisted for two consecutive batches' ELSE 'No sustained or critical guardrail breach' END AS action_evidence
+FROM (SELECT *, coalesce(lag(w) OVER (ORDER BY batch), false) AS pw, coalesce(last_value(CASE WHEN label_status = 'mature' THEN primary_critical END IGNORE NULLS) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS pp
+      FROM (SELECT *, drift_severity = 'warning' OR performance_severity = 'warning' AS w FROM bm))
+
+-- query label_freshness
+SELECT count(*) FILTER (WHERE label_status = 'mature') AS mature, count(*) FILTER (WHERE label_status = 'pending') AS pending, max(batch) FILTER (WHERE label_status = 'mature') AS latest_mature, arg_max(action, batch) AS current_action FROM acted
+
+-- query last_evidence
+SELECT batch, action, action_evidence FROM acted ORDER BY batch DESC LIMIT 5
+
+-- query recommendation_history
+SELECT 'production' AS stream, batch, action, action_evidence, coalesce(lag(action) OVER (ORDER BY batch) = action, false) AS repeated FROM acted ORDER BY batch DESC LIMIT 8
+
+-- query confusion_pivot
+SELECT batch, actual, CASE WHEN actual = 0 THEN tn ELSE fn END AS predicted_0, CASE WHEN actual = 0 THEN fp ELSE tp END AS predicted_1
+FROM conf, (SELECT unnest([CAST(0 AS INTEGER), CAST(1 AS INTEGER)]) AS actual) WHERE batch = (SELECT max(batch) FROM bm WHERE label_status = 'mature')
+
+-- query score_movement
+SELECT batch, 'js' AS metric, round(js, 6) AS value FROM diverge WHERE feature = 'score' UNION ALL SELECT batch, 'shift', round(shift, 6) FROM bm
+
+-- query review_budget
+SELECT * FROM budget
+
+-- query ece_by_batch
+SELECT * FROM eceb
+
+-- query brier_logloss
+SELECT * FROM brierb
+
+-- query budget_unpivot
+SELECT review_rate, u.metric, CASE u.metric WHEN 'precision' THEN budget.precision WHEN 'recall' THEN recall WHEN 'realised_rate' THEN realised_rate ELSE captured_rate END AS value
+FROM budget, (SELECT unnest(['precision', 'recall', 'realised_rate', 'captured_rate']) AS metric) u
+
+-- query calibration_unpivot
+SELECT batch, 'ece' AS metric, ece AS value FROM eceb UNION ALL SELECT batch, 'brier', brier FROM brierb

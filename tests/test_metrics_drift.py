@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskmon.operators import challenger, drift, metrics
+from riskmon.operators import challenger, drift, metrics, monitoring
 
 
 def scored(spark, y, p, amount=None):
@@ -103,3 +103,70 @@ def test_schema_missing(spark):
     values = spark.createDataFrame([(1, "x", 0.05)], "batch int, feature string, psi double")
     got = {r["feature"]: r for r in drift.compare(values, limits, ["batch"], "psi", ["x", "gone"]).collect()}
     assert got["x"]["severity"] == "healthy" and got["gone"]["metric"] == "schema_missing" and got["gone"]["severity"] == "critical"
+
+
+def test_running_sums_equal_a_whole_sort(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(g, float(v), int(n)) for g in ("a", None) for v, n in zip(np.unique(np.concatenate([rnd.normal(size=200), 10 ** rnd.uniform(0, 9, 50)])), rnd.integers(1, 9, 250))]
+    rows.append(("one", 5.0, 7))
+    df = spark.createDataFrame(rows, "g string, v double, n long")
+    for by in (["g"], []):
+        held = df if by else df.where("g = 'a'")
+        for down in (False, True):
+            got = {(r["g"], r["v"]): (r["upto_n"], r["all_n"]) for r in metrics.running(held, by, "v", ["n"], down, buckets=16).collect()}
+            for g in {r[0] for r in rows} if by else {"a"}:
+                own = sorted((r for r in rows if r[0] == g), key=lambda r: -r[1] if down else r[1])
+                assert [got[g, v] for _, v, _ in own] == [(sum(r[2] for r in own[: i + 1]), sum(r[2] for r in own)) for i in range(len(own))]
+    assert metrics.running(df.limit(0), ["g"], "v", ["n"]).count() == 0
+
+
+def test_a_column_that_vanishes_from_a_batch_is_schema_missing(spark):
+    values = spark.createDataFrame([(1, "x", 0.5), (1, "y", 0.1), (2, "x", 0.0), (2, "free", 0.2)], "batch int, feature string, psi double")
+    limits = spark.createDataFrame([("x", 0.2, 0.4), ("y", 0.2, 0.4)], "feature string, warning_limit double, critical_limit double")
+    got = {(r["batch"], r["feature"]): (r["metric"], r["value"], r["severity"]) for r in drift.compare(values, limits, ["batch"], "psi", ["x", "y", "free", "gone"]).collect()}
+    missing = ("schema_missing", 1.0, "critical")
+    assert got[1, "x"] == ("psi", 0.5, "critical") and got[1, "y"] == ("psi", 0.1, "healthy") and got[2, "x"] == ("psi", 0.0, "healthy")
+    assert got[2, "y"] == missing and got[1, "gone"] == got[2, "gone"] == missing
+    # Present without limits: judged by its value, not called missing.
+    assert got[2, "free"] == ("psi", 0.2, "critical") and got[1, "free"] == missing
+
+
+def test_hashed_draws_are_many_and_even(spark):
+    days = spark.createDataFrame([(d,) for d in (3, 5, 9) for _ in range(4)], "day long")
+    rows = drift.hashed_draws(days, 500).collect()
+    per: dict = {}
+    for r in rows:
+        per.setdefault(r["iter"], {})[r["day"]] = r["mult"]
+    assert len(per) == 500 and all(sum(x.values()) == 7 for x in per.values())
+    # 36 multisets of 7 draws from 3 days exist; a period of the number of days would leave 3.
+    assert len({tuple(sorted(x.items())) for x in per.values()}) > 30
+    share = [sum(x.get(d, 0) for x in per.values()) / 3500 for d in (3, 5, 9)]
+    assert all(abs(s - 1 / 3) < 0.03 for s in share)
+
+
+def test_global_severity_counts_alerts(spark):
+    records = spark.createDataFrame([(1, "a", "critical"), (1, "b", "critical"), (2, "a", "warning"), (2, "b", "healthy"), (3, "a", "healthy"), (4, "a", "healthy")], "batch int, feature string, severity string")
+    limits = spark.createDataFrame([("warning", 0), ("critical", 1)], "kind string, limit long")
+    prediction = spark.createDataFrame([(1, "healthy"), (2, "healthy"), (3, "critical"), (4, "healthy")], "batch int, prediction_severity string")
+    got = {r["batch"]: r["severity"] for r in drift.global_severity(records, limits, prediction, ["batch"]).collect()}
+    assert got == {1: "critical", 2: "warning", 3: "critical", 4: "healthy"}
+
+
+def test_paired_average_precision(spark):
+    rnd = np.random.default_rng(8)
+    y = (rnd.random(600) < 0.3).astype(int)
+    old, new = 0.4 * y + rnd.random(600), 0.9 * y + rnd.random(600)
+    df = spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(y, old, new)], "label int, champion double, challenger double")
+    difference, low, high = challenger.paired_average_precision(df, 100)
+    assert difference == pytest.approx(challenger.average_precision(y, new) - challenger.average_precision(y, old))
+    assert low < difference < high and low > 0
+    direct = challenger.paired_difference(df, challenger.average_precision, 100)
+    assert direct[0] == pytest.approx(difference) and abs(direct[1] - low) < 0.05 and abs(direct[2] - high) < 0.05
+    assert challenger.paired_average_precision(df.where("label = 1"), 10) is None
+    with pytest.raises(ValueError, match="paired_average_precision"):
+        challenger.paired_difference(df, challenger.average_precision, 10, most_triples=100)
+
+
+def test_recommendations_mark_repeats(spark):
+    rows = spark.createDataFrame([("p", i, a, "e") for i, a in enumerate(["x", "x", "y", "y", "x"])], "stream string, batch int, action string, action_evidence string")
+    assert [r["repeated"] for r in monitoring.recommendations(rows).orderBy("batch").collect()] == [False, True, False, True, False]
