@@ -68,6 +68,40 @@ def top_segment(metrics: DataFrame, by: list[str], metric: str) -> DataFrame:
     return held.withColumn("place", place).where("place = 1").select(*by, F.col("name").alias(f"top_{metric}_segment"))
 
 
+def classify(batches: DataFrame, alerts: DataFrame, performance: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., drift_severity, performance_severity, classification) of every batch that drifts or performs worse.
+
+    `batches` has drift_severity, performance_severity and prediction_severity, `alerts` the drift records
+    (metric, severity), `performance` the performance records (metric, status). All classes that apply are
+    listed in this order: data_quality_failure, covariate_drift, prediction_drift, prevalence_shift,
+    calibration_drift, confirmed_performance_degradation; monitoring_signal if none does.
+    """
+    gap = F.col("metric") == "missingness_shift"
+    drifted = alerts.where("severity <> 'healthy'").groupBy(*by).agg(F.bool_or(gap).alias("gaps"), F.bool_or(~gap).alias("moved"))
+    kinds = {
+        "prevalence_shift": ("prevalence_shift",), "calibration_drift": ("brier_score", "expected_calibration_error"),
+        "confirmed_performance_degradation": ("pr_auc", "precision", "recall", "false_positive_rate", "false_negative_rate"),
+    }
+    failed = performance.where("status in ('warning', 'critical')").groupBy(*by).agg(*[F.bool_or(F.col("metric").isin(*m)).alias(k) for k, m in kinds.items()])
+    noisy = ~((F.col("drift_severity") == "healthy") & F.col("performance_severity").isin("healthy", "unavailable"))
+    joined = batches.where(noisy).join(drifted, by, "left").join(failed, by, "left")
+    listed = F.concat_ws(
+        ", ", F.when(F.col("gaps"), "data_quality_failure"), F.when(F.col("moved"), "covariate_drift"),
+        F.when(F.col("prediction_severity") != "healthy", "prediction_drift"), *[F.when(F.col(k), k) for k in kinds],
+    )
+    named = F.when(F.length(listed) > 0, listed).otherwise("monitoring_signal")
+    return joined.select(*by, "drift_severity", "performance_severity", named.alias("classification"))
+
+
+EVIDENCE = "array<struct<place:int,feature:string,metrics:string,driver_score:double>>"
+
+
+def evidence_rows(found: DataFrame, by: list[str], k: int = 10) -> DataFrame:
+    """The first k drivers of every investigation, read back from its JSON; malformed evidence gives no rows."""
+    each = F.explode(F.from_json("driver_evidence", EVIDENCE)).alias("r")
+    return found.select(*by, each).select(*by, "r.*").where(F.col("place") <= k)
+
+
 def investigations(batches: DataFrame, drivers: DataFrame, segment: DataFrame, by: list[str]) -> DataFrame:
     """A record for every batch with drift or a performance finding; driver evidence is JSON, strongest first."""
     noisy = ~((F.col("drift_severity") == "healthy") & F.col("performance_severity").isin("healthy", "unavailable"))

@@ -99,6 +99,17 @@ def missingness_shift(current: DataFrame, by: list[str], reference: DataFrame, c
     return both.select(*by, "feature", F.abs(F.col("now") - F.col("ref")).alias("missingness_shift"))
 
 
+def bootstrap_missingness(reference: DataFrame, draws: DataFrame, columns: list[str]) -> DataFrame:
+    """(iter, feature, missingness_shift) of day-block resamples of the reference (day, columns...), from counts per day."""
+    gaps = reference.groupBy("day").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"__{i}") for i, c in enumerate(columns)])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"__{i}").alias("gaps")) for i, c in enumerate(columns)]))
+    daily = gaps.select("day", "n", each.alias("r")).select("day", "n", "r.*")
+    base = daily.groupBy("feature").agg((F.sum("gaps") / F.sum("n")).alias("base"))
+    share = F.sum(F.col("gaps") * F.col("mult")) / F.sum(F.col("n") * F.col("mult"))
+    sampled = daily.join(F.broadcast(draws), "day").groupBy("iter", "feature").agg(share.alias("share"))
+    return sampled.join(F.broadcast(base), "feature").select("iter", "feature", F.abs(F.col("share") - F.col("base")).alias("missingness_shift"))
+
+
 def wasserstein(current: DataFrame, by: list[str], reference: DataFrame) -> DataFrame:
     """Wasserstein-1 distance over max(IQR, population deviation, 1e-6) of the reference."""
     spread = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))

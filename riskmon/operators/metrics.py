@@ -13,9 +13,9 @@ def quantile_points(bins: int = 10) -> list[float]:
     return np.linspace(0, 1, bins + 1).tolist()
 
 
-def edges(value: str, bins: int = 10) -> Column:
+def edges(value: str, bins: int = 10, weight: str | None = None) -> Column:
     """Distinct linear quantiles, rounded to 9 places so that ties do not hang on the last bit."""
-    raw = F.percentile(F.col(value), F.array(*[F.lit(p) for p in quantile_points(bins)]))
+    raw = F.percentile(F.col(value), F.array(*[F.lit(p) for p in quantile_points(bins)]), F.col(weight) if weight else F.lit(1))
     return F.array_distinct(F.transform(raw, lambda x: F.round(x, 9)))
 
 
@@ -135,8 +135,8 @@ def captured_amount(df: DataFrame, by: list[str], threshold: Column, amount: str
     return out.withColumn("captured_rate", F.when(F.col("fraud_amount") > 0, F.col("captured_amount") / F.col("fraud_amount")))
 
 
-def with_edges(df: DataFrame, by: list[str], score: str, bins: int) -> DataFrame:
-    found = df.groupBy(*by).agg(edges(score, bins).alias("edges"))
+def with_edges(df: DataFrame, by: list[str], score: str, bins: int, weight: str | None = None) -> DataFrame:
+    found = df.groupBy(*by).agg(edges(score, bins, weight).alias("edges"))
     return df.join(found, by) if by else df.crossJoin(F.broadcast(found))
 
 
@@ -151,9 +151,12 @@ def reliability(df: DataFrame, by: list[str], score: str = "score", label: str =
     return table.withColumn("bin", number).drop("b")
 
 
-def calibration_error(df: DataFrame, by: list[str], score: str = "score", label: str = "label", bins: int = 10) -> DataFrame:
-    held = with_edges(df, by, score, bins).withColumn("b", right_closed(F.col(score), F.col("edges")))
-    per = held.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg(F.col(label).cast("double")) - F.avg(score)).alias("gap"))
+def calibration_error(df: DataFrame, by: list[str], score: str = "score", label: str = "label", bins: int = 10, weight: str | None = None) -> DataFrame:
+    """Gap of label and score over equal-frequency bins; a row with weight w counts as w rows."""
+    w = F.col(weight) if weight else F.lit(1)
+    held = with_edges(df, by, score, bins, weight).withColumn("b", right_closed(F.col(score), F.col("edges")))
+    gap = F.abs(F.sum(w * F.col(label).cast("double")) / F.sum(w) - F.sum(w * F.col(score)) / F.sum(w))
+    per = held.groupBy(*by, "b").agg(F.sum(w).alias("n"), gap.alias("gap"))
     return per.groupBy(*by).agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskmon.analogs import daily, transactions
-from riskmon.operators import causal, challenger, diagnosis, drift, features, metrics, monitoring, temporal
+from riskmon.operators import causal, challenger, diagnosis, drift, features, metrics, monitoring, performance, temporal
 from riskmon.sources import export, ingest
 
 DAY = 86400
@@ -462,6 +462,84 @@ def challenger_windows(spark: SparkSession, d: str) -> DataFrame:
     return challenger.windows(batches(labelled(spark, d)), delay=2)
 
 
+def feature_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Three drift metrics of every feature and batch in long form."""
+    rows, texts = labelled(spark, d), ["product", "channel", "region"]
+    now, ref = numeric_pair(spark, d)
+    by = ["batch", "feature"]
+    numbers = drift.numeric_divergences(now, ["batch"], ref).select(*by, "psi").join(drift.wasserstein(now, ["batch"], ref), by)
+    seen, known = drift.category_long(batches(rows), ["batch"], texts), drift.category_long(acceptance(rows), [], texts)
+    names = drift.category_distance(seen, ["batch"], known).join(drift.unseen_rate(seen, ["batch"], known), by)
+    gaps = drift.missingness_shift(batches(rows), ["batch"], acceptance(rows), [*NUMERIC, *texts])
+    parts = [(numbers, ["psi", "wasserstein"]), (names, ["js", "unseen_rate"]), (gaps, ["missingness_shift"])]
+    first, *rest = (part.unpivot(by, columns, "metric", "value") for part, columns in parts)
+    for part in rest:
+        first = first.unionByName(part)
+    return rounded(first)
+
+
+def metric_rows(spark: SparkSession, d: str) -> DataFrame:
+    return performance.metric_row(batches(labelled(spark, d)), ["batch"], THRESHOLD, "amount")
+
+
+def full_metric_row(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metric_rows(spark, d), 4)
+
+
+def full_limits(spark: SparkSession, d: str) -> DataFrame:
+    rows = acceptance(labelled(spark, d)).withColumn("day", F.floor(F.col("t") / DAY))
+    return rounded(performance.limits(performance.resampled(rows, drift.hashed_draws(rows.select("day"), ITERATIONS), THRESHOLD)), 9)
+
+
+def full_performance_limits(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(full_limits(spark, d))
+
+
+def judged_batches(spark: SparkSession, d: str) -> DataFrame:
+    rows = labelled(spark, d)
+    status = monitoring.label_status(F.col("batch"), 2, F.max("batch").over(Window.partitionBy()))
+    reference = performance.metric_row(acceptance(rows).withColumn("period", F.lit(0)), ["period"], THRESHOLD)
+    held = metric_rows(spark, d).withColumn("label_status", status)
+    return performance.records(held, reference, full_limits(spark, d), ["batch"], F.col("label_status") == "mature")
+
+
+def performance_records(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(judged_batches(spark, d))
+
+
+def performance_summary(spark: SparkSession, d: str) -> DataFrame:
+    return performance.summary(judged_batches(spark, d), ["batch"])
+
+
+def missingness_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Drift records of missing values, with limits from the day-block resamples."""
+    rows, columns = labelled(spark, d), ["region", "amount"]
+    ref = acceptance(rows).withColumn("day", F.floor(F.col("t") / DAY))
+    samples = drift.bootstrap_missingness(ref, drift.hashed_draws(ref.select("day"), ITERATIONS), columns)
+    limits = rounded(drift.control_limits(samples, ["feature"], "missingness_shift"), 9)
+    now = rounded(drift.missingness_shift(batches(rows), ["batch"], acceptance(rows), columns), 9)
+    return drift.compare(now, limits, ["batch"], "missingness_shift", columns)
+
+
+def missingness_records(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(missingness_alerts(spark, d))
+
+
+def investigation_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every batch that drifts or performs worse, with all classes of finding that apply to it."""
+    judged = judged_batches(spark, d)
+    drifted = global_severity(spark, d).select("batch", F.col("severity").alias("drift_severity"))
+    moved = prediction_drift(spark, d).select("batch", "prediction_severity")
+    held = drifted.join(moved, "batch", "left").join(performance.summary(judged, ["batch"]), "batch")
+    return diagnosis.classify(held, drift_records(spark, d).unionByName(missingness_alerts(spark, d)), judged, ["batch"])
+
+
+def investigation_drilldown(spark: SparkSession, d: str) -> DataFrame:
+    """The drivers of every investigation, read back from its JSON evidence."""
+    found = diagnosis.investigations(batch_table(spark, d), ranked_drivers(spark, d), top_segments(spark, d), ["batch"])
+    return rounded(diagnosis.evidence_rows(found, ["batch"]), 4)
+
+
 SQL_DIR = Path(__file__).parent / "sql"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -475,7 +553,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         performance_limits, label_maturity, segment_topk, segment_metrics_pooled, top_segments, batch_metrics, action_policy,
         health_timeline, latest_batch, metric_unpivot, public_projection, shap_rank_change, driver_ranking, investigations,
         challenger_windows, score_js_limits, global_severity, label_freshness, last_evidence, recommendation_history, confusion_pivot,
-        budget_unpivot, calibration_unpivot, score_movement,
+        budget_unpivot, calibration_unpivot, score_movement, feature_metrics, full_metric_row, full_performance_limits, performance_records,
+        performance_summary, missingness_records, investigation_classes, investigation_drilldown,
     )
 } | {"development_blocks": counted("development_block"), "daily_batches": counted("production_batch"), "fold_membership": lambda s, d: temporal.fold_rows(labelled(s, d))}
 

@@ -212,9 +212,12 @@ FROM cells JOIN (SELECT DISTINCT batch FROM prod) g ON true LEFT JOIN (SELECT ba
 SELECT batch, nowshare.feature, sum((a - e) * ln(a / e)) AS psi, sqrt(greatest(sum(a * log2(a / ((a + e) / 2)) + e * log2(e / ((a + e) / 2))) / 2, 0)) AS js
 FROM nowshare JOIN refshare ON nowshare.feature = refshare.feature AND nowshare.bin = refshare.bin GROUP BY batch, nowshare.feature
 
--- query psi_by_batch
+-- view psib
 SELECT batch, feature, round(psi, 6) AS psi FROM diverge
 
+-- query psi_by_batch
+SELECT * FROM psib
+
 -- query score_js
 SELECT batch, round(js, 6) AS js FROM diverge WHERE feature = 'score'
 
@@ -227,21 +230,27 @@ SELECT feature, value, count(*) AS n, sum(count(*)) OVER (PARTITION BY feature)
 -- view cnow
 SELECT batch, feature, value, count(*) AS n, sum(count(*)) OVER (PARTITION BY batch, feature) AS total FROM clong WHERE batch IS NOT NULL GROUP BY batch, feature, value
 
--- query categorical_js
+-- view cjsb
 SELECT batch, feature, round(sqrt(greatest(sum(CASE WHEN a > 0 THEN a * log2(a / ((a + e) / 2)) ELSE 0 END + CASE WHEN e > 0 THEN e * log2(e / ((a + e) / 2)) ELSE 0 END) / 2, 0)), 6) AS js
 FROM (SELECT g.batch, u.feature, coalesce(cnow.n / cnow.total, 0) AS a, coalesce(cref.n / cref.total, 0) AS e
       FROM (SELECT DISTINCT batch FROM prod) g JOIN (SELECT feature, value FROM cref UNION SELECT feature, value FROM cnow) u ON true
       LEFT JOIN cnow ON cnow.batch = g.batch AND cnow.feature = u.feature AND cnow.value = u.value LEFT JOIN cref ON cref.feature = u.feature AND cref.value = u.value) GROUP BY batch, feature
 
--- query unseen_rate
+-- query categorical_js
+SELECT * FROM cjsb
+
+-- view unseenb
 SELECT batch, cnow.feature, round(sum(CASE WHEN cref.value IS NULL THEN cnow.n ELSE 0 END) / sum(cnow.n), 6) AS unseen_rate
 FROM cnow LEFT JOIN cref ON cref.feature = cnow.feature AND cref.value = cnow.value GROUP BY batch, cnow.feature
 
+-- query unseen_rate
+SELECT * FROM unseenb
+
 -- query missingness_shift
 SELECT batch, unnest(['region', 'amount']) AS feature, unnest([round(abs(r - rr), 6), round(abs(a - ra), 6)]) AS missingness_shift
 FROM (SELECT batch, avg(CAST(region IS NULL AS INT)) AS r, avg(CAST(amount IS NULL AS INT)) AS a FROM prod GROUP BY batch), (SELECT avg(CAST(region IS NULL AS INT)) AS rr, avg(CAST(amount IS NULL AS INT)) AS ra FROM acc)
 
--- query wasserstein_by_batch
+-- view wassb
 SELECT batch, w.feature, round(sum(gap * coalesce(step, 0)) / any_value(scale), 6) AS wasserstein
 FROM (SELECT batch, feature, abs(sum(c) OVER o / sum(c) OVER p - sum(r) OVER o / sum(r) OVER p) AS gap, lead(value) OVER (PARTITION BY batch, feature ORDER BY value) - value AS step
       FROM (SELECT batch, feature, value, sum(c) AS c, sum(r) AS r
@@ -251,6 +260,9 @@ FROM (SELECT batch, feature, abs(sum(c) OVER o / sum(c) OVER p - sum(r) OVER o /
 JOIN (SELECT feature, greatest(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), stddev_pop(value), 1e-6::DOUBLE) AS scale FROM nlong WHERE dataset_period = 'acceptance' GROUP BY feature) s ON s.feature = w.feature
 GROUP BY batch, w.feature
 
+-- query wasserstein_by_batch
+SELECT * FROM wassb
+
 -- query drift_severity
 SELECT batch, CASE WHEN max(p) > 0.05::DOUBLE THEN 'critical' WHEN max(p) > 0.01::DOUBLE THEN 'warning' ELSE 'healthy' END AS severity, count(*) FILTER (WHERE p > 0.01::DOUBLE) AS alerts
 FROM (SELECT batch, round(psi, 6) AS p FROM diverge) GROUP BY batch
@@ -419,11 +431,14 @@ SELECT batch, round(js, 6) AS js, round(warning_limit, 6) AS warning_limit, roun
 SELECT list_sort(list(w))[CAST(ceil(round((count(*) - 1) * 0.95::DOUBLE, 9)) AS BIGINT) + 1] AS mw, list_sort(list(c))[CAST(ceil(round((count(*) - 1) * 0.99::DOUBLE, 9)) AS BIGINT) + 1] AS mc
 FROM (SELECT iter, count(*) FILTER (WHERE psi > warning_limit) AS w, count(*) FILTER (WHERE psi > critical_limit) AS c FROM samples JOIN dlimits ON samples.feature = dlimits.feature GROUP BY iter)
 
--- query global_severity
+-- view gsev
 SELECT batch, critical_features, alerting_features, CASE WHEN critical_features > mc OR prediction_severity = 'critical' THEN 'critical' WHEN alerting_features > mw OR prediction_severity = 'warning' THEN 'warning' ELSE 'healthy' END AS severity
 FROM (SELECT r.batch, count(*) FILTER (WHERE severity = 'critical') AS critical_features, count(*) FILTER (WHERE severity <> 'healthy') AS alerting_features, any_value(prediction_severity) AS prediction_severity
       FROM records r LEFT JOIN pdrift ON pdrift.batch = r.batch GROUP BY r.batch), allowed
 
+-- query global_severity
+SELECT * FROM gsev
+
 -- view acted
 SELECT batch, label_status, CASE WHEN primary_critical AND pp THEN 'retrain_evaluation_required' WHEN drift_severity = 'critical' OR performance_severity = 'critical' OR (w AND pw) THEN 'investigate' ELSE 'continue_monitoring' END AS action,
        CASE WHEN primary_critical AND pp THEN 'Primary performance guardrail breached in two mature batches'
@@ -463,3 +478,139 @@ FROM budget, (SELECT unnest(['precision', 'recall', 'realised_rate', 'captured_r
 
 -- query calibration_unpivot
 SELECT batch, 'ece' AS metric, ece AS value FROM eceb UNION ALL SELECT batch, 'brier', brier FROM brierb
+
+-- query feature_metrics
+SELECT batch, feature, 'psi' AS metric, psi AS value FROM psib UNION ALL SELECT batch, feature, 'wasserstein', wasserstein FROM wassb
+UNION ALL SELECT batch, feature, 'js', js FROM cjsb WHERE feature <> 'user_id' UNION ALL SELECT batch, feature, 'unseen_rate', unseen_rate FROM unseenb WHERE feature <> 'user_id'
+UNION ALL SELECT batch, feature, 'missingness_shift', round(abs(g - r), 6)
+FROM (SELECT batch, unnest(['amount', 'score', 'product', 'channel', 'region']) AS feature, unnest([avg((amount IS NULL)::INT), avg((score IS NULL)::INT), avg((product IS NULL)::INT), avg((channel IS NULL)::INT), avg((region IS NULL)::INT)]) AS g FROM prod GROUP BY batch)
+JOIN (SELECT unnest(['amount', 'score', 'product', 'channel', 'region']) AS feature, unnest([avg((amount IS NULL)::INT), avg((score IS NULL)::INT), avg((product IS NULL)::INT), avg((channel IS NULL)::INT), avg((region IS NULL)::INT)]) AS r FROM acc) USING (feature)
+
+-- view whole
+SELECT batch, label, score, amount FROM prod UNION ALL SELECT -1, label, score, amount FROM acc
+
+-- view wsteps
+SELECT batch, p, n, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM (SELECT batch, score, sum(label) AS p, count(*) AS n FROM whole GROUP BY batch, score)
+WINDOW w AS (PARTITION BY batch ORDER BY score DESC ROWS UNBOUNDED PRECEDING)
+
+-- view wedges
+SELECT batch, list_sort(list_distinct(list_transform(quantile_cont(score, [0.0::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 0.30000000000000004::DOUBLE, 0.4::DOUBLE, 0.5::DOUBLE, 0.6000000000000001::DOUBLE, 0.7000000000000001::DOUBLE, 0.8::DOUBLE, 0.9::DOUBLE, 1.0::DOUBLE]), lambda x: round(x, 9)))) AS e
+FROM whole GROUP BY batch
+
+-- view wcal
+SELECT batch, sum(n * gap) / sum(n) AS ece
+FROM (SELECT whole.batch, len(list_filter(e[2:len(e) - 1], lambda x: x < score)) AS b, count(*) AS n, abs(avg(label) - avg(score)) AS gap FROM whole JOIN wedges ON whole.batch = wedges.batch GROUP BY ALL) GROUP BY batch
+
+-- view wrank
+SELECT batch, sum(p * cp / cn) / nullif(sum(p), 0) AS pr_auc, sum((n - p) * (cp - p / 2)) / nullif(sum(p) * sum(n - p), 0) AS roc_auc FROM wsteps GROUP BY batch
+
+-- view wcount
+SELECT batch, count(*) FILTER (WHERE label = 1 AND score >= 0.8::DOUBLE) AS tp, count(*) FILTER (WHERE label = 0 AND score >= 0.8::DOUBLE) AS fp,
+       count(*) FILTER (WHERE label = 1 AND score < 0.8::DOUBLE) AS fn, count(*) FILTER (WHERE label = 0 AND score < 0.8::DOUBLE) AS tn, count(*) AS n,
+       coalesce(sum(amount) FILTER (WHERE label = 1), 0) AS fa, coalesce(sum(amount) FILTER (WHERE label = 1 AND score >= 0.8::DOUBLE), 0) AS ca,
+       avg(score) AS score_mean, quantile_cont(score, 0.5) AS score_p50, quantile_cont(score, 0.95) AS score_p95, avg((score - label) * (score - label)) AS brier,
+       avg(-(label * ln(least(greatest(score, 2.220446049250313e-16::DOUBLE), 1 - 2.220446049250313e-16::DOUBLE)) + (1 - label) * ln(1 - least(greatest(score, 2.220446049250313e-16::DOUBLE), 1 - 2.220446049250313e-16::DOUBLE)))) AS log_loss
+FROM whole GROUP BY batch
+
+-- view wrow
+SELECT c.batch, 0.8::DOUBLE AS threshold, n AS rows, tp + fn AS positives, fp + tn AS negatives, (tp + fn) / n AS prevalence, tp + fp AS predicted_positive, (tp + fp) / n AS review_rate,
+       tp AS true_positive, fp AS false_positive, fn AS false_negative, tn AS true_negative, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
+       coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, fp / nullif(fp + tn, 0) AS false_positive_rate, fn / nullif(tp + fn, 0) AS false_negative_rate, pr_auc, roc_auc,
+       brier AS brier_score, log_loss, ece AS expected_calibration_error, score_mean, score_p50, score_p95, fa AS fraud_amount, ca AS captured_amount, CASE WHEN fa > 0 THEN ca / fa END AS captured_rate
+FROM wcount c JOIN wrank r ON r.batch = c.batch JOIN wcal e ON e.batch = c.batch
+
+-- query full_metric_row
+SELECT batch, threshold, rows, positives, negatives, round(prevalence, 4) AS prevalence, predicted_positive, round(review_rate, 4) AS review_rate, true_positive, false_positive, false_negative, true_negative,
+       round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1, round(false_positive_rate, 4) AS false_positive_rate, round(false_negative_rate, 4) AS false_negative_rate,
+       round(pr_auc, 4) AS pr_auc, round(roc_auc, 4) AS roc_auc, round(brier_score, 4) AS brier_score, round(log_loss, 4) AS log_loss, round(expected_calibration_error, 4) AS expected_calibration_error,
+       round(score_mean, 4) AS score_mean, round(score_p50, 4) AS score_p50, round(score_p95, 4) AS score_p95, round(fraud_amount, 4) AS fraud_amount, round(captured_amount, 4) AS captured_amount, round(captured_rate, 4) AS captured_rate
+FROM wrow WHERE batch > 0
+
+-- view redrawn
+SELECT iter, score, label, unnest(range(mult)) AS k FROM acc JOIN draws ON draws.day = acc.t // 86400
+
+-- view rcal
+SELECT iter, sum(n * gap) / sum(n) AS ece
+FROM (SELECT redrawn.iter, len(list_filter(e[2:len(e) - 1], lambda x: x < score)) AS b, count(*) AS n, abs(avg(label) - avg(score)) AS gap
+      FROM redrawn JOIN (SELECT iter, list_sort(list_distinct(list_transform(quantile_cont(score, [0.0::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 0.30000000000000004::DOUBLE, 0.4::DOUBLE, 0.5::DOUBLE, 0.6000000000000001::DOUBLE, 0.7000000000000001::DOUBLE, 0.8::DOUBLE, 0.9::DOUBLE, 1.0::DOUBLE]), lambda x: round(x, 9)))) AS e FROM redrawn GROUP BY iter) q ON q.iter = redrawn.iter GROUP BY ALL) GROUP BY iter
+
+-- view rrank
+SELECT iter, sum(p * cp / cn) / nullif(sum(p), 0) AS pr_auc
+FROM (SELECT iter, p, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM (SELECT iter, score, sum(label) AS p, count(*) AS n FROM redrawn GROUP BY iter, score) WINDOW w AS (PARTITION BY iter ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) GROUP BY iter
+
+-- view rcount
+SELECT iter, count(*) FILTER (WHERE label = 1 AND score >= 0.8::DOUBLE) AS tp, count(*) FILTER (WHERE label = 0 AND score >= 0.8::DOUBLE) AS fp,
+       count(*) FILTER (WHERE label = 1 AND score < 0.8::DOUBLE) AS fn, count(*) FILTER (WHERE label = 0 AND score < 0.8::DOUBLE) AS tn, avg((score - label) * (score - label)) AS brier FROM redrawn GROUP BY iter
+
+-- view rlong
+SELECT unnest(['pr_auc', 'precision', 'recall', 'false_positive_rate', 'false_negative_rate', 'brier_score', 'expected_calibration_error', 'prevalence_shift']) AS metric,
+       unnest([pr_auc, coalesce(tp / nullif(tp + fp, 0), 0), tp / (tp + fn), fp / (fp + tn), fn / (tp + fn), brier, ece, abs((tp + fn) / (tp + fp + fn + tn) - (SELECT avg(label) FROM acc))]) AS v
+FROM rcount c JOIN rrank r ON r.iter = c.iter JOIN rcal e ON e.iter = c.iter WHERE tp + fn > 0 AND fp + tn > 0
+
+-- view flimits
+SELECT metric, CASE WHEN metric IN ('pr_auc', 'precision', 'recall') THEN 'lower' ELSE 'higher' END AS direction,
+       round(CASE WHEN metric IN ('pr_auc', 'precision', 'recall') THEN quantile_cont(v, 0.05) ELSE quantile_cont(v, 0.95) END, 9) AS warning_limit,
+       round(CASE WHEN metric IN ('pr_auc', 'precision', 'recall') THEN quantile_cont(v, 0.01) ELSE quantile_cont(v, 0.99) END, 9) AS critical_limit FROM rlong GROUP BY metric
+
+-- query full_performance_limits
+SELECT metric, direction, round(warning_limit, 6) AS warning_limit, round(critical_limit, 6) AS critical_limit FROM flimits
+
+-- view judged
+SELECT batch, metric, value, reference_value, warning_limit, critical_limit, direction,
+       CASE WHEN value IS NULL THEN 'unavailable' WHEN direction = 'lower' AND value < critical_limit OR direction = 'higher' AND value > critical_limit THEN 'critical'
+            WHEN direction = 'lower' AND value < warning_limit OR direction = 'higher' AND value > warning_limit THEN 'warning' ELSE 'healthy' END AS status
+FROM (SELECT batch, m.metric, warning_limit, critical_limit, direction, round(CASE WHEN ok THEN now[m.i] END, 9) AS value, CASE WHEN m.i < 8 OR ok THEN round(ref[m.i], 9) END AS reference_value
+      FROM (SELECT w.batch, w.batch + 2 <= max(w.batch) OVER () AND w.positives > 0 AND w.negatives > 0 AS ok,
+                   [w.pr_auc, w.precision, w.recall, w.false_positive_rate, w.false_negative_rate, w.brier_score, w.expected_calibration_error, abs(w.prevalence - a.prevalence)] AS now,
+                   [a.pr_auc, a.precision, a.recall, a.false_positive_rate, a.false_negative_rate, a.brier_score, a.expected_calibration_error, 0] AS ref
+            FROM wrow w, wrow a WHERE w.batch > 0 AND a.batch = -1) x,
+           (SELECT unnest(['pr_auc', 'precision', 'recall', 'false_positive_rate', 'false_negative_rate', 'brier_score', 'expected_calibration_error', 'prevalence_shift']) AS metric, unnest(range(1, 9)) AS i) m
+      JOIN flimits ON flimits.metric = m.metric)
+
+-- query performance_records
+SELECT batch, metric, round(value, 6) AS value, round(reference_value, 6) AS reference_value, round(warning_limit, 6) AS warning_limit, round(critical_limit, 6) AS critical_limit, direction, status FROM judged
+
+-- view psummary
+SELECT batch, CASE WHEN bool_or(status = 'critical') THEN 'critical' WHEN bool_or(status = 'warning') THEN 'warning' WHEN bool_and(status = 'unavailable') THEN 'unavailable' ELSE 'healthy' END AS performance_severity,
+       bool_or(status = 'critical' AND metric IN ('pr_auc', 'recall')) AS primary_critical FROM judged GROUP BY batch
+
+-- query performance_summary
+SELECT * FROM psummary
+
+-- view mdaily
+SELECT t // 86400 AS day, unnest(['region', 'amount']) AS feature, unnest([sum((region IS NULL)::INT), sum((amount IS NULL)::INT)]) AS gaps, count(*) AS n FROM acc GROUP BY 1
+
+-- view mbase
+SELECT feature, sum(gaps) / sum(n) AS base FROM mdaily GROUP BY feature
+
+-- view mlimits
+SELECT feature, round(quantile_cont(v, 0.95), 9) AS warning_limit, round(quantile_cont(v, 0.99), 9) AS critical_limit
+FROM (SELECT s.feature, abs(share - base) AS v FROM (SELECT iter, feature, sum(gaps * mult) / sum(n * mult) AS share FROM mdaily JOIN draws ON draws.day = mdaily.day GROUP BY iter, feature) s JOIN mbase ON mbase.feature = s.feature) GROUP BY feature
+
+-- view mrecords
+SELECT batch, feature, 'missingness_shift' AS metric, value, warning_limit, critical_limit, CASE WHEN value > critical_limit THEN 'critical' WHEN value > warning_limit THEN 'warning' ELSE 'healthy' END AS severity
+FROM (SELECT batch, x.feature, round(abs(g - base), 9) AS value, warning_limit, critical_limit
+      FROM (SELECT batch, unnest(['region', 'amount']) AS feature, unnest([avg((region IS NULL)::INT), avg((amount IS NULL)::INT)]) AS g FROM prod GROUP BY batch) x
+      JOIN mbase ON mbase.feature = x.feature JOIN mlimits ON mlimits.feature = x.feature)
+
+-- query missingness_records
+SELECT batch, feature, metric, round(value, 6) AS value, round(warning_limit, 6) AS warning_limit, round(critical_limit, 6) AS critical_limit, severity FROM mrecords
+
+-- view alarms
+SELECT batch, bool_or(metric = 'missingness_shift') AS gaps, bool_or(metric <> 'missingness_shift') AS moved
+FROM (SELECT batch, metric, severity FROM records UNION ALL SELECT batch, metric, severity FROM mrecords) WHERE severity <> 'healthy' GROUP BY batch
+
+-- view failures
+SELECT batch, bool_or(metric = 'prevalence_shift') AS p, bool_or(metric IN ('brier_score', 'expected_calibration_error')) AS c,
+       bool_or(metric IN ('pr_auc', 'precision', 'recall', 'false_positive_rate', 'false_negative_rate')) AS q FROM judged WHERE status IN ('warning', 'critical') GROUP BY batch
+
+-- query investigation_classes
+SELECT g.batch, drift_severity, performance_severity,
+       coalesce(nullif(concat_ws(', ', CASE WHEN gaps THEN 'data_quality_failure' END, CASE WHEN moved THEN 'covariate_drift' END, CASE WHEN prediction_severity <> 'healthy' THEN 'prediction_drift' END,
+                CASE WHEN p THEN 'prevalence_shift' END, CASE WHEN c THEN 'calibration_drift' END, CASE WHEN q THEN 'confirmed_performance_degradation' END), ''), 'monitoring_signal') AS classification
+FROM (SELECT batch, severity AS drift_severity FROM gsev) g JOIN psummary s ON s.batch = g.batch LEFT JOIN pdrift ON pdrift.batch = g.batch LEFT JOIN alarms ON alarms.batch = g.batch LEFT JOIN failures ON failures.batch = g.batch
+WHERE NOT (drift_severity = 'healthy' AND performance_severity IN ('healthy', 'unavailable'))
+
+-- query investigation_drilldown
+SELECT ranked.batch, place, feature, metrics, round(driver_score, 4) AS driver_score FROM ranked JOIN bm ON bm.batch = ranked.batch
+WHERE place <= 10 AND NOT (drift_severity = 'healthy' AND performance_severity IN ('healthy', 'unavailable'))
