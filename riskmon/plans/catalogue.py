@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskmon.analogs import daily, transactions
-from riskmon.operators import causal, challenger, diagnosis, drift, features, metrics, monitoring, performance, temporal
+from riskmon.operators import causal, challenger, diagnosis, drift, explain, features, lifecycle, metrics, monitoring, performance, temporal
 from riskmon.sources import export, ingest
 
 DAY = 86400
 NUMERIC, CATEGORIES = ["amount", "score"], ["product", "channel", "region", "user_id"]
+MODEL_CATEGORIES = ["product", "region", "user_id"]  # the label follows from the channel
 THRESHOLD, ITERATIONS = 0.8, 500
 
 
@@ -364,7 +365,7 @@ def public_projection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def importance(spark: SparkSession, d: str) -> DataFrame:
-    """Mean absolute deviation of each numeric feature from its acceptance mean, per batch, as a stand-in for attributions."""
+    """Mean absolute deviation of each numeric feature from its acceptance mean, per batch; `attribution_change` has Shapley values."""
     now, ref = numeric_pair(spark, d)
     centre = ref.groupBy("feature").agg(F.avg("value").alias("m"))
     held = now.join(F.broadcast(centre), "feature").groupBy("batch", "feature").agg(F.avg(F.abs(F.col("value") - F.col("m"))).alias("mean_abs"))
@@ -540,6 +541,50 @@ def investigation_drilldown(spark: SparkSession, d: str) -> DataFrame:
     return rounded(diagnosis.evidence_rows(found, ["batch"]), 4)
 
 
+def engineered(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.engineer(labelled(spark, d), MODEL_CATEGORIES)
+
+
+def model_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metric rows of all batches under a champion that is fitted on the development and calibrated on the calibration period."""
+    made = engineered(spark, d)
+    champion = lifecycle.train_champion(made, MODEL_CATEGORIES)
+    return rounded(performance.metric_row(champion.score(batches(made)), ["batch"], champion.threshold, "amount"))
+
+
+def attribution_change(spark: SparkSession, d: str) -> DataFrame:
+    made = engineered(spark, d)
+    champion = lifecycle.train_champion(made, MODEL_CATEGORIES)
+    now = explain.summary(lifecycle.attributions(champion, batches(made), ["batch", "label"]), ["batch"])
+    ref = explain.summary(lifecycle.attributions(champion, acceptance(made), ["label"]), [])
+    return diagnosis.importance_change(ref, now, ["batch"])
+
+
+def attribution_rank_change(spark: SparkSession, d: str) -> DataFrame:
+    """Change of each feature's mean absolute Shapley value from the acceptance period, with ranks, for every batch."""
+    return rounded(attribution_change(spark, d))
+
+
+def attribution_drivers(spark: SparkSession, d: str) -> DataFrame:
+    """Drift alerts of every batch ranked with the change of the Shapley values."""
+    return rounded(diagnosis.rank_drivers(drift_records(spark, d), attribution_change(spark, d), ["batch"]))
+
+
+def trial(spark: SparkSession, d: str) -> lifecycle.Trial:
+    made = engineered(spark, d)
+    return lifecycle.evaluate_challenger(made, lifecycle.train_champion(made, MODEL_CATEGORIES), MODEL_CATEGORIES, ["product", "region"])
+
+
+def challenger_trial(spark: SparkSession, d: str) -> DataFrame:
+    """One row: windows, thresholds, differences with bounds and the decision about a challenger."""
+    return rounded(trial(spark, d).summary)
+
+
+def challenger_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Recall differences of the challenger in every segment with enough positives."""
+    return rounded(trial(spark, d).segments)
+
+
 SQL_DIR = Path(__file__).parent / "sql"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -555,6 +600,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         challenger_windows, score_js_limits, global_severity, label_freshness, last_evidence, recommendation_history, confusion_pivot,
         budget_unpivot, calibration_unpivot, score_movement, feature_metrics, full_metric_row, full_performance_limits, performance_records,
         performance_summary, missingness_records, investigation_classes, investigation_drilldown,
+        model_metrics, attribution_rank_change, attribution_drivers, challenger_trial, challenger_segments,
     )
 } | {"development_blocks": counted("development_block"), "daily_batches": counted("production_batch"), "fold_membership": lambda s, d: temporal.fold_rows(labelled(s, d))}
 

@@ -7,6 +7,7 @@ import json
 import math
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,22 @@ class DataValidationError(ValueError):
     """An input table breaks its contract."""
 
 
+def required_files(spark: SparkSession, folder: str, names: tuple[str, ...]) -> list[str]:
+    """The paths of the named files in a folder of any file system; one that is absent is an error."""
+    paths = [f"{folder.rstrip('/')}/{name}" for name in names]
+    missing = []
+    for path in paths:
+        try:
+            spark.read.text(path)
+        except AnalysisException as found:
+            if found.getCondition() != "PATH_NOT_FOUND":
+                raise
+            missing.append(path)
+    if missing:
+        raise FileNotFoundError(f"missing files: {', '.join(missing)}")
+    return paths
+
+
 def read_csv(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
     """All columns as text first, null tokens to null, then strict casts (a bad value fails the job).
 
