@@ -139,13 +139,14 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30, depende
 
     A voter's rates in either class are those given the vote of the voter that it
     depends on; the forest of dependencies is estimated at the start and twice along the way.
+    The label stays out of the forest: hanging on a voter it would count as an echo of that voter.
     """
     everyone = np.column_stack([votes, labels]).astype(np.float64)
     posterior = np.where(labels > 0, 0.95, 0.05)
     parent = np.full(everyone.shape[1], -1)
     for turn in range(rounds):
         if dependent and turn in (0, rounds // 3, 2 * rounds // 3):
-            parent = dependencies(everyone, posterior)
+            parent[:-1] = dependencies(everyone[:, :-1], posterior)
         above = np.where(parent[None, :] >= 0, everyone[:, parent], 0.0)
         mass = np.array([(1 - posterior).sum(), posterior.sum()]) + 1.0
         score = np.full(len(everyone), math.log(mass[1] / mass[0]))

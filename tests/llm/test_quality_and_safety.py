@@ -275,3 +275,13 @@ def test_edges_and_empty_tables(spark, edges, nothing):
     assert quality.score_quality(nothing, some).count() == 0 and toxicity.score_toxicity(nothing, some).count() == 0
     assert pii.detect(nothing).count() == 0 and rules.ledger(nothing).count() == 0
     assert pii.detect(edges).count() == len(edge_rows())
+
+
+def test_toxicity_on_the_given_labels(spark):
+    """Held-out recall and false alarms on the given tables, not on invented text."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    got = toxicity.op9_toxicity(spark, sf_dir).where("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.count("*").alias("n"), F.sum("predicted").alias("found"))
+    counts = {r["toxic"]: (r["n"], r["found"]) for r in got.collect()}
+    assert counts[1][0] > 50 and counts[1][1] >= 0.88 * counts[1][0]
+    assert counts[0][0] > 500 and counts[0][1] <= 2
