@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmon.llm.common import discard, documents, join_counted, materialize, prepared
+from riskmon.llm.common import LAST, discard, documents, join_counted, materialize, prepared
 from riskmon.llm.words import PLACE_CODE, hash_windows, hash_words, mix
 
 SHINGLE, BANDS, ROWS = 5, 20, 4
@@ -178,19 +178,37 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_id, component_id, kept.
 
-    class_id is the smallest doc_id with the same shingle set. A null, empty or
-    blank text has no shingles and is linked with nothing; texts of any length are
-    read whole; ties go to the smallest doc_id; rows that repeat a doc_id count as
-    one document; rows without a doc_id join the class of their text but are no
-    bridge; other columns play no part; an empty table gives no row.
+    class_id is the smallest doc_id with the same shingle set, component_id the
+    smallest that links reach. A null, empty or blank text has no shingles and is
+    linked with nothing; texts of any length are read whole; ties go to the smallest
+    doc_id. Every row is a document of its own, so rows that share a doc_id are linked
+    by their own texts, and rows without one link others like all rows; both ids are
+    null where no row of the class or component has one. Other columns play no part;
+    an empty table gives no row.
     """
     prepared(docs.sparkSession)
+    ident = F.col("doc_id").cast("long")
+    shared = docs.groupBy(F.coalesce(ident, F.lit(LAST))).agg(F.count(F.lit(1)).alias("n"), F.bool_or(ident.isNull()).alias("missing"))
+    if shared.where("n > 1 or missing").isEmpty():
+        return by_key(docs.select(ident.alias("doc_id"), "text"), percent)
+    # Stored, since the numbers of the rows must be the same in every plan.
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), ident.alias("own"), "text"), "numbered")
+    found = by_key(rows.select(F.col("row").alias("doc_id"), "text"), percent).drop("kept").withColumnRenamed("doc_id", "row")
+    found = materialize(found.join(rows.select("row", "own"), "row"), "rows")
+    for key in ("class_id", "component_id"):
+        least = found.groupBy(key).agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("n"))
+        found = materialize(join_counted(found, materialize(least, "least"), [key]).drop(key, "n").withColumnRenamed("least", key), "rows")
+    return found.select(F.col("own").alias("doc_id"), "n_shingles", "class_id", "component_id", F.col("own").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def by_key(docs: DataFrame, percent: int) -> DataFrame:
+    """`near_duplicates` of documents whose ids are all there and all different."""
     rows = materialize(sketch(docs), "sketch")
     key = ["n_shingles", "sum_a", "sum_b"]
     classes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes, "classes")
     heads = join_counted(rows.where("n_shingles > 0"), classes, key).where("doc_id = class_id").select("class_id", "n_shingles", "bands")
-    heads = materialize(heads.dropDuplicates(["class_id", "n_shingles"]), "heads")
+    heads = materialize(heads, "heads")
     spread = heads.select("class_id", "n_shingles", F.posexplode("bands").alias("band", "hash"))
     shared = spread.groupBy("band", "hash").agg(F.min(F.struct("class_id", "n_shingles")).alias("head"), F.count(F.lit(1)).alias("n"))
     members = materialize(join_counted(spread, materialize(shared.where("n > 1"), "buckets"), ["band", "hash"]).drop("n"), "members")
@@ -220,8 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Rows without shingles are the only ones that no class holds.
     held = join_counted(slim.where("n_shingles > 0"), answer, key).drop("n")
     none = slim.where("n_shingles = 0").withColumns({"class_id": F.col("doc_id"), "component_id": F.col("doc_id")})
-    out = held.unionByName(none).withColumns({c: F.coalesce(c, "doc_id") for c in ("class_id", "component_id")})
-    return out.select("doc_id", "n_shingles", "class_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return held.unionByName(none).select("doc_id", "n_shingles", "class_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def comparable(pairs: DataFrame, percent: int) -> DataFrame:
