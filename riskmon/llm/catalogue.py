@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from riskmon.llm import licenses, minhash, mixing, packing, pii, quality, rules, search, substrings, suffixes, toxicity
+from riskmon.llm import licenses, minhash, mixing, packing, pii, quality, rules, search, substrings, suffixes, toxicity, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_whitening": whitening.op11_whitening,
         "op13_license_scan": licenses.op13_license_scan,
     }
 
