@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from riskmon.llm import licenses, minhash, mixing, packing, pii, quality, rules, search, substrings, suffixes, toxicity, whitening
+from riskmon.llm import licenses, minhash, mixing, negatives, packing, pii, quality, rules, search, substrings, suffixes, toxicity, whitening
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_mix_sources": mixing.op10_mix_sources,
         "op11_whitening": whitening.op11_whitening,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
         "op13_license_scan": licenses.op13_license_scan,
     }
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict:
         "op6_exact_top_k": search.SQL,
         "op7_substring_dedup": substrings.SQL,
         "op10_mix_sources": mixing.SQL,
+        "op12_hard_negatives": negatives.SQL,
     }
