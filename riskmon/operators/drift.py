@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskmon.operators.features import as_category
-from riskmon.operators.metrics import edges, left_closed, running
+from riskmon.operators.metrics import edge_table, left_closed, quantiles, running
 
 SMOOTHING = 1e-6
 SEVERITIES = ("healthy", "warning", "critical")
@@ -31,7 +31,7 @@ def category_long(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame
 
 def reference_edges(reference: DataFrame, bins: int = 10) -> DataFrame:
     """One row per feature with its quantile edges; a constant feature has its value three times."""
-    found = reference.groupBy("feature").agg(edges("value", bins).alias("e"))
+    found = edge_table(reference, ["feature"], "value", bins).withColumnRenamed("edges", "e")
     single = F.array(F.element_at("e", 1), F.element_at("e", 1), F.element_at("e", 1))
     return found.select("feature", F.when(F.size("e") < 2, single).otherwise(F.col("e")).alias("edges"))
 
@@ -110,12 +110,16 @@ def bootstrap_missingness(reference: DataFrame, draws: DataFrame, columns: list[
     return sampled.join(F.broadcast(base), "feature").select("iter", "feature", F.abs(F.col("share") - F.col("base")).alias("missingness_shift"))
 
 
+def reference_scale(reference: DataFrame) -> DataFrame:
+    """(feature, scale): max(IQR, population deviation, 1e-6)."""
+    middle = quantiles(reference, ["feature"], "value", [0.25, 0.75]).select("feature", (F.get("quantiles", F.lit(1)) - F.get("quantiles", F.lit(0))).alias("iqr"))
+    spread = reference.groupBy("feature").agg(F.stddev_pop("value").alias("deviation"))
+    return spread.join(middle, "feature").select("feature", F.greatest("iqr", "deviation", F.lit(1e-6)).alias("scale"))
+
+
 def wasserstein(current: DataFrame, by: list[str], reference: DataFrame) -> DataFrame:
     """Wasserstein-1 distance over max(IQR, population deviation, 1e-6) of the reference."""
-    spread = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    scale = reference.groupBy("feature").agg(
-        F.greatest(F.element_at(spread, 2) - F.element_at(spread, 1), F.stddev_pop("value"), F.lit(1e-6)).alias("scale")
-    )
+    scale = reference_scale(reference)
     now = current.groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("c"))
     ref = reference.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("r"))
     groups = now.select(*by, "feature").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,12 +15,6 @@ def quantile_points(bins: int = 10) -> list[float]:
     return np.linspace(0, 1, bins + 1).tolist()
 
 
-def edges(value: str, bins: int = 10, weight: str | None = None) -> Column:
-    """Distinct linear quantiles, rounded to 9 places so that ties do not hang on the last bit."""
-    raw = F.percentile(F.col(value), F.array(*[F.lit(p) for p in quantile_points(bins)]), F.col(weight) if weight else F.lit(1))
-    return F.array_distinct(F.transform(raw, lambda x: F.round(x, 9)))
-
-
 def inner(edge: Column) -> Column:
     """Edges without the first and the last."""
     return F.slice(edge, F.lit(2), F.greatest(F.size(edge) - 2, F.lit(0)))
@@ -32,19 +28,45 @@ def left_closed(value: Column, edge: Column) -> Column:
     return F.size(F.filter(inner(edge), lambda e: e <= value))
 
 
-def running(counts: DataFrame, by: list[str], value: str, columns: list[str], descending: bool = False, buckets: int = 4096) -> DataFrame:
+def cut_points(counts: DataFrame, by: list[str], value: str, buckets: int) -> DataFrame:
+    """(by..., __cuts): sorted values that deal the distinct values of each group into about equal parts.
+
+    They come from a mergeable sketch of all values, which is built on the map side
+    and whose size does not depend on the input.
+    """
+    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    sketched = F.percentile_approx(F.col(value).cast("double"), points, F.lit(10 * buckets))
+    return counts.groupBy(*by).agg(F.array_distinct(sketched).alias("__cuts"))
+
+
+def same_group(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Inner join on groups, null ones included; `right` has one row per group."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    names = [f"__of_{c}" for c in by]
+    renamed = right.withColumnsRenamed(dict(zip(by, names)))
+    return left.join(renamed, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)]).drop(*names)
+
+
+def bucketed(counts: DataFrame, by: list[str], value: str, buckets: int) -> DataFrame:
+    """counts with `__bucket`, the number of the equal part of its group that a value falls into; higher values, higher numbers."""
+    step = max(1, math.isqrt(buckets))
+    # The place among every step-th cut first, then among the cuts of that step.
+    coarse = F.filter("__cuts", lambda c, i: (i % step == step - 1) & (c < F.col(value)))
+    held = same_group(counts, cut_points(counts, by, value, buckets), by).withColumn("__step", F.size(coarse) * step)
+    fine = F.filter(F.slice("__cuts", F.col("__step") + 1, F.lit(step)), lambda c: c < F.col(value))
+    return held.withColumn("__bucket", F.col("__step") + F.size(fine)).drop("__cuts", "__step")
+
+
+def running(counts: DataFrame, by: list[str], value: str, columns: list[str], descending: bool = False, buckets: int = 1024) -> DataFrame:
     """counts with `upto_<c>`, the sum of each column over this and all earlier values of the group, and `all_<c>`.
 
-    `counts` holds each finite (by..., value) once. Sums are taken over equal buckets
-    of the group's range of values first and inside each bucket then, so that no task
-    orders a whole group.
+    `counts` holds each finite (by..., value) once. Sums are taken over equal parts of
+    the group's distinct values first and inside each part then, so that no task
+    orders a whole group, however its values are spread.
     """
     names = [*by, "__bucket"]
-    # A group of its own, so that an empty `by` needs no special case.
-    held = counts.withColumn("__group", F.struct(*[F.col(c) for c in by]) if by else F.lit(0))
-    ranges = held.groupBy("__group").agg(F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"))
-    place = F.floor(F.try_divide(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo")) * buckets)
-    placed = held.join(ranges, "__group").withColumn("__bucket", F.coalesce(place, F.lit(0))).drop("__lo", "__hi", "__group")
+    placed = bucketed(counts, by, value, buckets)
     turned = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     before = Window.partitionBy(*by).orderBy(turned("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
     per = placed.groupBy(*names).agg(*[F.sum(c).alias(f"__{c}") for c in columns])
@@ -52,11 +74,39 @@ def running(counts: DataFrame, by: list[str], value: str, columns: list[str], de
         *names, *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__before_{c}") for c in columns],
         *[F.sum(f"__{c}").over(Window.partitionBy(*by)).alias(f"all_{c}") for c in columns],
     )
-    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in names]
-    joined = placed.alias("x").join(per.alias("y"), same).select("x.*", *[f"y.{c}" for c in per.columns if c not in names])
     inside = Window.partitionBy(*names).orderBy(turned(value)).rowsBetween(Window.unboundedPreceding, 0)
     upto = {f"upto_{c}": F.col(f"__before_{c}") + F.sum(c).over(inside) for c in columns}
-    return joined.withColumns(upto).drop("__bucket", *[f"__before_{c}" for c in columns])
+    return same_group(placed, per, names).withColumns(upto).drop("__bucket", *[f"__before_{c}" for c in columns])
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, points: list[float], weight: str | None = None) -> DataFrame:
+    """(by..., quantiles): exact linear quantiles of each group, in the order of `points`, from counts per distinct value.
+
+    A row of weight w counts as w rows. Only the values at the asked places leave
+    their tasks, so memory does not grow with a group.
+    """
+    w = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(w.alias("c"))
+    run = running(counts, by, value, ["c"])
+    first = F.col("upto_c") - F.col("c")
+
+    def held(at: Column) -> Column:
+        return (at >= first) & (at < F.col("upto_c"))
+
+    place = F.transform(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(points)]), lambda x: F.struct(x["i"].alias("i"), (x["p"] * (F.col("all_c") - 1)).alias("at")))
+    near = F.filter(place, lambda x: held(F.floor(x["at"])) | held(F.ceil(x["at"])))
+    hit = run.select(*by, F.col(value).cast("double").alias("__v"), first.alias("__lo"), "upto_c", F.explode(near).alias("x"))
+    at, inside = F.col("x.at"), (lambda k: (k >= F.col("__lo")) & (k < F.col("upto_c")))
+    ends = hit.groupBy(*by, F.col("x.i").alias("__i"), at.alias("__at")).agg(F.max(F.when(inside(F.floor(at)), F.col("__v"))).alias("a"), F.max(F.when(inside(F.ceil(at)), F.col("__v"))).alias("b"))
+    low, high = F.floor("__at"), F.ceil("__at")
+    found = F.when(low == high, F.col("a")).otherwise((high - F.col("__at")) * F.col("a") + (F.col("__at") - low) * F.col("b"))
+    return ends.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", found.alias("v")))), lambda x: x["v"]).alias("quantiles"))
+
+
+def edge_table(df: DataFrame, by: list[str], value: str, bins: int = 10, weight: str | None = None) -> DataFrame:
+    """(by..., edges): distinct linear quantiles, rounded to 9 places so that ties do not hang on the last bit."""
+    rounded = F.transform("quantiles", lambda x: F.round(x, 9))
+    return quantiles(df, by, value, quantile_points(bins), weight).select(*by, F.array_distinct(rounded).alias("edges"))
 
 
 def higher_quantile(df: DataFrame, value: str, points: list[float], by: list[str] | None = None) -> DataFrame:
@@ -120,12 +170,12 @@ def ranking(df: DataFrame, by: list[str], score: str = "score", label: str = "la
 def score_summary(df: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
     p, y = F.col(score), F.col(label)
     clipped = F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS))
-    return df.groupBy(*by).agg(
+    sums = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(y.cast("long")).alias("positives"), F.avg(y.cast("double")).alias("prevalence"),
-        F.avg(p).alias("score_mean"), F.percentile(p, F.lit(0.5)).alias("score_p50"), F.percentile(p, F.lit(0.95)).alias("score_p95"),
-        F.avg((p - y) * (p - y)).alias("brier"),
-        F.avg(-(y * F.log(clipped) + (1 - y) * F.log(1 - clipped))).alias("log_loss"),
+        F.avg(p).alias("score_mean"), F.avg((p - y) * (p - y)).alias("brier"), F.avg(-(y * F.log(clipped) + (1 - y) * F.log(1 - clipped))).alias("log_loss"),
     )
+    held = same_group(sums, quantiles(df, by, score, [0.5, 0.95]), by)
+    return held.select(*by, "rows", "positives", "prevalence", "score_mean", F.get("quantiles", F.lit(0)).alias("score_p50"), F.get("quantiles", F.lit(1)).alias("score_p95"), "brier", "log_loss")
 
 
 def captured_amount(df: DataFrame, by: list[str], threshold: Column, amount: str = "amount", score: str = "score", label: str = "label") -> DataFrame:
@@ -136,8 +186,7 @@ def captured_amount(df: DataFrame, by: list[str], threshold: Column, amount: str
 
 
 def with_edges(df: DataFrame, by: list[str], score: str, bins: int, weight: str | None = None) -> DataFrame:
-    found = df.groupBy(*by).agg(edges(score, bins, weight).alias("edges"))
-    return df.join(found, by) if by else df.crossJoin(F.broadcast(found))
+    return same_group(df, edge_table(df, by, score, bins, weight), by)
 
 
 def reliability(df: DataFrame, by: list[str], score: str = "score", label: str = "label", bins: int = 10) -> DataFrame:

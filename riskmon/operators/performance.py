@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskmon.operators import metrics
+from riskmon.operators import metrics, resample
 from riskmon.operators.monitoring import performance_status
 
 # The judged metrics, by the side on which they are worse.
@@ -42,7 +42,7 @@ def resampled(rows: DataFrame, draws: DataFrame, threshold: float) -> DataFrame:
     """(iter, metric, value) of day-block resamples of (day, score, label); resamples of a single class are left out.
 
     What is additive is summed per day before the draws are joined. Average
-    precision and calibration work on counts per day and distinct score.
+    precision and calibration order the counts per day and distinct score once for all draws.
     """
     y, flagged, gap = F.col("label") == 1, F.col("score") >= threshold, F.col("score") - F.col("label")
     sums = {
@@ -58,10 +58,10 @@ def resampled(rows: DataFrame, draws: DataFrame, threshold: float) -> DataFrame:
         "iter", *[v.alias(k) for k, v in metrics.rates("tp", "fp", "fn", "tn").items() if k != "f1"],
         (F.col("squares") / whole).alias("brier_score"), F.abs((tp + fn) / whole - F.col("base")).alias("prevalence_shift"),
     )
-    counts = rows.groupBy("day", "score", "label").agg(F.count(F.lit(1)).alias("n"))
-    weighted = counts.join(F.broadcast(draws), "day").withColumn("w", F.col("n") * F.col("mult"))
-    ranked = metrics.ranking(weighted, ["iter"], weight="w").select("iter", "pr_auc")
-    error = metrics.calibration_error(weighted, ["iter"], weight="w").withColumnRenamed("ece", "expected_calibration_error")
+    counts = rows.groupBy(F.col("day").cast("long").alias("day"), "score").agg(F.sum(y.cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
+    drawn = resample.Draws(draws)
+    ranked = resample.ranking(counts, drawn)
+    error = resample.calibration_error(counts, drawn).withColumnRenamed("ece", "expected_calibration_error")
     return additive.join(ranked, "iter").join(error, "iter").unpivot(["iter"], [*LOWER, *HIGHER], "metric", "value")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskmon.analogs import daily, transactions
-from riskmon.operators import causal, challenger, diagnosis, drift, explain, features, lifecycle, metrics, monitoring, performance, temporal
+from riskmon.operators import causal, challenger, diagnosis, drift, explain, features, lifecycle, metrics, monitoring, performance, resample, temporal
 from riskmon.sources import export, ingest
 
 DAY = 86400
@@ -288,13 +288,13 @@ def performance_limits(spark: SparkSession, d: str) -> DataFrame:
     """Limits of recall and average precision over day-block resamples of the acceptance period."""
     rows = acceptance(labelled(spark, d)).withColumn("day", F.floor(F.col("t") / DAY))
     draws = drift.hashed_draws(rows.select("day"), ITERATIONS)
-    per = rows.groupBy("day", "score", "label").agg(F.count(F.lit(1)).alias("n"))
-    weighted = per.join(F.broadcast(draws), "day").withColumn("w", F.col("n") * F.col("mult"))
-    ranked = metrics.ranking(weighted, ["iter"], weight="w").select("iter", "pr_auc")
-    hit = F.sum(F.when((F.col("label") == 1) & (F.col("score") >= THRESHOLD), F.col("w")).otherwise(0))
-    recalls = weighted.groupBy("iter").agg((hit / F.sum(F.when(F.col("label") == 1, F.col("w")).otherwise(0))).alias("recall"))
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("pr_auc", "recall")]))
-    long = ranked.join(recalls, "iter").select(each.alias("r")).select("r.*")
+    counts = rows.groupBy("day", "score").agg(F.sum(F.col("label").cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
+    ranked = resample.ranking(counts, resample.Draws(draws))
+    bad, hit = F.col("label") == 1, (F.col("label") == 1) & (F.col("score") >= THRESHOLD)
+    daily_sums = rows.groupBy("day").agg(F.count_if(bad).alias("bad"), F.count_if(hit).alias("hit"))
+    share = F.try_divide(F.sum(F.col("hit") * F.col("mult")), F.sum(F.col("bad") * F.col("mult")))
+    recalls = daily_sums.join(F.broadcast(draws), "day").groupBy("iter").agg(share.alias("recall"))
+    long = ranked.join(recalls, "iter").unpivot(["iter"], ["pr_auc", "recall"], "metric", "v")
     return rounded(drift.control_limits(long, ["metric"], "v", 0.05, 0.01))
 
 
@@ -585,6 +585,8 @@ def challenger_segments(spark: SparkSession, d: str) -> DataFrame:
     return rounded(trial(spark, d).segments)
 
 
+# A fitted model decides the rows of these, so they have no SQL.
+OF_MODELS = ("model_metrics", "attribution_rank_change", "attribution_drivers", "challenger_trial", "challenger_segments")
 SQL_DIR = Path(__file__).parent / "sql"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
