@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskmon.analogs import daily, transactions
-from riskmon.operators import causal, challenger, diagnosis, drift, explain, features, lifecycle, metrics, monitoring, performance, resample, temporal
-from riskmon.sources import export, ingest
+from riskmon.operators import causal, challenger, diagnosis, drift, explain, features, lifecycle, metrics, monitor, monitoring, performance, resample, temporal
+from riskmon.sources import export, ingest, scratch
 
 DAY = 86400
 NUMERIC, CATEGORIES = ["amount", "score"], ["product", "channel", "region", "user_id"]
@@ -479,6 +479,42 @@ def feature_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(first)
 
 
+MONITORED = (["amount"], ["product", "channel", "region"])
+
+
+def fitted_monitor(spark: SparkSession, d: str) -> tuple[monitor.DriftMonitor, DataFrame]:
+    """The drift monitor of the acceptance period, and the rows of all batches; tables that several plans read are stored."""
+    rows = scratch.stored(labelled(spark, d).where("dataset_period = 'acceptance' or production_batch is not null"), "monitored")
+    reference = acceptance(rows).withColumn("day", F.floor(F.col("t") / DAY))
+    draws = drift.hashed_draws(reference.select("day"), ITERATIONS)
+    return monitor.fit(reference, *MONITORED, draws, keep=lambda name, df: scratch.stored(df, name)), batches(rows)
+
+
+def monitor_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Warning and critical limits of every metric of every feature and of the scores."""
+    fitted, _ = fitted_monitor(spark, d)
+    scores = fitted.prediction_limits.select(F.lit("score").alias("feature"), F.lit("prediction").alias("kind"), "metric", "warning_limit", "critical_limit")
+    return rounded(fitted.limits.unionByName(scores))
+
+
+def monitor_records(spark: SparkSession, d: str) -> DataFrame:
+    """Three records of every monitored feature and batch."""
+    fitted, now = fitted_monitor(spark, d)
+    return rounded(fitted.compare(now, ["batch"]))
+
+
+def monitor_prediction(spark: SparkSession, d: str) -> DataFrame:
+    """Divergence and mean shift of the scores of every batch against resampled limits."""
+    fitted, now = fitted_monitor(spark, d)
+    return rounded(fitted.prediction(now, ["batch"]))
+
+
+def monitor_summary(spark: SparkSession, d: str) -> DataFrame:
+    """How many features alert in every batch, how many may, and what follows."""
+    fitted, now = fitted_monitor(spark, d)
+    return fitted.summary(fitted.compare(now, ["batch"]), fitted.prediction(now, ["batch"]), ["batch"])
+
+
 def metric_rows(spark: SparkSession, d: str) -> DataFrame:
     return performance.metric_row(batches(labelled(spark, d)), ["batch"], THRESHOLD, "amount")
 
@@ -601,7 +637,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         health_timeline, latest_batch, metric_unpivot, public_projection, shap_rank_change, driver_ranking, investigations,
         challenger_windows, score_js_limits, global_severity, label_freshness, last_evidence, recommendation_history, confusion_pivot,
         budget_unpivot, calibration_unpivot, score_movement, feature_metrics, full_metric_row, full_performance_limits, performance_records,
-        performance_summary, missingness_records, investigation_classes, investigation_drilldown,
+        monitor_limits, monitor_records, monitor_prediction, monitor_summary, performance_summary, missingness_records, investigation_classes, investigation_drilldown,
         model_metrics, attribution_rank_change, attribution_drivers, challenger_trial, challenger_segments,
     )
 } | {"development_blocks": counted("development_block"), "daily_batches": counted("production_batch"), "fold_membership": lambda s, d: temporal.fold_rows(labelled(s, d))}

@@ -614,3 +614,98 @@ WHERE NOT (drift_severity = 'healthy' AND performance_severity IN ('healthy', 'u
 -- query investigation_drilldown
 SELECT ranked.batch, place, feature, metrics, round(driver_score, 4) AS driver_score FROM ranked JOIN bm ON bm.batch = ranked.batch
 WHERE place <= 10 AND NOT (drift_severity = 'healthy' AND performance_severity IN ('healthy', 'unavailable'))
+
+-- view cday
+SELECT batch, dataset_period, t // 86400 AS day, unnest(['product', 'channel', 'region']) AS feature, coalesce(unnest([product, channel, CAST(region AS VARCHAR)]), '__MISSING__') AS value FROM lab
+
+-- view gday
+SELECT batch, dataset_period, t // 86400 AS day, unnest(['amount', 'product', 'channel', 'region']) AS feature, unnest([(amount IS NULL)::INT, (product IS NULL)::INT, (channel IS NULL)::INT, (region IS NULL)::INT]) AS gap FROM lab
+
+-- view ascale
+SELECT greatest(quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25), stddev_pop(amount), 1e-6::DOUBLE) AS scale FROM acc
+
+-- view wdraw
+SELECT iter, sum(gap * coalesce(step, 0)) / any_value(scale) AS v
+FROM (SELECT iter, abs(sum(c) OVER o / sum(c) OVER p - sum(r) OVER o / sum(r) OVER p) AS gap, lead(value) OVER (PARTITION BY iter ORDER BY value) - value AS step
+      FROM (SELECT iter, value, sum(c) AS c, sum(r) AS r
+            FROM (SELECT iter, amount AS value, mult AS c, 0 AS r FROM acc JOIN draws ON draws.day = acc.t // 86400
+                  UNION ALL SELECT g.iter, amount, 0, 1 FROM acc, (SELECT DISTINCT iter FROM draws) g) WHERE value IS NOT NULL GROUP BY iter, value)
+      WINDOW o AS (PARTITION BY iter ORDER BY value ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY iter)), ascale GROUP BY iter
+
+-- view jdraw
+SELECT iter, feature, sqrt(greatest(sum(a * log2(a / ((a + e) / 2)) + e * log2(e / ((a + e) / 2))) / 2, 0)) AS v
+FROM (SELECT g.iter, l.feature, (coalesce(x.n, 0) + 1e-6::DOUBLE) / sum(coalesce(x.n, 0) + 1e-6::DOUBLE) OVER w AS a, (l.n + 1e-6::DOUBLE) / sum(l.n + 1e-6::DOUBLE) OVER w AS e
+      FROM (SELECT feature, value, count(*) AS n FROM cday WHERE dataset_period = 'acceptance' GROUP BY ALL) l JOIN (SELECT DISTINCT iter FROM draws) g ON true
+      LEFT JOIN (SELECT iter, feature, value, sum(mult) AS n FROM cday JOIN draws ON draws.day = cday.day WHERE dataset_period = 'acceptance' GROUP BY ALL) x ON x.iter = g.iter AND x.feature = l.feature AND x.value = l.value
+      WINDOW w AS (PARTITION BY g.iter, l.feature)) GROUP BY iter, feature
+
+-- view gbase
+SELECT feature, avg(gap) AS base FROM gday WHERE dataset_period = 'acceptance' GROUP BY feature
+
+-- view fsamples
+SELECT iter, feature, metric, round(v, 9) AS v FROM (
+  SELECT iter, 'amount' AS feature, 'normalized_wasserstein' AS metric, v FROM wdraw
+  UNION ALL SELECT iter, feature, 'psi', psi FROM samples WHERE feature = 'amount'
+  UNION ALL SELECT iter, feature, 'jensen_shannon', v FROM jdraw
+  UNION ALL SELECT iter, feature, 'unseen_category_rate', 0 FROM jdraw
+  UNION ALL SELECT iter, s.feature, 'missingness_shift', abs(share - base)
+            FROM (SELECT iter, feature, sum(gap * mult) / sum(mult) AS share FROM gday JOIN draws ON draws.day = gday.day WHERE dataset_period = 'acceptance' GROUP BY iter, feature) s JOIN gbase ON gbase.feature = s.feature)
+
+-- view flim
+SELECT feature, CASE WHEN feature = 'amount' THEN 'numeric' ELSE 'categorical' END AS kind, metric, round(quantile_cont(v, 0.95), 9) AS warning_limit, round(quantile_cont(v, 0.99), 9) AS critical_limit FROM fsamples GROUP BY feature, metric
+
+-- view psamples
+SELECT iter, 'score_jensen_shannon' AS metric, js AS v FROM jsamples
+UNION ALL SELECT iter, 'score_mean_shift', round(abs(sum(score * mult) / sum(mult) - any_value(m)), 9) FROM acc JOIN draws ON draws.day = acc.t // 86400, (SELECT avg(score) AS m FROM acc) GROUP BY iter
+
+-- view plim
+SELECT metric, round(quantile_cont(v, 0.95), 9) AS warning_limit, round(quantile_cont(v, 0.99), 9) AS critical_limit FROM psamples GROUP BY metric
+
+-- query monitor_limits
+SELECT feature, kind, metric, round(warning_limit, 6) AS warning_limit, round(critical_limit, 6) AS critical_limit FROM (SELECT * FROM flim UNION ALL SELECT 'score', 'prediction', metric, warning_limit, critical_limit FROM plim)
+
+-- view wnow
+SELECT batch, sum(gap * coalesce(step, 0)) / any_value(scale) AS v
+FROM (SELECT batch, abs(sum(c) OVER o / sum(c) OVER p - sum(r) OVER o / sum(r) OVER p) AS gap, lead(value) OVER (PARTITION BY batch ORDER BY value) - value AS step
+      FROM (SELECT batch, value, sum(c) AS c, sum(r) AS r
+            FROM (SELECT batch, amount AS value, 1 AS c, 0 AS r FROM prod UNION ALL SELECT g.batch, amount, 0, 1 FROM acc, (SELECT DISTINCT batch FROM prod) g) WHERE value IS NOT NULL GROUP BY batch, value)
+      WINDOW o AS (PARTITION BY batch ORDER BY value ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY batch)), ascale GROUP BY batch
+
+-- view ccells
+SELECT batch, feature, value, sum(c) AS c, sum(r) AS r
+FROM (SELECT batch, feature, value, 1 AS c, 0 AS r FROM cday WHERE batch IS NOT NULL UNION ALL SELECT g.batch, feature, value, 0, 1 FROM cday, (SELECT DISTINCT batch FROM prod) g WHERE dataset_period = 'acceptance') GROUP BY ALL
+
+-- view fvalues
+SELECT batch, feature, metric, round(v, 9) AS value FROM (
+  SELECT batch, 'amount' AS feature, 'normalized_wasserstein' AS metric, v FROM wnow
+  UNION ALL SELECT batch, feature, 'psi', psi FROM diverge WHERE feature = 'amount'
+  UNION ALL SELECT batch, feature, 'jensen_shannon', sqrt(greatest(sum(a * log2(a / ((a + e) / 2)) + e * log2(e / ((a + e) / 2))) / 2, 0))
+            FROM (SELECT batch, feature, (c + 1e-6::DOUBLE) / sum(c + 1e-6::DOUBLE) OVER w AS a, (r + 1e-6::DOUBLE) / sum(r + 1e-6::DOUBLE) OVER w AS e FROM ccells WINDOW w AS (PARTITION BY batch, feature)) GROUP BY batch, feature
+  UNION ALL SELECT batch, feature, 'unseen_category_rate', sum(CASE WHEN r = 0 THEN c ELSE 0 END) / sum(c) FROM ccells GROUP BY batch, feature
+  UNION ALL SELECT batch, x.feature, 'missingness_shift', abs(g - base) FROM (SELECT batch, feature, avg(gap) AS g FROM gday WHERE batch IS NOT NULL GROUP BY batch, feature) x JOIN gbase ON gbase.feature = x.feature)
+
+-- view mfull
+SELECT batch, v.feature, kind AS feature_kind, v.metric, value, warning_limit, critical_limit, CASE WHEN value > critical_limit THEN 'critical' WHEN value > warning_limit THEN 'warning' ELSE 'healthy' END AS severity
+FROM fvalues v JOIN flim ON flim.feature = v.feature AND flim.metric = v.metric
+
+-- query monitor_records
+SELECT batch, feature, feature_kind, metric, round(value, 6) AS value, round(warning_limit, 6) AS warning_limit, round(critical_limit, 6) AS critical_limit, severity FROM mfull
+
+-- view mscores
+SELECT batch, x.metric, value, warning_limit, critical_limit, CASE WHEN value > critical_limit THEN 'critical' WHEN value > warning_limit THEN 'warning' ELSE 'healthy' END AS severity
+FROM (SELECT batch, 'score_jensen_shannon' AS metric, round(js, 9) AS value FROM diverge WHERE feature = 'score'
+      UNION ALL SELECT batch, 'score_mean_shift', round(abs(avg(score) - any_value(m)), 9) FROM prod, (SELECT avg(score) AS m FROM acc) GROUP BY batch) x JOIN plim ON plim.metric = x.metric
+
+-- query monitor_prediction
+SELECT batch, metric, round(value, 6) AS value, round(warning_limit, 6) AS warning_limit, round(critical_limit, 6) AS critical_limit, severity FROM mscores
+
+-- view fallowed
+SELECT list_sort(list(w))[CAST(ceil(round((count(*) - 1) * 0.95::DOUBLE, 9)) AS BIGINT) + 1] AS mw, list_sort(list(c))[CAST(ceil(round((count(*) - 1) * 0.99::DOUBLE, 9)) AS BIGINT) + 1] AS mc
+FROM (SELECT iter, count(*) FILTER (WHERE k > 0) AS w, count(*) FILTER (WHERE k = 2) AS c
+      FROM (SELECT iter, s.feature, max(CASE WHEN v > critical_limit THEN 2 WHEN v > warning_limit THEN 1 ELSE 0 END) AS k FROM fsamples s JOIN flim ON flim.feature = s.feature AND flim.metric = s.metric GROUP BY iter, s.feature) GROUP BY iter)
+
+-- query monitor_summary
+SELECT f.batch, w AS warning_features, c AS critical_features, mw AS warning_feature_limit, mc AS critical_feature_limit, p.severity AS prediction_severity,
+       CASE WHEN c > mc OR p.severity = 'critical' THEN 'critical' WHEN w > mw OR p.severity = 'warning' THEN 'warning' ELSE 'healthy' END AS global_severity
+FROM (SELECT batch, count(*) FILTER (WHERE k > 0) AS w, count(*) FILTER (WHERE k = 2) AS c FROM (SELECT batch, feature, max(CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) AS k FROM mfull GROUP BY batch, feature) GROUP BY batch) f
+JOIN (SELECT batch, CASE max(CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'healthy' END AS severity FROM mscores GROUP BY batch) p ON p.batch = f.batch, fallowed
