@@ -93,6 +93,25 @@ def classify(batches: DataFrame, alerts: DataFrame, performance: DataFrame, by:
     return joined.select(*by, "drift_severity", "performance_severity", named.alias("classification"))
 
 
+def investigation_records(batches: DataFrame, alerts: DataFrame, performance: DataFrame, change: DataFrame, segments: DataFrame, by: list[str]) -> DataFrame:
+    """One record for every batch that drifts or performs worse: classes, drivers as JSON, the worst segments, and what to do.
+
+    `batches` holds the acted rows (label_status, action, action_evidence and the three
+    severities), `alerts` the drift records, `performance` the performance records,
+    `change` the attribution changes, `segments` the segment metrics of mature batches.
+    """
+    found = classify(batches, alerts, performance, by).drop("drift_severity", "performance_severity")
+    listed = F.array_sort(F.collect_list(F.struct("place", "feature", "metrics", "driver_score"))).alias("d")
+    out = found.join(rank_drivers(alerts, change, by).groupBy(*by).agg(listed), by, "left")
+    for metric in ("false_negative", "false_positive", "prevalence"):
+        out = out.join(top_segment(segments, by, metric), by, "left")
+    kept = batches.select(*by, *[c for c in ("stream", "label_status", "action", "action_evidence") if c not in by])
+    return out.join(kept, by).select(
+        *by, *[c for c in ("stream", "label_status", "action") if c not in by], "classification", F.get("d.feature", F.lit(0)).alias("likely_driver"), F.coalesce(F.to_json("d"), F.lit("[]")).alias("driver_evidence"),
+        "top_false_negative_segment", "top_false_positive_segment", "top_prevalence_segment", F.col("action_evidence").alias("recommended_action"),
+    )
+
+
 EVIDENCE = "array<struct<place:int,feature:string,metrics:string,driver_score:double>>"
 
 

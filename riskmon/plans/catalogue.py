@@ -9,8 +9,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskmon import config
 from riskmon.analogs import daily, transactions
 from riskmon.operators import causal, challenger, diagnosis, drift, explain, features, lifecycle, metrics, monitor, monitoring, performance, resample, temporal
+from riskmon.plans import replay
 from riskmon.sources import export, ingest, scratch
 
 DAY = 86400
@@ -515,6 +517,46 @@ def monitor_summary(spark: SparkSession, d: str) -> DataFrame:
     return fitted.summary(fitted.compare(now, ["batch"]), fitted.prediction(now, ["batch"]), ["batch"])
 
 
+def monitored_batches(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Acted batch records, drift and performance records and segments, as the replay makes them, of the table's own scores."""
+    fitted, now = fitted_monitor(spark, d)
+    now, rows = now.withColumn("stream", F.lit("production")), fitted.reference
+    records, prediction = scratch.stored(fitted.compare(now, replay.BY), "drift"), scratch.stored(fitted.prediction(now, replay.BY), "prediction")
+    found, shown = replay.judged(now, rows, THRESHOLD, config.Settings(iterations=ITERATIONS))
+    found = scratch.stored(found, "performance")
+    base = replay.base_records(now, THRESHOLD, 2)
+    acted = scratch.stored(replay.batch_records(base, fitted.summary(records, prediction, replay.BY), prediction, found, shown), "batches")
+    top = monitoring.top_values(rows, ["region"], 3)
+    segments = replay.mature_segments(now, base, top, ["region"], ["product"], THRESHOLD, 12, 30).withColumn("stream", F.lit("production"))
+    return {"batches": acted, "records": records, "performance": found, "segments": segments, "rows": now, "reference": rows}
+
+
+def batch_records(spark: SparkSession, d: str) -> DataFrame:
+    """One row per batch with all that the monitoring knows of it."""
+    return rounded(monitored_batches(spark, d)["batches"], 4)
+
+
+def mature_segment_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Segment metrics of mature batches, pooled with the mature batch before."""
+    found = monitored_batches(spark, d)["segments"]
+    return rounded(found.withColumns({c: F.col(c).cast("double") for c in ("false_positive", "false_negative")}))
+
+
+def investigation_records(spark: SparkSession, d: str) -> DataFrame:
+    """Classes, likely driver, worst segments and recommended action of every batch that needs a look."""
+    held = monitored_batches(spark, d)
+    numbers = [c for c in MONITORED[0]]
+    now, ref = drift.numeric_long(held["rows"], replay.BY, numbers), drift.numeric_long(held["reference"], [], numbers)
+    centre = ref.groupBy("feature").agg(F.avg("value").alias("m"))
+
+    def spread(long: DataFrame, by: list[str]) -> DataFrame:
+        return long.join(F.broadcast(centre), "feature").groupBy(*by, "feature").agg(F.avg(F.abs(F.col("value") - F.col("m"))).alias("mean_abs"))
+
+    change = rounded(diagnosis.importance_change(spread(ref, []), spread(now, replay.BY), replay.BY), 9)
+    found = diagnosis.investigation_records(held["batches"], held["records"], held["performance"], change, held["segments"], replay.BY)
+    return found.drop("driver_evidence")
+
+
 def metric_rows(spark: SparkSession, d: str) -> DataFrame:
     return performance.metric_row(batches(labelled(spark, d)), ["batch"], THRESHOLD, "amount")
 
@@ -637,7 +679,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         health_timeline, latest_batch, metric_unpivot, public_projection, shap_rank_change, driver_ranking, investigations,
         challenger_windows, score_js_limits, global_severity, label_freshness, last_evidence, recommendation_history, confusion_pivot,
         budget_unpivot, calibration_unpivot, score_movement, feature_metrics, full_metric_row, full_performance_limits, performance_records,
-        monitor_limits, monitor_records, monitor_prediction, monitor_summary, performance_summary, missingness_records, investigation_classes, investigation_drilldown,
+        monitor_limits, monitor_records, monitor_prediction, monitor_summary, batch_records, mature_segment_metrics, investigation_records, performance_summary, missingness_records, investigation_classes, investigation_drilldown,
         model_metrics, attribution_rank_change, attribution_drivers, challenger_trial, challenger_segments,
     )
 } | {"development_blocks": counted("development_block"), "daily_batches": counted("production_batch"), "fold_membership": lambda s, d: temporal.fold_rows(labelled(s, d))}

@@ -709,3 +709,68 @@ SELECT f.batch, w AS warning_features, c AS critical_features, mw AS warning_fea
        CASE WHEN c > mc OR p.severity = 'critical' THEN 'critical' WHEN w > mw OR p.severity = 'warning' THEN 'warning' ELSE 'healthy' END AS global_severity
 FROM (SELECT batch, count(*) FILTER (WHERE k > 0) AS w, count(*) FILTER (WHERE k = 2) AS c FROM (SELECT batch, feature, max(CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) AS k FROM mfull GROUP BY batch, feature) GROUP BY batch) f
 JOIN (SELECT batch, CASE max(CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'healthy' END AS severity FROM mscores GROUP BY batch) p ON p.batch = f.batch, fallowed
+
+-- view msum
+SELECT f.batch, w AS warning_features, c AS critical_features, p.severity AS prediction_severity,
+       CASE WHEN c > mc OR p.severity = 'critical' THEN 'critical' WHEN w > mw OR p.severity = 'warning' THEN 'warning' ELSE 'healthy' END AS drift_severity
+FROM (SELECT batch, count(*) FILTER (WHERE k > 0) AS w, count(*) FILTER (WHERE k = 2) AS c FROM (SELECT batch, feature, max(CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) AS k FROM mfull GROUP BY batch, feature) GROUP BY batch) f
+JOIN (SELECT batch, CASE max(CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'healthy' END AS severity FROM mscores GROUP BY batch) p ON p.batch = f.batch, fallowed
+
+-- view bfull
+SELECT w.batch, span.day_start, span.day_end, CASE WHEN w.batch + 2 <= max(w.batch) OVER () THEN 'mature' ELSE 'pending' END AS label_status, msum.* EXCLUDE (batch), s.* EXCLUDE (batch), w.* EXCLUDE (batch)
+FROM wrow w JOIN msum ON msum.batch = w.batch JOIN psummary s ON s.batch = w.batch JOIN (SELECT batch, min(t) / 86400 AS day_start, max(t) / 86400 AS day_end FROM prod GROUP BY batch) span ON span.batch = w.batch WHERE w.batch > 0
+
+-- view bacted
+SELECT *, CASE WHEN primary_critical AND pp THEN 'retrain_evaluation_required' WHEN drift_severity = 'critical' OR performance_severity = 'critical' OR (wn AND pw) THEN 'investigate' ELSE 'continue_monitoring' END AS action,
+       CASE WHEN primary_critical AND pp THEN 'Primary performance guardrail breached in two mature batches'
+            WHEN drift_severity = 'critical' OR performance_severity = 'critical' THEN concat_ws('; ', CASE WHEN drift_severity = 'critical' THEN 'Critical data or prediction drift' END, CASE WHEN performance_severity = 'critical' THEN 'Critical mature-label performance breach' END)
+            WHEN wn AND pw THEN 'Warning persisted for two consecutive batches' ELSE 'No sustained or critical guardrail breach' END AS action_evidence
+FROM (SELECT *, coalesce(lag(wn) OVER (ORDER BY batch), false) AS pw, coalesce(last_value(CASE WHEN label_status = 'mature' THEN primary_critical END IGNORE NULLS) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS pp
+      FROM (SELECT *, drift_severity = 'warning' OR performance_severity = 'warning' AS wn FROM bfull))
+
+-- query batch_records
+SELECT 'production' AS stream, b.batch, rows, round(day_start, 4) AS elapsed_day_start, round(day_end, 4) AS elapsed_day_end, label_status, batch + 2 AS label_available_at_batch, round(score_mean, 4) AS score_mean, round(score_p50, 4) AS score_p50,
+       round(score_p95, 4) AS score_p95, round(review_rate, 4) AS review_rate, 0.8::DOUBLE AS review_threshold, warning_features, critical_features, prediction_severity, drift_severity, round(j, 4) AS score_jensen_shannon, round(m, 4) AS score_mean_shift,
+       performance_severity, primary_critical, CASE WHEN ok THEN positives END AS positives, CASE WHEN ok THEN round(precision, 4) END AS precision, CASE WHEN ok THEN round(recall, 4) END AS recall, CASE WHEN ok THEN round(f1, 4) END AS f1,
+       CASE WHEN ok THEN round(false_positive_rate, 4) END AS false_positive_rate, CASE WHEN ok THEN round(false_negative_rate, 4) END AS false_negative_rate, CASE WHEN ok THEN round(pr_auc, 4) END AS pr_auc, CASE WHEN ok THEN round(roc_auc, 4) END AS roc_auc,
+       CASE WHEN ok THEN round(brier_score, 4) END AS brier_score, CASE WHEN ok THEN round(expected_calibration_error, 4) END AS expected_calibration_error, CASE WHEN ok THEN round(fraud_amount, 4) END AS fraud_amount,
+       CASE WHEN ok THEN round(captured_amount, 4) END AS captured_amount, CASE WHEN ok THEN round(captured_rate, 4) END AS captured_rate, action, action_evidence
+FROM (SELECT *, label_status = 'mature' AS ok FROM bacted) b JOIN (SELECT batch AS bb, max(CASE WHEN metric = 'score_jensen_shannon' THEN value END) AS j, max(CASE WHEN metric = 'score_mean_shift' THEN value END) AS m FROM mscores GROUP BY batch) x ON bb = batch
+
+-- view mseq
+SELECT s.*, dense_rank() OVER (ORDER BY s.batch) AS seq FROM segcount s WHERE s.batch + 2 <= (SELECT max(batch) FROM prod)
+
+-- view mseg
+SELECT batch, segment, value, CASE WHEN pool THEN 2 ELSE 1 END AS window_batches, rows, positives, negatives, tp, fp, fn, fa, ca, positives >= 12 AND negatives >= 30 AS enough
+FROM (SELECT n.batch, n.segment, n.value, pool, n.rows + CASE WHEN pool THEN coalesce(p.rows, 0) ELSE 0 END AS rows, n.positives + CASE WHEN pool THEN coalesce(p.positives, 0) ELSE 0 END AS positives,
+             n.negatives + CASE WHEN pool THEN coalesce(p.negatives, 0) ELSE 0 END AS negatives, n.tp + CASE WHEN pool THEN coalesce(p.tp, 0) ELSE 0 END AS tp, n.fp + CASE WHEN pool THEN coalesce(p.fp, 0) ELSE 0 END AS fp,
+             n.fn + CASE WHEN pool THEN coalesce(p.fn, 0) ELSE 0 END AS fn, n.fa + CASE WHEN pool THEN coalesce(p.fa, 0) ELSE 0 END AS fa, n.ca + CASE WHEN pool THEN coalesce(p.ca, 0) ELSE 0 END AS ca
+      FROM (SELECT *, (positives < 12 OR negatives < 30) AND seq > 1 AS pool FROM mseq) n LEFT JOIN mseq p ON p.seq + 1 = n.seq AND p.segment = n.segment AND p.value = n.value)
+
+-- query mature_segment_metrics
+SELECT 'production' AS stream, batch, segment, value, window_batches, rows, CAST(positives AS BIGINT) AS positives, CAST(negatives AS BIGINT) AS negatives, CASE WHEN enough THEN 'reported' ELSE 'suppressed' END AS status,
+       CASE WHEN enough THEN round(positives / rows, 6) END AS prevalence, CASE WHEN enough THEN round(coalesce(tp / nullif(tp + fp, 0), 0), 6) END AS precision,
+       CASE WHEN enough THEN round(coalesce(tp / nullif(tp + fn, 0), 0), 6) END AS recall, CASE WHEN enough THEN CAST(fp AS DOUBLE) END AS false_positive, CASE WHEN enough THEN CAST(fn AS DOUBLE) END AS false_negative,
+       CASE WHEN enough AND fa > 0 THEN round(ca / fa, 6) END AS captured_rate FROM mseg
+
+-- view mtop
+SELECT batch, max(CASE WHEN a = 1 THEN name END) AS fn_name, max(CASE WHEN b = 1 THEN name END) AS fp_name, max(CASE WHEN c = 1 THEN name END) AS pr_name
+FROM (SELECT batch, name, row_number() OVER (PARTITION BY batch ORDER BY fn DESC, name) AS a, row_number() OVER (PARTITION BY batch ORDER BY fp DESC, name) AS b, row_number() OVER (PARTITION BY batch ORDER BY positives / rows DESC, name) AS c
+      FROM (SELECT *, segment || '=' || value AS name FROM mseg WHERE enough)) GROUP BY batch
+
+-- view mscore
+SELECT batch, feature, round(2 * max(k) + max(excess) + 0 + CASE WHEN max(max(ch)) OVER (PARTITION BY batch) > 0 THEN max(ch) / max(max(ch)) OVER (PARTITION BY batch) ELSE 0 END, 9) AS driver_score
+FROM (SELECT f.batch, f.feature, CASE severity WHEN 'critical' THEN 2 ELSE 1 END AS k, least(greatest((value - warning_limit) / greatest(abs(critical_limit - warning_limit), 1e-9::DOUBLE), 0), 5) AS excess, coalesce(round(imp.absolute_change, 9), 0) AS ch
+      FROM mfull f LEFT JOIN imp ON imp.batch = f.batch AND imp.feature = f.feature WHERE severity <> 'healthy') GROUP BY batch, feature
+
+-- view mdrivers
+SELECT batch, feature FROM mscore QUALIFY row_number() OVER (PARTITION BY batch ORDER BY driver_score DESC, feature) = 1
+
+-- query investigation_records
+SELECT 'production' AS stream, b.batch, label_status, action,
+       coalesce(nullif(concat_ws(', ', CASE WHEN gaps THEN 'data_quality_failure' END, CASE WHEN moved THEN 'covariate_drift' END, CASE WHEN prediction_severity <> 'healthy' THEN 'prediction_drift' END,
+                CASE WHEN p THEN 'prevalence_shift' END, CASE WHEN c THEN 'calibration_drift' END, CASE WHEN q THEN 'confirmed_performance_degradation' END), ''), 'monitoring_signal') AS classification,
+       d.feature AS likely_driver, fn_name AS top_false_negative_segment, fp_name AS top_false_positive_segment, pr_name AS top_prevalence_segment, action_evidence AS recommended_action
+FROM bacted b LEFT JOIN (SELECT batch, bool_or(metric = 'missingness_shift') AS gaps, bool_or(metric <> 'missingness_shift') AS moved FROM mfull WHERE severity <> 'healthy' GROUP BY batch) a ON a.batch = b.batch
+LEFT JOIN failures ON failures.batch = b.batch LEFT JOIN mdrivers d ON d.batch = b.batch LEFT JOIN mtop ON mtop.batch = b.batch
+WHERE NOT (drift_severity = 'healthy' AND performance_severity IN ('healthy', 'unavailable'))

@@ -95,17 +95,32 @@ def test_challenger_trial(spark, made, champion):
 
 
 def test_replay_writes_every_table(spark, rows, champion, tmp_path):
-    paths = replay.run(spark, rows, champion, f"{tmp_path}/out", CATEGORIES, ["product"], ["amount"], config.Settings(iterations=30, minimum_positive=5))
+    late = rows.where("event_id % 8 = 0").select((F.col("event_id") + 10_000).alias("event_id"), (F.col("t") + 60 * DAY).alias("t"), "amount", "user_id", "product")
+    shadow = temporal.assign_shadow_batches(late, 60 * DAY, 30 * DAY)
+    settings = config.Settings(iterations=30, minimum_positive=5, top_features=3)
+    paths = replay.run(spark, rows, champion, f"{tmp_path}/out", CATEGORIES, ["product"], ["amount"], settings, shadow, "data-1")
     tables = {name: spark.read.parquet(path) for name, path in paths.items()}
-    numbers = {r[0] for r in rows.where("production_batch is not null").select("production_batch").distinct().collect()}
-    assert {r["batch"] for r in tables["batches"].collect()} == numbers == {r["batch"] for r in tables["recommendations"].collect()}
-    assert tables["scored"].count() == rows.count()
-    assert tables["drift"].count() == 2 * len(numbers) and tables["performance"].count() == 8 * len(numbers)
-    pending = tables["performance"].where(F.col("batch") > max(numbers) - 2).select("status").distinct().collect()
+    numbers = {("production", r[0]) for r in rows.where("production_batch is not null").select("production_batch").distinct().collect()}
+    everything = numbers | {("shadow", r[0]) for r in shadow.select("shadow_batch").distinct().collect()}
+    assert {(r["stream"], r["batch"]) for r in tables["batches"].collect()} == everything == {(r["stream"], r["batch"]) for r in tables["recommendations"].collect()}
+    assert tables["scored"].count() == rows.count() + shadow.count()
+    features = {r[0] for r in tables["drift"].select("feature").distinct().collect()}
+    assert "amount" in features and len(features) in (3, 4)
+    assert tables["drift"].count() == 3 * len(features) * len(everything) and tables["performance"].count() == 8 * len(numbers)
+    latest = max(n for _, n in numbers)
+    pending = tables["performance"].where(F.col("batch") > latest - 2).select("status").distinct().collect()
     assert [r[0] for r in pending] == ["unavailable"]
+    # Labels that are not mature reach neither segments nor batch records.
+    assert {r[0] for r in tables["segments"].select("batch").distinct().collect()} == {n for _, n in numbers if n <= latest - 2}
+    blank = tables["batches"].where(F.col("label_status") != "mature").where("recall is not null or pr_auc is not null or fraud_amount is not null")
+    assert blank.count() == 0
+    of_shadow = tables["batches"].where("stream = 'shadow'").select("label_status", "performance_severity", "label_available_at_batch").distinct().collect()
+    assert [tuple(r) for r in of_shadow] == [("unavailable", "unavailable", None)]
+    assert {(r["model_version"], r["data_version"]) for r in tables["recommendations"].collect()} == {(champion.version, "data-1")}
     assert {r["feature"] for r in tables["attributions"].collect()} >= {"amount", "user_id__frequency"}
-    flagged = tables["batches"].where("drift_severity <> 'healthy' or performance_severity in ('warning', 'critical')").count()
-    assert tables["investigations"].count() == flagged == tables["classes"].count()
+    flagged = tables["batches"].where("drift_severity <> 'healthy' or performance_severity in ('warning', 'critical')")
+    assert tables["investigations"].count() == flagged.count()
+    assert {"classification", "likely_driver", "top_false_negative_segment", "top_false_positive_segment", "top_prevalence_segment"} <= set(tables["investigations"].columns)
 
 
 def test_settings(tmp_path, capsys):
