@@ -60,7 +60,7 @@ def train(spark: SparkSession, source: str, target: str, s: config.Settings) ->
 def try_challenger(spark: SparkSession, source: str, bundle: str, target: str, s: config.Settings) -> str:
     """Evaluate a challenger against a saved bundle; writes its figures and the segments to a new folder."""
     made = lifecycle.engineer(transactions(spark, source, s), CATEGORICAL)
-    trial = lifecycle.evaluate_challenger(made, lifecycle.load(spark, bundle), CATEGORICAL, CAPPED, s.label_delay, s.iterations, s.minimum_positive)
+    trial = lifecycle.evaluate_challenger(made, lifecycle.load(spark, bundle), CATEGORICAL, CAPPED, s.label_delay, s.iterations, s.minimum_positive, s.minimum_negative)
     path = f"{target.rstrip('/')}/trial-{uuid.uuid4().hex[:8]}"
     trial.summary.write.parquet(f"{path}/summary")
     trial.segments.write.parquet(f"{path}/segments")

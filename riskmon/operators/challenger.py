@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskmon.operators.metrics import ranking
+from riskmon.operators import bootstrap
 
 
 def windows(df: DataFrame, delay: int, label: str = "label") -> DataFrame:
@@ -48,74 +48,19 @@ def recall(y: np.ndarray, decided: np.ndarray, n: np.ndarray | None = None) -> f
     return float((decided * y * n).sum() / (y * n).sum()) if (y * n).sum() else float("nan")
 
 
-Metric = Callable[[np.ndarray, np.ndarray, np.ndarray], float]
+def paired_difference(scores: DataFrame, metric: str | Callable, iterations: int = 500, level: float = 0.95, seed: int = 42) -> tuple[float, float, float] | None:
+    """(difference, lower, upper) of metric(challenger) - metric(champion) under stratified resampling, for windows of any size.
 
-
-def paired_difference(scores: DataFrame, metric: Metric, iterations: int = 500, level: float = 0.95, seed: int = 42, most_triples: int = 200_000) -> tuple[float, float, float] | None:
-    """(difference, lower, upper) of metric(challenger) - metric(champion) under stratified resampling.
-
-    `scores` holds label, champion and challenger of an evaluation window. Rows are
-    counted per distinct triple first. An arbitrary metric needs all triples at one
-    place, so windows of more than `most_triples` are refused;
-    `paired_average_precision` takes any number. None for a single class.
+    `metric` is a name of `bootstrap.METRICS`, or `average_precision` or `recall` of this
+    module. None for a single class.
     """
-    spark = scores.sparkSession
-    groups = scores.groupBy("label", "champion", "challenger").agg(F.count(F.lit(1)).alias("n"))
-    if groups.limit(most_triples + 1).count() > most_triples:
-        raise ValueError(f"more than {most_triples} different triples: use paired_average_precision")
-    counts = groups.orderBy("label", "champion", "challenger").toPandas()
-    y, n = counts["label"].to_numpy(int), counts["n"].to_numpy()
-    a, b = (counts[c].to_numpy(float) for c in ("champion", "challenger"))
-    if len(set(y.tolist())) < 2:
-        return None
-    shared = spark.sparkContext.broadcast((y, a, b, n))
-
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        y, a, b, n = shared.value
-        classes = [np.flatnonzero(y == c) for c in (0, 1)]
-        for pdf in batches:
-            out = []
-            for i in pdf["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                drawn = np.zeros(len(y), np.int64)
-                for c in classes:
-                    drawn[c] = rng.multinomial(n[c].sum(), n[c] / n[c].sum())
-                out.append(metric(y, b, drawn) - metric(y, a, drawn))
-            yield pd.DataFrame({"d": out})
-
-    found = spark.range(iterations).mapInPandas(resample, "d double").where(~F.isnan("d"))
-    low, high = found.agg(F.percentile("d", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))).first()[0]
-    return metric(y, b, n) - metric(y, a, n), low, high
+    named = {average_precision: "pr_auc", recall: "recall"}
+    return bootstrap.difference(scores, named.get(metric, metric), iterations, level, seed)
 
 
 def paired_average_precision(scores: DataFrame, iterations: int = 500, level: float = 0.95, seed: int = 42) -> tuple[float, float, float] | None:
-    """The same for average precision, for windows of any size and with exact scores.
-
-    Rows are counted per distinct triple, each triple draws how often it occurs in
-    every iteration from a Poisson law of its count, and all iterations are ranked at
-    once by two-level running sums. None for a single class.
-    """
-    counts = scores.groupBy("label", "champion", "challenger").agg(F.count(F.lit(1)).alias("n"))
-    if counts.select("label").distinct().count() < 2:
-        return None
-
-    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                # The same triple draws the same numbers wherever it is computed.
-                times = np.array([np.random.default_rng([seed, key]).poisson(n, iterations) for key, n in zip(part["key"].to_numpy(np.uint64), part["n"])])
-                row, turn = np.nonzero(times)
-                out = part[["label", "champion", "challenger"]].iloc[row].assign(iter=turn + 1, w=times[row, turn])
-                yield pd.concat([out, part[["label", "champion", "challenger"]].assign(iter=0, w=part["n"])])
-
-    keyed = counts.select("label", "champion", "challenger", "n", F.xxhash64("label", "champion", "challenger").alias("key"))
-    weighted = keyed.mapInPandas(drawn, "label int, champion double, challenger double, iter long, w long")
-    per = {c: ranking(weighted, ["iter"], score=c, weight="w").select("iter", F.col("pr_auc").alias(c)) for c in ("champion", "challenger")}
-    each = per["champion"].join(per["challenger"], "iter").select("iter", (F.col("challenger") - F.col("champion")).alias("d"))
-    ends = F.percentile(F.when(F.col("iter") > 0, F.col("d")), F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
-    difference, (low, high) = each.agg(F.max(F.when(F.col("iter") == 0, F.col("d"))), ends).first()
-    return difference, low, high
+    """The same for average precision."""
+    return bootstrap.difference(scores, "pr_auc", iterations, level, seed)
 
 
 def decide(pr_auc: tuple[float, float, float] | None, recall_difference: tuple[float, float, float] | None, regressions: int) -> bool:
@@ -123,16 +68,21 @@ def decide(pr_auc: tuple[float, float, float] | None, recall_difference: tuple[f
     return bool(pr_auc and recall_difference and pr_auc[1] > 0 and recall_difference[1] >= 0 and not regressions)
 
 
-def segment_recall(scores: DataFrame, minimum_positive: int, iterations: int = 300, seed: int = 42) -> DataFrame:
-    """Per segment value: recall difference with 95 % bounds from its own resamples; thin segments are left out.
+def segment_recall(scores: DataFrame, minimum_positive: int, minimum_negative: int = 0, iterations: int = 300, seed: int = 42) -> DataFrame:
+    """Per segment value: both recalls and their difference with 95 % bounds from its own resamples; segments with too few of either class are left out.
 
     `scores` holds segment, value, label and the 0/1 decisions champion and challenger.
     Only the four counts of decision pairs among positives matter, so each
     segment is resampled from them as a multinomial.
     """
-    positive = scores.where("label = 1").groupBy("segment", "value").agg(
-        F.count(F.lit(1)).alias("positives"), F.count_if(F.expr("champion = 1 and challenger = 0")).alias("lost"), F.count_if(F.expr("champion = 0 and challenger = 1")).alias("won")
-    ).where(F.col("positives") >= minimum_positive)
+    bad = F.col("label") == 1
+    counted = scores.groupBy("segment", "value").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("positives"), F.count_if(~bad).alias("negatives"),
+        F.count_if(bad & (F.col("champion") == 1)).alias("first"), F.count_if(bad & (F.col("challenger") == 1)).alias("second"),
+        F.count_if(bad & F.expr("champion = 1 and challenger = 0")).alias("lost"), F.count_if(bad & F.expr("champion = 0 and challenger = 1")).alias("won"),
+    )
+    supported = counted.where((F.col("positives") >= max(1, minimum_positive)) & (F.col("negatives") >= minimum_negative))
+    names = ["segment", "value", "rows", "positives", "negatives", "champion_recall", "challenger_recall", "recall_difference", "lower", "upper", "reliable_regression"]
 
     def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -141,7 +91,9 @@ def segment_recall(scores: DataFrame, minimum_positive: int, iterations: int = 3
                 share = np.array([r.lost, r.won, r.positives - r.lost - r.won]) / r.positives
                 draw = np.random.default_rng(seed).multinomial(r.positives, share, iterations)
                 low, high = np.quantile((draw[:, 1] - draw[:, 0]) / r.positives, [0.025, 0.975])
-                rows.append((r.segment, r.value, r.positives, (r.won - r.lost) / r.positives, low, high, bool(high < 0)))
-            yield pd.DataFrame(rows, columns=["segment", "value", "positives", "recall_difference", "lower", "upper", "reliable_regression"])
+                held = r.segment, r.value, r.rows, r.positives, r.negatives
+                rows.append((*held, r.first / r.positives, r.second / r.positives, (r.won - r.lost) / r.positives, low, high, bool(high < 0)))
+            yield pd.DataFrame(rows, columns=names)
 
-    return positive.mapInPandas(bounds, "segment string, value string, positives long, recall_difference double, lower double, upper double, reliable_regression boolean")
+    schema = ", ".join(f"{n} {'string' if n in names[:2] else 'long' if n in names[2:5] else 'boolean' if n == names[-1] else 'double'}" for n in names)
+    return supported.mapInPandas(bounds, schema)

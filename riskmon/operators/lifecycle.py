@@ -134,12 +134,12 @@ class Trial:
     last_batch: int
 
 
-def evaluate_challenger(made: DataFrame, champion: Bundle, categorical: list[str], capped: list[str], delay: int = 2, iterations: int = 500, minimum_positive: int = 30) -> Trial:
+def evaluate_challenger(made: DataFrame, champion: Bundle, categorical: list[str], capped: list[str], delay: int = 2, iterations: int = 500, minimum_positive: int = 30, minimum_negative: int = 30) -> Trial:
     """Train on matured history, calibrate on the batches after it, and compare on the last two mature batches.
 
     The challenger has the champion's parameters. It is recommended only if its average
     precision is surely better and its recall, at each model's own threshold, does not
-    fall, neither over all rows nor in any segment with enough positives.
+    fall, neither over all rows nor in any segment with enough rows of both classes.
     """
     spark = made.sparkSession
     batch = F.col("production_batch")
@@ -157,7 +157,7 @@ def evaluate_challenger(made: DataFrame, champion: Bundle, categorical: list[str
     recalled = challenger.paired_difference(both.select("label", *[c.alias(n) for n, c in decisions.items()]), challenger.recall, iterations)
     top = monitoring.top_values(training, capped, 10)
     long = monitoring.segments(both.withColumns(decisions), top, capped, [])
-    segments = challenger.segment_recall(long, minimum_positive)
+    segments = challenger.segment_recall(long, minimum_positive, minimum_negative)
     regressions = segments.where("reliable_regression").count()
     recommended = challenger.decide(ranked, recalled, regressions)
     row = (

@@ -13,6 +13,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskmon.operators import bootstrap
 from riskmon.operators.features import as_category
 from riskmon.operators.metrics import calibration_error, ranking
 from riskmon.operators.temporal import expanding_folds
@@ -139,10 +140,7 @@ def tune(rows: DataFrame, columns: list[str], trials: int, blocks: int = 5, seed
     return max(seen, key=lambda x: x[1])[0], seen
 
 
-def bootstrap_interval(scores: DataFrame, metric, iterations: int = 500, level: float = 0.95, seed: int = 42) -> tuple[float, float] | None:
-    """Bounds of a metric(labels, scores) under stratified resampling; None for a single class."""
-    from riskmon.operators.challenger import paired_difference
-
-    both = scores.select("label", F.lit(0.0).alias("champion"), F.col("score").alias("challenger"))
-    found = paired_difference(both, lambda y, p, n: metric(y, p, n) if p.any() else 0.0, iterations, level, seed)
+def bootstrap_interval(scores: DataFrame, metric: str = "pr_auc", iterations: int = 500, level: float = 0.95, seed: int = 42) -> tuple[float, float] | None:
+    """Bounds of a metric (`bootstrap.METRICS`) of (label, score) under stratified resampling, for any number of rows; None for a single class."""
+    found = bootstrap.interval(scores, metric, iterations, level, seed)
     return None if found is None else found[1:]

@@ -163,8 +163,8 @@ def test_paired_average_precision(spark):
     direct = challenger.paired_difference(df, challenger.average_precision, 100)
     assert direct[0] == pytest.approx(difference) and abs(direct[1] - low) < 0.05 and abs(direct[2] - high) < 0.05
     assert challenger.paired_average_precision(df.where("label = 1"), 10) is None
-    with pytest.raises(ValueError, match="paired_average_precision"):
-        challenger.paired_difference(df, challenger.average_precision, 10, most_triples=100)
+    with pytest.raises(ValueError, match="metric must be one of"):
+        challenger.paired_difference(df, "other", 10)
 
 
 def test_recommendations_mark_repeats(spark):

@@ -67,6 +67,11 @@ def test_segment_recall(spark):
     df = spark.createDataFrame(rows, "segment string, value string, label int, champion int, challenger int")
     (r,) = challenger.segment_recall(df, 10).collect()
     assert r["value"] == "v" and r["reliable_regression"]
+    assert (r["rows"], r["positives"], r["negatives"], r["champion_recall"], r["challenger_recall"], r["recall_difference"]) == (40, 40, 0, 1.0, 0.0, -1.0)
+    # Without enough negatives a segment blocks nothing.
+    assert challenger.segment_recall(df, 10, 1).count() == 0
+    more = df.unionByName(spark.createDataFrame([("s", "v", 0, 1, 0)] * 5, df.schema))
+    assert challenger.segment_recall(more, 10, 5).count() == 1 and challenger.segment_recall(more, 10, 6).count() == 0
 
 
 def test_windows_need_four_mature_batches(spark):
