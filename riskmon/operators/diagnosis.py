@@ -6,23 +6,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def stratified_sample(df: DataFrame, size: int, label: str = "label", key: str = "event_id") -> DataFrame:
-    """At most `size` rows in proportion to the classes (each class at least one), in the order of a hash of the key."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    totals = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+def class_shares(totals: dict, size: int) -> dict:
+    """How many rows of each class a sample of `size` takes: in proportion, at least one, what rounding leaves to the largest classes."""
     whole = sum(totals.values())
-    if whole <= size:
-        return df
     share = {k: max(1, int(size * n / whole)) for k, n in totals.items()}
     rest = size - sum(share.values())
     for k in sorted(totals, key=lambda k: -totals[k]):
         add = max(0, min(rest, totals[k] - share[k]))
         share[k] += add
         rest -= add
-    allowed = F.lit(0)
-    for k, n in share.items():
-        allowed = F.when(F.col(label).eqNullSafe(F.lit(k)), n).otherwise(allowed)
-    return df.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= allowed).drop("__place")
+    return share
+
+
+def stratified_sample(df: DataFrame, size: int, label: str = "label", key: str = "event_id") -> DataFrame:
+    """At most `size` rows in proportion to the classes (each class at least one), the first in the order of a hash of the key.
+
+    Every task keeps the smallest hashes of its own rows before they meet, so no task
+    orders a class.
+    """
+    totals = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(totals.values()) <= size:
+        return df
+    parts = [df.where(F.col(label).eqNullSafe(F.lit(k))).orderBy(F.xxhash64(key), key).limit(n) for k, n in class_shares(totals, size).items()]
+    first, *others = parts
+    for part in others:
+        first = first.unionByName(part)
+    return first
+
+
+def sample_and_rest(df: DataFrame, size: int, label: str = "label", key: str = "event_id") -> tuple[DataFrame, DataFrame]:
+    """The sample and all other rows; `key` must be unique. The keys of the sample are no more than `size`."""
+    sample = stratified_sample(df, size, label, key)
+    taken = sample.select(F.col(key).alias("__taken"))
+    return sample, df.join(F.broadcast(taken), F.col(key).eqNullSafe(F.col("__taken")), "left_anti")
 
 
 def importance_change(reference: DataFrame, current: DataFrame, by: list[str]) -> DataFrame:

@@ -96,6 +96,44 @@ class Preprocessor:
         return out.withColumns(mapped).select(*[c for c in df.columns if c not in (*self.categorical, *self.numeric)], *names)
 
 
+def fit_folds(df: DataFrame, folds: dict[str, Column], categorical: list[str], numeric: list[str], missing_threshold: float = 0.98, cardinality_limit: int = 1000, keep=lambda table: table) -> dict[str, Preprocessor]:
+    """A fitted preprocessor for each fold, whose training rows a condition names, all from one pass over the rows.
+
+    Levels and frequencies are counted once per fold, column and level, so no fold
+    sees a level of another; `keep` may store these counts, which are read again.
+    """
+    each = F.explode(F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in folds.items()])))
+    held = df.withColumn("__fold", each)
+    texts = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in categorical])) if categorical else None
+    fitted = {name: Preprocessor(list(categorical), list(numeric), missing_threshold, cardinality_limit) for name in folds}
+    if numeric:
+        sums = [x for c in numeric for x in (F.avg(F.col(c).isNull().cast("double")).alias(f"m_{c}"), (F.min(c) == F.max(c)).alias(f"s_{c}"))]
+        for r in held.groupBy("__fold").agg(*sums).collect():
+            # One value and no nulls, or nulls only, is one distinct value.
+            fitted[r["__fold"]].dropped = [c for c in numeric if r[f"m_{c}"] > missing_threshold or r[f"m_{c}"] == 1 or (r[f"m_{c}"] == 0 and r[f"s_{c}"])]
+    if not categorical:
+        return fitted
+    counts = keep(held.select("__fold", texts.alias("r")).groupBy(F.col("__fold").alias("fold"), "r.column", "r.value").agg(F.count(F.lit(1)).alias("n")))
+    shapes = counts.groupBy("fold", "column").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("gaps")).collect()
+    few = [(r["fold"], r["column"]) for r in shapes if r["distinct"] <= cardinality_limit]
+    known: dict[tuple, list[str]] = {}
+    if few:
+        small = F.concat_ws("\x1f", "fold", "column").isin([f"{a}\x1f{b}" for a, b in few])
+        for r in counts.where(small).select("fold", "column", F.coalesce("value", F.lit(MISSING)).alias("value")).collect():
+            known.setdefault((r["fold"], r["column"]), []).append(r["value"])
+    for r in shapes:
+        one, c = fitted[r["fold"]], r["column"]
+        if r["gaps"] / r["rows"] > missing_threshold or r["distinct"] <= 1:
+            one.dropped.append(c)
+        elif r["distinct"] <= cardinality_limit:
+            one.levels[c] = sorted(set(known[r["fold"], c]))
+        else:
+            own = counts.where((F.col("fold") == r["fold"]) & (F.col("column") == c))
+            value, share = F.coalesce("value", F.lit(MISSING)).alias("value"), (F.sum("n") / r["rows"]).alias("frequency")
+            one.frequencies[c] = own.groupBy(value).agg(F.sum("n").alias("n"), share)
+    return fitted
+
+
 def frequency_table(df: DataFrame, column: str) -> DataFrame:
     counted = df.groupBy(as_category(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return counted.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("total")))).select("value", "n", (F.col("n") / F.col("total")).alias("frequency"))
