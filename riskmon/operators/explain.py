@@ -29,9 +29,14 @@ class Leaf:
 
 def leaves(model: PipelineModel) -> list[Leaf]:
     """All leaves of a fitted tree ensemble with continuous splits."""
-    trees, out = model.stages[-1], []
+    return [leaf for tree in tree_leaves(model) for leaf in tree]
 
-    def walk(node, weight: float, splits: dict[int, tuple[float, float, float]]) -> None:
+
+def tree_leaves(model: PipelineModel) -> list[list[Leaf]]:
+    """The leaves of each tree, in the order of boosting."""
+    trees, found = model.stages[-1], []
+
+    def walk(node, weight: float, splits: dict[int, tuple[float, float, float]], out: list[Leaf]) -> None:
         if node.subtreeDepth() == 0:
             out.append(Leaf(weight * node.prediction(), splits))
             return
@@ -40,11 +45,35 @@ def leaves(model: PipelineModel) -> list[Leaf]:
         for child, left in ((node.leftChild(), True), (node.rightChild(), False)):
             low, high, share = splits.get(f, (-np.inf, np.inf, 1.0))
             bounds = (low, min(high, t)) if left else (max(low, t), high)
-            walk(child, weight, splits | {f: (*bounds, share * child.impurityStats().rawCount() / count)})
+            walk(child, weight, splits | {f: (*bounds, share * child.impurityStats().rawCount() / count)}, out)
 
     for tree, weight in zip(trees.trees, trees.treeWeights):
-        walk(tree._call_java("rootNode"), weight, {})
-    return out
+        found.append([])
+        walk(tree._call_java("rootNode"), weight, {}, found[-1])
+    return found
+
+
+def staged_margins(df: DataFrame, model: PipelineModel, columns: list[str], keep: list[str]) -> DataFrame:
+    """(keep..., trees, margin) of all rows under every prefix of the boosted trees."""
+    found = tree_leaves(model)
+    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def staged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, total = pdf[columns].to_numpy(float), np.zeros((len(pdf), len(found)))
+            for k, tree in enumerate(found):
+                for leaf in tree:
+                    inside = np.ones(len(x), bool)
+                    for f, (low, high, _) in leaf.splits.items():
+                        inside &= (x[:, f] > low) & (x[:, f] <= high)
+                    total[inside, k] = leaf.value
+            margin = np.cumsum(total, axis=1)
+            held = {c: np.repeat(pdf[c].to_numpy(), len(found)) for c in keep}
+            yield pd.DataFrame(held | {"trees": np.tile(np.arange(1, len(found) + 1, dtype=np.int32), len(pdf)), "margin": margin.ravel()})
+
+    schema = ", ".join([*(f"{k} {fields[k]}" for k in keep), "trees int, margin double"])
+    rows = df.na.fill(-1e9, columns).select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
+    return rows.mapInPandas(staged, schema)
 
 
 def shapley(x: np.ndarray, all_leaves: list[Leaf]) -> tuple[np.ndarray, float]:

@@ -13,7 +13,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskmon.operators import bootstrap
+from riskmon.operators import bootstrap, explain
 from riskmon.operators.features import as_category
 from riskmon.operators.metrics import calibration_error, ranking
 from riskmon.operators.temporal import expanding_folds
@@ -73,6 +73,33 @@ def boosted_trees(train: DataFrame, columns: list[str], label: str = "label", se
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), model]).fit(rows)
 
 
+def staged_average_precision(model: PipelineModel, validation: DataFrame, columns: list[str], label: str = "label") -> list[float]:
+    """Average precision on the validation rows under 1, 2, ... trees, all ranked in one plan."""
+    staged = explain.staged_margins(validation, model, columns, [label])
+    found = {r["trees"]: r["pr_auc"] for r in ranking(staged, ["trees"], score="margin", label=label).collect()}
+    return [found[k] for k in sorted(found)]
+
+
+def boosted_trees_by_precision(train: DataFrame, validation: DataFrame, columns: list[str], label: str = "label", seed: int = 42, patience: int = 0, **parameters) -> tuple[PipelineModel, list[float]]:
+    """Boosted trees cut at the fewest trees of the best average precision on `validation`, and all prefixes' values.
+
+    `patience` ends the search after so many trees without a better value. Trees of a
+    prefix do not depend on later ones, so the cut model is fitted with that many.
+    """
+    require_both_classes(validation, label)
+    model = boosted_trees(train, columns, label, seed, **parameters)
+    values = staged_average_precision(model, validation, columns, label)
+    best = 0
+    for k, value in enumerate(values):
+        if value > values[best]:
+            best = k
+        elif patience and k - best >= patience:
+            break
+    if best + 1 == len(values):
+        return model, values
+    return boosted_trees(train, columns, label, seed, **parameters | {"maxIter": best + 1}), values
+
+
 def score(model: PipelineModel, df: DataFrame, columns: list[str], name: str = "score") -> DataFrame:
     out = model.transform(df.na.fill(-1e9, columns))
     return out.withColumn(name, probability(out)).select(*df.columns, name)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskmon.operators import diagnosis, explain, features, tuning
+from riskmon.operators import challenger, diagnosis, explain, features, models, tuning
 
 
 def planted(p):
@@ -83,3 +83,18 @@ def test_shapley_values_of_long_paths():
     assert time.perf_counter() - began < 5
     inside = ((x > -0.5) & (x <= 0.5)).all(axis=1)
     assert np.allclose(phi.sum(axis=1) + base, np.where(inside, 2.0, 0.0), atol=1e-12)
+
+
+def test_trees_stop_at_the_best_average_precision(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(500, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=500) > 1).astype(int)
+    rows = spark.createDataFrame([(i, *map(float, r), int(c)) for i, (r, c) in enumerate(zip(x, y))], "id int, a double, b double, c double, label int")
+    train, valid, columns = rows.where("id < 350"), rows.where("id >= 350"), ["a", "b", "c"]
+    model, values = models.boosted_trees_by_precision(train, valid, columns, maxIter=7, maxDepth=3, stepSize=0.5)
+    brute = []
+    for k in range(1, 8):
+        scored = models.score(models.boosted_trees(train, columns, maxIter=k, maxDepth=3, stepSize=0.5), valid, columns).collect()
+        brute.append(challenger.average_precision(np.array([r["label"] for r in scored]), np.array([r["score"] for r in scored])))
+    assert values == pytest.approx(brute, abs=1e-9)
+    assert len(model.stages[-1].trees) == 1 + int(np.argmax(brute))
