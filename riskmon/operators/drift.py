@@ -36,6 +36,12 @@ def reference_edges(reference: DataFrame, bins: int = 10) -> DataFrame:
     return found.select("feature", F.when(F.size("e") < 2, single).otherwise(F.col("e")).alias("edges"))
 
 
+def known_edges(reference: DataFrame, bins: int = 10) -> DataFrame:
+    """`reference_edges` computed once and held on the driver, features times bins numbers, since plans read them several times."""
+    found = reference_edges(reference, bins)
+    return reference.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
 def histogram(rows: DataFrame, by: list[str], edge: DataFrame) -> DataFrame:
     binned = rows.join(F.broadcast(edge), "feature").withColumn("bin", left_closed(F.col("value"), F.col("edges")))
     return binned.groupBy(*by, "feature", "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -70,7 +76,7 @@ def divergences(current: DataFrame, by: list[str], reference: DataFrame, cells:
 
 
 def numeric_divergences(current: DataFrame, by: list[str], reference: DataFrame, bins: int = 10) -> DataFrame:
-    edge = reference_edges(reference, bins)
+    edge = known_edges(reference, bins)
     cells = edge.select("feature", F.explode(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))).alias("bin"))
     return divergences(histogram(current, by, edge), by, histogram(reference, [], edge), cells, "bin")
 
@@ -171,7 +177,7 @@ def bootstrap_statistics(reference: DataFrame, draws: DataFrame, bins: int = 10)
     A resample's histogram is the days' histograms weighted by multiplicity, so
     the work grows with days x bins and not with rows x iterations.
     """
-    edge = reference_edges(reference.drop("day"), bins)
+    edge = known_edges(reference.drop("day"), bins)
     daily = histogram(reference, ["day"], edge)
     total = daily.groupBy("feature", "bin").agg(F.sum("n").alias("n"))
     sampled = daily.join(F.broadcast(draws), "day").groupBy("iter", "feature", "bin").agg(F.sum(F.col("n") * F.col("mult")).alias("n"))

@@ -34,9 +34,10 @@ def cut_points(counts: DataFrame, by: list[str], value: str, buckets: int) -> Da
     They come from a mergeable sketch of all values, which is built on the map side
     and whose size does not depend on the input.
     """
-    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    sketched = F.percentile_approx(F.col(value).cast("double"), points, F.lit(10 * buckets))
-    return counts.groupBy(*by).agg(F.array_distinct(sketched).alias("__cuts"))
+    # One text instead of a call to the JVM for every point.
+    points = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    sketched = F.expr(f"array_distinct(percentile_approx(cast(`{value}` as double), array({points}), {10 * buckets}))")
+    return counts.groupBy(*by).agg((sketched if points else F.array().cast("array<double>")).alias("__cuts"))
 
 
 def same_group(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
@@ -58,7 +59,7 @@ def bucketed(counts: DataFrame, by: list[str], value: str, buckets: int) -> Data
     return held.withColumn("__bucket", F.col("__step") + F.size(fine)).drop("__cuts", "__step")
 
 
-def running(counts: DataFrame, by: list[str], value: str, columns: list[str], descending: bool = False, buckets: int = 1024) -> DataFrame:
+def running(counts: DataFrame, by: list[str], value: str, columns: list[str], descending: bool = False, buckets: int = 256) -> DataFrame:
     """counts with `upto_<c>`, the sum of each column over this and all earlier values of the group, and `all_<c>`.
 
     `counts` holds each finite (by..., value) once. Sums are taken over equal parts of

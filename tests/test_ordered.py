@@ -17,7 +17,7 @@ def skewed(n=200_001):
 def test_no_part_is_large_on_skewed_values(spark):
     values = skewed()
     df = spark.createDataFrame([(float(v), 1) for v in values], "value double, c long")
-    placed = metrics.bucketed(df, [], "value", 1024)
+    placed = metrics.bucketed(df, [], "value", 256)
     largest = placed.groupBy("__bucket").count().agg(F.max("count")).first()[0]
     assert largest < 0.01 * len(values)
     for lower, upper in placed.groupBy("__bucket").agg(F.min("value").alias("a"), F.max("value").alias("b")).orderBy("__bucket").selectExpr("b", "lead(a) over (order by a) as n").where("n is not null").collect():
