@@ -10,6 +10,7 @@ matrix gives every row's components. All row-level work stays in the JVM.
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -110,7 +111,8 @@ def whiten(vectors: DataFrame, components: int = 4) -> DataFrame:
     stats = fit.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("s"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("i").collect()
     sums, low, high = ([int(r[c]) for r in stats] for c in ("s", "a", "b"))
     mean = np.array([s / n for s in sums])
-    fitted = block_matrix(fit, mean, n_rows)
+    # Kept, since several products read it; blocks that are lost are made again from the stored rows.
+    fitted = block_matrix(fit, mean, n_rows).persist(StorageLevel.MEMORY_AND_DISK)
     covariance = gram(fitted) / n
     values, axes = np.linalg.eigh((covariance + covariance.T) / 2)
     values, axes = values[::-1][:components], axes[:, ::-1][:, :components]
@@ -118,10 +120,14 @@ def whiten(vectors: DataFrame, components: int = 4) -> DataFrame:
     scaled = values > NOTHING * trace
     matrix = axes / np.sqrt(np.where(scaled, values, 1.0))
     local = local_blocks(spark, matrix)
-    error = 0.0
+    projected, error = fitted.multiply(local).persist(StorageLevel.MEMORY_AND_DISK), 0.0
     if scaled.any():
-        error = float(np.abs((gram(fitted.multiply(local)) / n - np.eye(len(values)))[np.ix_(scaled, scaled)]).max())
-    found = indexed(block_matrix(rows, mean, n_rows).multiply(local)).withColumnRenamed("index", "at")
+        error = float(np.abs((gram(projected) / n - np.eye(len(values)))[np.ix_(scaled, scaled)]).max())
+    # Without repeated vectors the fit list is all rows.
+    every = projected if n == n_rows else block_matrix(rows, mean, n_rows).multiply(local)
+    found = materialize(indexed(every).withColumnRenamed("index", "at"), "projected")
+    for kept in (projected, fitted):
+        kept._java_matrix_wrapper.call("blocks").unpersist(False)
     shares = [F.lit(float(v) / trace if trace > 0 else None).cast("double") for v in np.maximum(values, 0)]
     component = [F.struct(F.lit(k + 1).alias("component"), (F.get("z", F.lit(k)) if scaled[k] else F.lit(None).cast("double")).alias("whitened"), shares[k].alias("explained")) for k in range(len(values))]
     known = rows.select("index", "vec_id", deviations(n, sums, low, high).alias("deviation"))
