@@ -21,14 +21,23 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Leaf:
-    """Value times tree weight; per feature the interval (low, high] of its splits and the share of rows that follow them."""
+    """Value times tree weight; per feature the interval (low, high] of its splits and the share of rows that follow them.
+
+    A feature with categorical splits has the set of its categories on this path as a fourth entry.
+    """
 
     value: float
-    splits: dict[int, tuple[float, float, float]]
+    splits: dict[int, tuple]
+
+
+def admits(x: np.ndarray, split: tuple) -> np.ndarray:
+    """Which values of a feature follow its splits."""
+    inside = (x > split[0]) & (x <= split[1])
+    return inside & np.isin(x, list(split[3])) if len(split) > 3 else inside
 
 
 def leaves(model: PipelineModel) -> list[Leaf]:
-    """All leaves of a fitted tree ensemble with continuous splits."""
+    """All leaves of a fitted tree ensemble."""
     return [leaf for tree in tree_leaves(model) for leaf in tree]
 
 
@@ -36,16 +45,21 @@ def tree_leaves(model: PipelineModel) -> list[list[Leaf]]:
     """The leaves of each tree, in the order of boosting."""
     trees, found = model.stages[-1], []
 
-    def walk(node, weight: float, splits: dict[int, tuple[float, float, float]], out: list[Leaf]) -> None:
+    def walk(node, weight: float, splits: dict[int, tuple], out: list[Leaf]) -> None:
         if node.subtreeDepth() == 0:
             out.append(Leaf(weight * node.prediction(), splits))
             return
-        f, t = node.split().featureIndex(), node.split().threshold()
+        split = node.split()
+        f, nominal = split.featureIndex(), split.getClass().getSimpleName() == "CategoricalSplit"
         count = node.impurityStats().rawCount()
         for child, left in ((node.leftChild(), True), (node.rightChild(), False)):
-            low, high, share = splits.get(f, (-np.inf, np.inf, 1.0))
-            bounds = (low, min(high, t)) if left else (max(low, t), high)
-            walk(child, weight, splits | {f: (*bounds, share * child.impurityStats().rawCount() / count)}, out)
+            low, high, share, *among = splits.get(f, (-np.inf, np.inf, 1.0))
+            if nominal:
+                own = frozenset(split.leftCategories() if left else split.rightCategories())
+                among = [own & among[0] if among else own]
+            else:
+                low, high = (low, min(high, split.threshold())) if left else (max(low, split.threshold()), high)
+            walk(child, weight, splits | {f: (low, high, share * child.impurityStats().rawCount() / count, *among)}, out)
 
     for tree, weight in zip(trees.trees, trees.treeWeights):
         found.append([])
@@ -64,8 +78,8 @@ def staged_margins(df: DataFrame, model: PipelineModel, columns: list[str], keep
             for k, tree in enumerate(found):
                 for leaf in tree:
                     inside = np.ones(len(x), bool)
-                    for f, (low, high, _) in leaf.splits.items():
-                        inside &= (x[:, f] > low) & (x[:, f] <= high)
+                    for f, split in leaf.splits.items():
+                        inside &= admits(x[:, f], split)
                     total[inside, k] = leaf.value
             margin = np.cumsum(total, axis=1)
             held = {c: np.repeat(pdf[c].to_numpy(), len(found)) for c in keep}
@@ -83,7 +97,7 @@ def shapley(x: np.ndarray, all_leaves: list[Leaf]) -> tuple[np.ndarray, float]:
         features = list(leaf.splits)
         share = {f: leaf.splits[f][2] for f in features}
         base += leaf.value * float(np.prod([share[f] for f in features]))
-        follows = {f: ((x[:, f] > leaf.splits[f][0]) & (x[:, f] <= leaf.splits[f][1])).astype(float) for f in features}
+        follows = {f: admits(x[:, f], leaf.splits[f]).astype(float) for f in features}
         # The sum over all sets of the other features, weighted by size, is the integral over t in [0, 1] of the
         # product of share (1 - t) + follows t: a polynomial that so many Gauss points integrate exactly.
         nodes, weights = np.polynomial.legendre.leggauss(max(1, (len(features) + 1) // 2))

@@ -98,7 +98,7 @@ def train(training: DataFrame, calibration: DataFrame, categorical: list[str], r
     parameters = SHAPE | parameters
     known = features.Preprocessor([f"in_{c}" for c in categorical], [f"in_{c}" for c in (*NUMERIC, *PAST)], 0.995, limit).fit(training)
     found = Bundle(None, known, models.Calibrator("sigmoid"), 0.5, parameters)
-    found.model = models.boosted_trees(found.inputs(training), found.columns, **parameters)
+    found.model = models.boosted_trees(found.inputs(training), found.columns, levels={c: len(v) + 1 for c, v in known.levels.items()}, **parameters)
     raw = models.score(found.model, found.inputs(calibration.drop("score")), found.columns, "raw").select("label", "raw")
     found.calibrator, _ = models.fit_calibrators(raw)
     asked = metrics.review_thresholds(raw.select(found.calibrator.apply(F.col("raw")).alias("score")), [rate])

@@ -54,15 +54,23 @@ def probability(scored: DataFrame) -> Column:
     return vector_to_array(scored["probability"])[1]
 
 
-def boosted_trees(train: DataFrame, columns: list[str], label: str = "label", seed: int = 42, validation: Column | None = None, positive_weight: bool = False, **parameters) -> PipelineModel:
+def boosted_trees(
+    train: DataFrame, columns: list[str], label: str = "label", seed: int = 42, validation: Column | None = None, positive_weight: bool = False,
+    levels: dict[str, int] | None = None, **parameters,
+) -> PipelineModel:
     """Gradient-boosted trees over numeric columns; missing values become -1e9.
 
+    `levels` names the columns that hold a category's number, 0 to so many less one: they are
+    split into sets of categories, not by order, and the bins are at least as many as categories.
     `validation` marks the rows for early stopping, `positive_weight` weighs
     positives by negatives over positives.
     """
     require_both_classes(train, label)
     rows = train.na.fill(-1e9, columns)
-    model = GBTClassifier(labelCol=label, seed=seed, **parameters)
+    for c, n in (levels or {}).items():
+        rows = rows.withMetadata(c, {"ml_attr": {"type": "nominal", "name": c, "num_vals": n}})
+    bins = max([parameters.get("maxBins", 32), *(levels or {}).values()])
+    model = GBTClassifier(labelCol=label, seed=seed, **parameters | {"maxBins": bins})
     if validation is not None:
         rows = rows.withColumn("is_validation", validation)
         model = model.setValidationIndicatorCol("is_validation")
@@ -124,8 +132,11 @@ class Calibrator:
         if self.kind == "sigmoid":
             p = F.least(F.greatest(raw, F.lit(1e-6)), F.lit(1 - 1e-6))
             return 1 / (1 + F.exp(-(F.lit(self.slope) * F.log(p / (1 - p)) + F.lit(self.intercept))))
-        bounds, values = F.array(*[F.lit(x) for x in self.bounds]), F.array(*[F.lit(x) for x in self.values])
-        below = F.size(F.filter(bounds, lambda b: b <= raw))
+        # Both tables are one literal each, and a row halves its way to the last bound that is not above it.
+        bounds, values = (F.split(F.lit(",".join(map(repr, x))), ",").cast("array<double>") for x in (self.bounds, self.values))
+        n = len(self.bounds)
+        halves = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+        below = F.aggregate(halves, F.lit(0), lambda at, k: F.when((at + k <= n) & (F.get(bounds, at + k - 1) <= raw), at + k).otherwise(at))
         low, high = F.greatest(below - 1, F.lit(0)), F.least(below, F.lit(len(self.bounds) - 1))
         b0, b1, v0, v1 = F.get(bounds, low), F.get(bounds, high), F.get(values, low), F.get(values, high)
         inside = (below > 0) & (b1 > b0)

@@ -88,6 +88,11 @@ def search(objective: Callable[[dict], float], trials: int, space: dict[str, Ran
     return max(seen, key=lambda s: s[1])[0], seen
 
 
+def tree_parameters(trial: dict) -> dict:
+    """A trial's values under the names that the trees know."""
+    return {k: v for k, v in trial.items() if k != "feature_share"} | {"featureSubsetStrategy": str(trial.get("feature_share", 1.0))}
+
+
 def fold_objective(rows: DataFrame, categorical: list[str], numeric: list[str], blocks: int = 5, seed: int = 42, keep=lambda table: table, limit: int = 1000) -> Callable[[dict], float]:
     """Mean average precision over the expanding temporal folds, each with preprocessing of its own training rows."""
     block: Column = F.col("development_block")
@@ -99,13 +104,12 @@ def fold_objective(rows: DataFrame, categorical: list[str], numeric: list[str],
         columns = [*(f"{c}__frequency" for c in known.frequencies), *known.levels, *(c for c in known.numeric if c not in known.dropped)]
         places = {c: F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(c)).cast("double") for c, levels in known.levels.items()}
         held = known.transform(rows.where(block <= valid)).withColumns(places)
-        ready.append((keep(held), columns, last, valid))
+        ready.append((keep(held), columns, {c: len(levels) + 1 for c, levels in known.levels.items()}, last, valid))
 
     def objective(parameters: dict) -> float:
-        given = {k: v for k, v in parameters.items() if k != "feature_share"} | {"featureSubsetStrategy": str(parameters.get("feature_share", 1.0))}
-        found = []
-        for held, columns, last, valid in ready:
-            model = models.boosted_trees(held.where(block <= last), columns, "label", seed, **given)
+        given, found = tree_parameters(parameters), []
+        for held, columns, levels, last, valid in ready:
+            model = models.boosted_trees(held.where(block <= last), columns, "label", seed, levels=levels, **given)
             scored = models.score(model, held.where(block == valid), columns)
             found.append(ranking(scored, []).first()["pr_auc"] or 0.0)
         return float(np.mean(found))

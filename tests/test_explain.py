@@ -49,3 +49,34 @@ def test_attributions_add_up_to_the_margin(spark):
         assert r["s"] + base == pytest.approx(margin[r["id"]], abs=1e-9)
     top = explain.summary(long, []).orderBy(F.desc("mean_abs")).first()
     assert top["feature"] == "odd" and top["mean_positive"] > top["mean_negative"]
+
+
+def test_categories_are_split_into_sets(spark):
+    rnd, odd = random.Random(4), {1, 4, 6, 9}
+    rows = spark.createDataFrame([(i, float(i % 12), rnd.random(), int(i % 12 in odd)) for i in range(480)], "id int, level double, x double, label int")
+    one = {"maxIter": 1, "maxDepth": 1}
+    found = explain.tree_leaves(models.boosted_trees(rows, ["level", "x"], levels={"level": 12}, **one))[0]
+    assert sorted(sorted(leaf.splits[0][3] & set(range(12))) for leaf in found) == [sorted({*range(12)} - odd), sorted(odd)]
+    by_order = explain.tree_leaves(models.boosted_trees(rows, ["level", "x"], **one))[0]
+    assert all(len(leaf.splits[0]) == 3 for leaf in by_order if 0 in leaf.splits)
+    noisy = rows.withColumn("label", F.when(F.col("x") > 0.9, 1 - F.col("label")).otherwise(F.col("label")))
+    model = models.boosted_trees(noisy, ["level", "x"], levels={"level": 12}, maxIter=3, maxDepth=3)
+    long = explain.attributions(noisy, model, ["level", "x"], ["id"])
+    _, base = explain.shapley(np.zeros((1, 2)), explain.leaves(model))
+    margin = {r["id"]: r["m"] for r in model.transform(noisy).select("id", vector_to_array("rawPrediction")[1].alias("m")).collect()}
+    for r in long.groupBy("id").agg(F.sum("phi").alias("s")).collect():
+        assert r["s"] + base == pytest.approx(margin[r["id"]], abs=1e-9)
+    last = {r["id"]: r["margin"] for r in explain.staged_margins(noisy, model, ["level", "x"], ["id"]).where("trees = 3").collect()}
+    assert last == pytest.approx(margin, abs=1e-9)
+    # More categories than the usual bins.
+    models.boosted_trees(rows.withColumn("level", (F.col("id") % 40).cast("double")), ["level", "x"], levels={"level": 40}, **one)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 8, 300])
+def test_isotonic_steps_are_found_by_halving(spark, n):
+    rnd = random.Random(n)
+    bounds, values = sorted(rnd.random() for _ in range(n)), sorted(rnd.random() for _ in range(n))
+    asked = [-1.0, 0.0, 2.0, *bounds, *(rnd.random() for _ in range(50))]
+    rows = spark.createDataFrame([(x,) for x in asked], "raw double").select("raw", models.Calibrator("isotonic", bounds=tuple(bounds), values=tuple(values)).apply(F.col("raw")).alias("p"))
+    for r in rows.collect():
+        assert r["p"] == pytest.approx(float(np.interp(r["raw"], bounds, values)), abs=1e-12)
