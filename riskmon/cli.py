@@ -7,66 +7,38 @@ import json
 import uuid
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from riskmon import config
-from riskmon.operators import lifecycle, metrics, temporal
-from riskmon.plans import catalogue, replay
+from riskmon.operators import lifecycle
+from riskmon.plans import catalogue, preparation, replay
 from riskmon.session import importable
-from riskmon.sources import ingest
+from riskmon.sources import export, ingest
 
-CATEGORICAL, CAPPED, AMOUNT = ["product", "user_id"], ["product"], ["amount"]
-
-
-def prepare(spark: SparkSession, source: str, target: str, settings: config.Settings | None = None) -> None:
-    """CSV transactions and identities to one validated, labelled Parquet table, partitioned by period."""
-    s = settings or config.Settings()
-    types = {s.id_column: "bigint", s.time_column: "bigint", s.amount_column: "double", s.label_column: "int"}
-    tables = ingest.required_files(spark, source, s.expected_files)
-    rows = ingest.normalize_identity(ingest.read_csv(spark, tables[0], types))
-    ident = ingest.normalize_identity(ingest.read_csv(spark, tables[1], {s.id_column: "bigint"}))
-    ingest.validate(rows, tables[0].rsplit("/", 1)[1].split(".")[0], s.id_column, s.time_column, s.label_column)
-    joined = ingest.join_one_to_one(rows, ident, s.id_column)
-    bounds = temporal.time_bounds(joined, s.time_column)
-    labelled = temporal.assign_partitions(joined, bounds, s.development_blocks, s.batch_seconds, s.time_column)
-    temporal.check_partitions(labelled, s.development_blocks)
-    labelled.write.mode("overwrite").option("compression", "zstd").partitionBy("dataset_period").parquet(f"{target}/train.parquet")
-
-
-def transactions(spark: SparkSession, source: str, s: config.Settings) -> DataFrame:
-    """The prepared table under the names that the operators use."""
-    rows = spark.read.parquet(f"{source}/train.parquet")
-    product = F.col("ProductCD") if "ProductCD" in rows.columns else F.lit(None).cast("string")
-    entity = F.col(s.entity_column) if s.entity_column in rows.columns else F.lit(None).cast("string")
-    return rows.select(
-        F.col(s.id_column).alias("event_id"), F.col(s.time_column).alias("t"), F.col(s.amount_column).alias("amount"), F.col(s.label_column).alias("label"),
-        entity.alias("user_id"), product.alias("product"), "dataset_period", "development_block", "production_batch",
-    )
-
-
-def train(spark: SparkSession, source: str, target: str, s: config.Settings) -> str:
-    """Fit the champion, save it under a new name, and log the run; returns the bundle's folder."""
-    made = lifecycle.engineer(transactions(spark, source, s), CATEGORICAL)
-    bundle = lifecycle.train_champion(made, CATEGORICAL, rate=s.review_rate, limit=s.cardinality_limit)
-    held = bundle.score(made.where("dataset_period = 'acceptance'")).withColumn("g", F.lit(1))
-    found = metrics.ranking(held, ["g"]).first()
-    path = f"{target.rstrip('/')}/bundle-{bundle.version}-{uuid.uuid4().hex[:8]}"
-    bundle.save(path)
-    lifecycle.log_run(spark, f"{target.rstrip('/')}/runs", bundle, {"pr_auc": found["pr_auc"], "roc_auc": found["roc_auc"]})
-    return path
+CAPPED, AMOUNT = ["product"], ["amount"]
 
 
 def try_challenger(spark: SparkSession, source: str, bundle: str, target: str, s: config.Settings) -> str:
     """Evaluate a challenger against a saved bundle; writes its figures and the segments to a new folder."""
-    made = lifecycle.engineer(transactions(spark, source, s), CATEGORICAL)
-    trial = lifecycle.evaluate_challenger(made, lifecycle.load(spark, bundle), CATEGORICAL, CAPPED, s.label_delay, s.iterations, s.minimum_positive, s.minimum_negative)
+    champion = lifecycle.load(spark, bundle)
+    made = lifecycle.engineer(preparation.transactions(spark, source, s), *champion.asked)
+    trial = lifecycle.evaluate_challenger(made, champion, champion.asked[0], CAPPED, s.label_delay, s.iterations, s.minimum_positive, s.minimum_negative)
     path = f"{target.rstrip('/')}/trial-{uuid.uuid4().hex[:8]}"
     trial.summary.write.parquet(f"{path}/summary")
     trial.segments.write.parquet(f"{path}/segments")
     return path
 
 
+def monitor(spark: SparkSession, source: str, bundle: str, target: str, s: config.Settings) -> dict[str, str]:
+    """Run the monitoring of all batches, and of the later rows where they were prepared; the paths of the tables by name."""
+    champion, version = lifecycle.load(spark, bundle), preparation.data_version(ingest.read_manifest(spark, f"{source}/manifest"))
+    rows, later = preparation.transactions(spark, source, s), None
+    if export.present(spark, f"{source}/test.parquet"):
+        later = preparation.transactions(spark, source, s, "test")
+        later = later.select(*[c for c in later.columns if c in (*rows.columns, "shadow_batch")])
+    return replay.run(spark, rows, champion, target, champion.asked[0], CAPPED, AMOUNT, s, later, version)
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="riskmon", description=__doc__)
     commands = out.add_subparsers(dest="command", required=True)
@@ -75,8 +47,8 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("name", choices=sorted(catalogue.QUERIES))
     one.add_argument("source")
     for name, what, places in (
-        ("show-config", "check the settings and print them", []), ("prepare", prepare.__doc__, ["source", "target"]),
-        ("train", train.__doc__, ["source", "target"]), ("replay", "run the monitoring of all batches", ["source", "bundle", "target"]),
+        ("show-config", "check the settings and print them", []), ("prepare", "check CSV tables and write them as Parquet with a manifest", ["source", "target"]),
+        ("train", "tune, fit and judge a champion", ["source", "target"]), ("replay", "run the monitoring of all batches and of later rows", ["source", "bundle", "target"]),
         ("retrain-eval", try_challenger.__doc__, ["source", "bundle", "target"]),
     ):
         command = commands.add_parser(name, help=what)
@@ -99,14 +71,13 @@ def main(args: list[str] | None = None) -> int:
     if given.command == "query":
         catalogue.QUERIES[given.name](spark, given.source).show(50, truncate=False)
     elif given.command == "prepare":
-        prepare(spark, given.source, given.target, settings)
+        preparation.prepare(spark, given.source, given.target, settings)
     elif given.command == "train":
-        print(train(spark, given.source, given.target, settings))
+        print(preparation.train(spark, given.source, given.target, settings))
     elif given.command == "retrain-eval":
         print(try_challenger(spark, given.source, given.bundle, given.target, settings))
     else:
-        rows = transactions(spark, given.source, settings)
-        print(json.dumps(replay.run(spark, rows, lifecycle.load(spark, given.bundle), given.target, CATEGORICAL, CAPPED, AMOUNT, settings), indent=2))
+        print(json.dumps(monitor(spark, given.source, given.bundle, given.target, settings), indent=2))
     return 0
 
 

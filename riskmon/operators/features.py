@@ -3,13 +3,35 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskmon.sources.ingest import AVAILABLE
+
 MISSING, UNKNOWN = "__MISSING__", "__UNKNOWN__"
 
+# Columns that hold categories whatever their type.
+CATEGORIES = """
+ProductCD card1 card2 card3 card4 card5 card6 addr1 addr2 P_emaildomain R_emaildomain M1 M2 M3 M4 M5 M6 M7 M8 M9
+DeviceType DeviceInfo id_12 id_13 id_14 id_15 id_16 id_17 id_18 id_19 id_20 id_21 id_22 id_23 id_24 id_25
+id_26 id_27 id_28 id_29 id_30 id_31 id_32 id_33 id_34 id_35 id_36 id_37 id_38
+""".split()
+# Columns that say who or when a row is, and nothing that a model may see.
+EXCLUDED = ("event_id", "t", "label", "dataset_period", "development_block", "production_batch", "shadow_batch")
+COUNTS = ("missing_count_identity", "missing_count_vendor", "missing_count_transaction")
+
+
+def is_categorical(name: str) -> bool:
+    return name in CATEGORIES
+
+
+def is_numeric(name: str) -> bool:
+    """Counts, time gaps, distances, vendor columns and the first identity columns, by name."""
+    return bool(re.fullmatch(r"[CDV][0-9]+|dist[0-9]+|id_(0[1-9]|1[01])", name))
+
 
 def add_stateless(df: DataFrame, time: str = "t", amount: str = "amount", families: dict[str, list[str]] | None = None) -> DataFrame:
     """Amount and time features in 32 bits, and null counts per family of columns."""
@@ -23,12 +45,25 @@ def add_stateless(df: DataFrame, time: str = "t", amount: str = "amount", famili
         "hour_sin": F.sin(2 * math.pi * hour / 24).cast("float"), "hour_cos": F.cos(2 * math.pi * hour / 24).cast("float"),
         "weekday_sin": F.sin(2 * math.pi * day / 7).cast("float"), "weekday_cos": F.cos(2 * math.pi * day / 7).cast("float"),
     })
-    if "identity_available" in df.columns:
-        out = out.withColumn("identity_available", F.coalesce(F.col("identity_available"), F.lit(False)).cast("byte"))
+    if AVAILABLE in df.columns:
+        out = out.withColumn(AVAILABLE, F.coalesce(F.col(AVAILABLE), F.lit(False)).cast("byte"))
     counts = {f"missing_count_{name}": null_count(columns) for name, columns in (families or {}).items()}
     return out.withColumns(counts) if counts else out
 
 
+def column_families(columns: list[str], excluded: tuple[str, ...] = EXCLUDED) -> dict[str, list[str]]:
+    """The columns of three families, by name; vendor columns are transaction columns too."""
+    identity = [c for c in columns if c.startswith("id_") or c in ("DeviceType", "DeviceInfo")]
+    vendor = [c for c in columns if re.fullmatch(r"[CDMV][0-9]+", c)]
+    left_out = {*identity, *excluded, *COUNTS, AVAILABLE}
+    return {"identity": identity, "vendor": vendor, "transaction": [c for c in columns if c not in left_out]}
+
+
+def add_missing_counts(df: DataFrame, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
+    """Null counts of the three families among all columns that `df` has now; an empty family counts 0."""
+    return df.withColumns({f"missing_count_{name}": null_count(columns) for name, columns in column_families(df.columns, excluded).items()})
+
+
 def null_count(columns: list[str]) -> Column:
     total = F.lit(0)
     for c in columns:

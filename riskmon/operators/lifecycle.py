@@ -22,10 +22,15 @@ PAST = [f"user_{name}" for name in causal.NAMES]
 SHAPE = {"maxIter": 8, "maxDepth": 3, "stepSize": 0.2}
 
 
-def engineer(rows: DataFrame, categorical: list[str]) -> DataFrame:
-    """The rows with past-only and stateless features; the model's inputs are copies named in_<column>, so that all columns stay."""
+def engineer(rows: DataFrame, categorical: list[str], numeric: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """The rows with past-only and stateless features; the model's inputs are copies named in_<column>, so that all columns stay.
+
+    `numeric` names further inputs; missing counts among them are taken over all columns but `features.EXCLUDED`.
+    """
     made = features.add_stateless(causal.add_causal(rows, "user", ["user_id"]))
-    return made.withColumns({f"in_{c}": F.col(c) for c in (*NUMERIC, *PAST, *categorical)})
+    if set(features.COUNTS) & set(numeric):
+        made = features.add_missing_counts(made)
+    return made.withColumns({f"in_{c}": F.col(c) for c in (*NUMERIC, *PAST, *numeric, *categorical)})
 
 
 @dataclass
@@ -38,6 +43,12 @@ class Bundle:
     threshold: float
     parameters: dict = field(default_factory=dict)
 
+    @property
+    def asked(self) -> tuple[list[str], list[str]]:
+        """The (categorical, further numeric) columns that `engineer` must be given."""
+        p, own = self.preprocessor, {f"in_{c}" for c in (*NUMERIC, *PAST)}
+        return [c.removeprefix("in_") for c in p.categorical], [c.removeprefix("in_") for c in p.numeric if c not in own]
+
     @property
     def columns(self) -> list[str]:
         p = self.preprocessor
@@ -93,10 +104,10 @@ def load(spark: SparkSession, path: str) -> Bundle:
     return found
 
 
-def train(training: DataFrame, calibration: DataFrame, categorical: list[str], rate: float = 0.02, limit: int = 500, **parameters) -> Bundle:
+def train(training: DataFrame, calibration: DataFrame, categorical: list[str], rate: float = 0.02, limit: int = 500, numeric: list[str] | tuple[str, ...] = (), **parameters) -> Bundle:
     """A bundle from engineered rows: trees from `training`, calibrator and the threshold of a review rate from `calibration`."""
     parameters = SHAPE | parameters
-    known = features.Preprocessor([f"in_{c}" for c in categorical], [f"in_{c}" for c in (*NUMERIC, *PAST)], 0.995, limit).fit(training)
+    known = features.Preprocessor([f"in_{c}" for c in categorical], [f"in_{c}" for c in (*NUMERIC, *PAST, *numeric)], 0.995, limit).fit(training)
     found = Bundle(None, known, models.Calibrator("sigmoid"), 0.5, parameters)
     found.model = models.boosted_trees(found.inputs(training), found.columns, levels={c: len(v) + 1 for c, v in known.levels.items()}, **parameters)
     raw = models.score(found.model, found.inputs(calibration.drop("score")), found.columns, "raw").select("label", "raw")
@@ -147,7 +158,7 @@ def evaluate_challenger(made: DataFrame, champion: Bundle, categorical: list[str
     for r in challenger.windows(made.where(batch.isNotNull()).withColumnRenamed("production_batch", "batch"), delay).collect():
         roles.setdefault(r["role"], []).append(r["batch"])
     training = made.where(batch.isNull() | (batch < min(roles["calibration"])))
-    new = train(training, made.where(batch.isin(roles["calibration"])), categorical, **champion.parameters)
+    new = train(training, made.where(batch.isin(roles["calibration"])), categorical, numeric=champion.asked[1], **champion.parameters)
     held = made.where(batch.isin(roles["evaluation"]))
     models.require_both_classes(held)
     first = champion.score(held).withColumnRenamed("score", "champion")

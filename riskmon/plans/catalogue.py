@@ -62,6 +62,21 @@ def table_profile(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ingest.profile(one_to_one_join(spark, d)))
 
 
+def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, time range, coverage of the region and prevalence of the table and of each of its periods."""
+    rows = labelled(spark, d).withColumn(ingest.AVAILABLE, F.col("region").isNotNull())
+    return rounded(ingest.summary(rows, "t", "label", "dataset_period"))
+
+
+def missing_families(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows have so many nulls among identity, vendor and all transaction columns, the engineered ones included."""
+    rows = labelled(spark, d).withColumns({
+        "id_12": F.col("region"), "DeviceType": F.when(F.col("user_id") % 5 != 0, F.col("channel")), "V1": F.when(F.col("event_id") % 7 != 0, F.col("amount")),
+    }).drop("region", "channel")
+    counted = features.add_missing_counts(features.add_stateless(causal.add_causal(rows, "user", ["user_id"])))
+    return counted.groupBy(*[F.col(c).cast("int").alias(c) for c in features.COUNTS]).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def temporal_bounds(spark: SparkSession, d: str) -> DataFrame:
     b = temporal.time_bounds(transactions(spark, d))
     return spark.range(1).select(
@@ -505,6 +520,14 @@ def monitor_records(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fitted.compare(now, ["batch"]))
 
 
+def drift_chart(spark: SparkSession, d: str) -> DataFrame:
+    """The twelve gravest drift records of every batch, each with its value and both limits in long form."""
+    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    place = F.row_number().over(Window.partitionBy("batch").orderBy(rank, F.desc_nulls_last("value"), "feature", "metric"))
+    first = monitor_records(spark, d).withColumn("place", place).where("place <= 12")
+    return first.unpivot(["batch", "place", "feature", "metric"], ["value", "warning_limit", "critical_limit"], "series", "metric_value")
+
+
 def monitor_prediction(spark: SparkSession, d: str) -> DataFrame:
     """Divergence and mean shift of the scores of every batch against resampled limits."""
     fitted, now = fitted_monitor(spark, d)
@@ -582,6 +605,28 @@ def judged_batches(spark: SparkSession, d: str) -> DataFrame:
     return performance.records(held, reference, full_limits(spark, d), ["batch"], F.col("label_status") == "mature")
 
 
+def overview(spark: SparkSession, d: str) -> DataFrame:
+    """One row: freshness of labels, current action, review rate of the latest batch and metrics of the latest mature one."""
+    acted = monitoring.actions(batch_table(spark, d)).select("batch", "label_status", "action")
+    held, mature = metric_rows(spark, d).join(acted, "batch"), F.when(F.col("label_status") == "mature", F.col("batch"))
+    shown = F.struct(F.col("batch").alias("mature_batch"), "prevalence", "pr_auc", "recall", "expected_calibration_error")
+    sums = held.agg(
+        F.count_if(F.col("label_status") == "stale").alias("stale"), F.count_if(F.col("label_status") == "pending").alias("pending"),
+        F.max_by(F.struct(F.col("batch").alias("latest_batch"), "action", "review_rate"), "batch").alias("now"), F.max_by(shown, mature).alias("then"),
+    )
+    fresh = F.when(F.col("stale") > 0, "Stale").when(F.col("pending") > 0, F.concat(F.col("pending").cast("string"), F.lit(" pending"))).otherwise("Current")
+    action = F.when(F.col("stale") > 0, "investigate").otherwise(F.col("now.action"))
+    return rounded(sums.select(fresh.alias("freshness"), action.alias("current_action"), "now.latest_batch", "now.review_rate", "then.*"))
+
+
+def reported_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments with enough rows of both classes in every investigated batch, those with the most missed positives first."""
+    noisy = ~((F.col("drift_severity") == "healthy") & F.col("performance_severity").isin("healthy", "unavailable"))
+    held = segment_metrics_pooled(spark, d).where("status = 'reported'").join(F.broadcast(batch_table(spark, d).where(noisy).select("batch")), "batch")
+    place = F.row_number().over(Window.partitionBy("batch").orderBy(F.desc("false_negative"), "segment", "value"))
+    return held.select("batch", place.alias("place"), "segment", "value", "rows", "prevalence", "precision", "recall", "false_positive", "false_negative", "captured_rate")
+
+
 def performance_records(spark: SparkSession, d: str) -> DataFrame:
     return rounded(judged_batches(spark, d))
 
@@ -680,6 +725,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         challenger_windows, score_js_limits, global_severity, label_freshness, last_evidence, recommendation_history, confusion_pivot,
         budget_unpivot, calibration_unpivot, score_movement, feature_metrics, full_metric_row, full_performance_limits, performance_records,
         monitor_limits, monitor_records, monitor_prediction, monitor_summary, batch_records, mature_segment_metrics, investigation_records, performance_summary, missingness_records, investigation_classes, investigation_drilldown,
+        dataset_summary, missing_families, drift_chart, overview, reported_segments,
         model_metrics, attribution_rank_change, attribution_drivers, challenger_trial, challenger_segments,
     )
 } | {"development_blocks": counted("development_block"), "daily_batches": counted("production_batch"), "fold_membership": lambda s, d: temporal.fold_rows(labelled(s, d))}

@@ -70,6 +70,13 @@ def mature_segments(scored: DataFrame, base: DataFrame, top: DataFrame, capped:
     return monitoring.pooled(monitoring.segment_counts(long, ["batch"], F.lit(threshold)), "batch", positives, negatives)
 
 
+def contract(table: DataFrame, rate: float) -> DataFrame:
+    """(field, value): what the latest production batch was scored and judged with."""
+    latest = table.where("stream = 'production'").agg(F.max_by(F.struct("model_version", "data_version", "review_threshold"), "batch").alias("x")).select("x.*")
+    shown = {"Model version": F.col("model_version"), "Data version": F.col("data_version"), "Review threshold": F.format_number("review_threshold", 3), "Default capacity": F.lit(f"{100 * rate:g}%")}
+    return latest.select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in shown.items()])).alias("r")).select("r.*")
+
+
 def monitored_inputs(bundle: lifecycle.Bundle, made: DataFrame, always: list[str], settings: Settings) -> tuple[DataFrame, list[str], list[str]]:
     """The rows with the model's inputs as it was fitted on them, and the numeric and categorical ones to monitor, by importance."""
     known = bundle.preprocessor
@@ -100,7 +107,8 @@ def run(
         return spark.read.parquet(paths[name])
 
     every = rows.unionByName(shadow, allowMissingColumns=True) if shadow is not None else rows.withColumn("shadow_batch", F.lit(None).cast("int"))
-    made, wanted, levels = monitored_inputs(bundle, bundle.score(lifecycle.engineer(every, categorical)), numeric, settings)
+    engineered = lifecycle.engineer(every, categorical, bundle.asked[1])
+    made, wanted, levels = monitored_inputs(bundle, bundle.score(engineered), numeric, settings)
     made = stored("scored", made)
     number = F.coalesce("production_batch", "shadow_batch").cast("int")
     scored = made.where(number.isNotNull()).withColumns({"batch": number, "stream": F.when(F.col("production_batch").isNotNull(), "production").otherwise("shadow")})
@@ -119,10 +127,10 @@ def run(
     stored("recommendations", monitoring.recommendations(table).withColumns(versions | outcome))
     top = monitoring.top_values(reference, capped, 10)
     pooled = stored("segments", mature_segments(labelled, base, top, capped, [], bundle.threshold, settings.minimum_positive, settings.minimum_negative).withColumn("stream", F.lit("production")))
-    explained = lifecycle.engineer(every, categorical)
-    explained = explained.withColumns({"batch": number, "stream": F.when(F.col("production_batch").isNotNull(), "production").otherwise("shadow")})
+    explained = engineered.withColumns({"batch": number, "stream": F.when(F.col("production_batch").isNotNull(), "production").otherwise("shadow")})
     now = explain.summary(lifecycle.attributions(bundle, explained.where("batch is not null"), [*BY, "label"]), BY)
     ref = explain.summary(lifecycle.attributions(bundle, explained.where("dataset_period = 'acceptance'"), ["label"]), [])
     change = stored("attributions", diagnosis.importance_change(ref, now, BY))
+    stored("contract", contract(table, settings.review_rate))
     stored("investigations", diagnosis.investigation_records(table, records, found, change, pooled, BY))
     return paths

@@ -774,3 +774,30 @@ SELECT 'production' AS stream, b.batch, label_status, action,
 FROM bacted b LEFT JOIN (SELECT batch, bool_or(metric = 'missingness_shift') AS gaps, bool_or(metric <> 'missingness_shift') AS moved FROM mfull WHERE severity <> 'healthy' GROUP BY batch) a ON a.batch = b.batch
 LEFT JOIN failures ON failures.batch = b.batch LEFT JOIN mdrivers d ON d.batch = b.batch LEFT JOIN mtop ON mtop.batch = b.batch
 WHERE NOT (drift_severity = 'healthy' AND performance_severity IN ('healthy', 'unavailable'))
+
+-- query dataset_summary
+SELECT dataset_period AS period, count(*) AS rows, min(t) AS minimum_time, max(t) AS maximum_time, round(avg(CAST(region IS NOT NULL AS DOUBLE)), 6) AS identity_coverage, round(avg(CAST(label AS DOUBLE)), 6) AS prevalence
+FROM lab GROUP BY ROLLUP (dataset_period)
+
+-- query missing_families
+SELECT CAST(region IS NULL AS INTEGER) + CAST(CASE WHEN user_id % 5 <> 0 THEN channel END IS NULL AS INTEGER) AS missing_count_identity, CAST(v IS NULL AS INTEGER) AS missing_count_vendor,
+       3 * CAST(amount IS NULL AS INTEGER) + CAST(user_id IS NULL AS INTEGER) + CAST(product IS NULL AS INTEGER) + CAST(score IS NULL AS INTEGER) + CAST(v IS NULL AS INTEGER)
+       + 2 * CAST(m IS NULL AS INTEGER) + CAST(CASE WHEN m <> 0 THEN amount END IS NULL AS INTEGER) AS missing_count_transaction, count(*) AS rows
+FROM (SELECT *, CASE WHEN event_id % 7 <> 0 THEN amount END AS v, sum(coalesce(amount, 0)) OVER w / nullif(count(*) OVER w, 0) AS m
+      FROM txn WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) GROUP BY ALL
+
+-- query drift_chart
+SELECT batch, place, feature, metric, unnest(['value', 'warning_limit', 'critical_limit']) AS series, unnest([value, warning_limit, critical_limit]) AS metric_value
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY batch ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, value DESC NULLS LAST, feature, metric) AS INTEGER) AS place
+      FROM (SELECT batch, feature, metric, severity, round(value, 6) AS value, round(warning_limit, 6) AS warning_limit, round(critical_limit, 6) AS critical_limit FROM mfull)) WHERE place <= 12
+
+-- query overview
+SELECT CASE WHEN stale > 0 THEN 'Stale' WHEN pending > 0 THEN pending || ' pending' ELSE 'Current' END AS freshness, CASE WHEN stale > 0 THEN 'investigate' ELSE latest_action END AS current_action, latest_batch, round(x.review_rate, 6) AS review_rate,
+       o.batch AS mature_batch, round(o.prevalence, 6) AS prevalence, round(o.pr_auc, 6) AS pr_auc, round(o.recall, 6) AS recall, round(o.expected_calibration_error, 6) AS expected_calibration_error
+FROM (SELECT count(*) FILTER (WHERE label_status = 'stale') AS stale, count(*) FILTER (WHERE label_status = 'pending') AS pending, arg_max(action, a.batch) AS latest_action, max(a.batch) AS latest_batch,
+             arg_max(w.review_rate, a.batch) AS review_rate, max(a.batch) FILTER (WHERE label_status = 'mature') AS known FROM acted a JOIN wrow w ON w.batch = a.batch) x LEFT JOIN wrow o ON o.batch = known
+
+-- query reported_segments
+SELECT seg.batch, CAST(row_number() OVER (PARTITION BY seg.batch ORDER BY fn DESC, segment, value) AS INTEGER) AS place, segment, value, seg.rows, round(positives / seg.rows, 6) AS prevalence, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
+       round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, CAST(fp AS DOUBLE) AS false_positive, CAST(fn AS DOUBLE) AS false_negative, CASE WHEN fa > 0 THEN round(ca / fa, 6) END AS captured_rate
+FROM seg JOIN bm ON bm.batch = seg.batch WHERE enough AND NOT (drift_severity = 'healthy' AND performance_severity IN ('healthy', 'unavailable'))

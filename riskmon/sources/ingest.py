@@ -94,6 +94,57 @@ def profile(df: DataFrame) -> DataFrame:
     return wide.select("rows", each.alias("r")).select("r.column", "rows", "r.null_share")
 
 
+def summary(df: DataFrame, time: str, label: str | None = None, period: str | None = None) -> DataFrame:
+    """Rows, time range, coverage of identities and prevalence of the table and of each of its periods, in one pass.
+
+    The table's own row has no period; an empty table has no rows in it.
+    """
+    share = F.avg(F.col(AVAILABLE).cast("double")) if AVAILABLE in df.columns else F.lit(None).cast("double")
+    prevalence = F.avg(F.col(label).cast("double")) if label else F.lit(None).cast("double")
+    sums = [F.count(F.lit(1)).alias("rows"), F.min(time).alias("minimum_time"), F.max(time).alias("maximum_time"), share.alias("identity_coverage"), prevalence.alias("prevalence")]
+    if period is None:
+        return df.agg(*sums).select(F.lit(None).cast("string").alias("period"), "*")
+    return df.select("*", F.col(period).alias("__period")).rollup("__period").agg(*sums).withColumnRenamed("__period", "period")
+
+
+def table_profile(df: DataFrame, time: str, label: str | None = None, period: str | None = None) -> dict:
+    """What a manifest says of a table."""
+    held = {r["period"]: r for r in summary(df, time, label, period).collect()}
+    whole = held.pop(None)
+    out = {k: v for k, v in whole.asDict().items() if k not in ("period", "prevalence")}
+    out |= {"columns": len(df.columns), "schema": dict(df.dtypes), "missing_fraction": {r["column"]: r["null_share"] for r in profile(df).collect()}}
+    if label:
+        out["prevalence"] = whole["prevalence"]
+    return out | ({"period_rows": {k: r["rows"] for k, r in sorted(held.items())}} if period else {})
+
+
+def fingerprint(spark: SparkSession, path: str) -> dict:
+    """Lines and content digest of a text file of any size on any file system, from tasks.
+
+    Each line gives two numbers of 60 bits of its SHA-256, and the digest is their sums,
+    so it depends on the lines and how often they occur, but not on their order.
+    """
+    digest = F.sha2(F.col("value").cast("binary"), 256)
+    parts = [F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(28,0)")) for at in (1, 16)]
+    lines, *sums = spark.read.text(path).agg(F.count(F.lit(1)), *parts).first()
+    return {"lines": lines, "digest": "-".join(f"{int(x or 0):x}" for x in sums)}
+
+
+def write_manifest(spark: SparkSession, path: str, value: dict) -> None:
+    """One line of JSON as a text table, so that it may lie on any file system."""
+    text = json.dumps(json_safe(value), sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """A manifest of version 1; an absent one or one of another version is refused."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    found = json.loads(spark.read.text(required_files(spark, folder, (name,))[0]).first()[0])
+    if found.get("manifest_version") != 1:
+        raise DataValidationError(f"{path}: unsupported manifest version {found.get('manifest_version')}")
+    return found
+
+
 def sha256_of(path: str, chunk: int = 1 << 20) -> str:
     digest = hashlib.sha256()
     with open(path, "rb") as f:

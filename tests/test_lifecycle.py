@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskmon import cli, config
-from riskmon.operators import lifecycle, temporal
-from riskmon.plans import replay
+from riskmon.operators import features, lifecycle, temporal
+from riskmon.plans import preparation, replay
 from riskmon.sources import ingest
 
 CATEGORIES = ["product", "user_id"]
@@ -135,17 +135,77 @@ def test_commands_from_files_to_a_trial(spark, tmp_path, capsys):
     with pytest.raises(FileNotFoundError):
         ingest.required_files(spark, str(tmp_path), ("train_transaction.csv",))
     rnd = random.Random(2)
-    lines = [f"{i},{int(rnd.random() < (0.7 if i % 10 > 7 else 0.05))},{i * 8000},{i % 10}.5,{'WC'[i % 2]},{i % 30}" for i in range(2000)]
-    Path(tmp_path, "train_transaction.csv").write_text("\n".join(["TransactionID,isFraud,TransactionDT,TransactionAmt,ProductCD,card1", *lines]))
-    Path(tmp_path, "train_identity.csv").write_text("TransactionID,id-12\n1,x\n")
-    Path(tmp_path, "s.json").write_text(json.dumps({"iterations": 20, "minimum_positive": 3, "minimum_negative": 3}))
+    lines = [f"{i},{int(rnd.random() < (0.7 if i % 10 > 7 else 0.05))},{i * 8000},{i % 10}.5,{'WC'[i % 2]},{i % 30},{i % 3 or ''}" for i in range(2000)]
+    later = [f"{i},{i * 8000},{i % 10}.5,{'WC'[i % 2]},{i % 30},{i % 3}" for i in range(2001, 2201)]
+    Path(tmp_path, "train_transaction.csv").write_text("\n".join(["TransactionID,isFraud,TransactionDT,TransactionAmt,ProductCD,card1,C1", *lines]))
+    Path(tmp_path, "train_identity.csv").write_text("\n".join(["TransactionID,id-01,id-12", *(f"{i},{i % 4},{'xy'[i % 2]}" for i in range(0, 2000, 4))]))
+    Path(tmp_path, "test_transaction.csv").write_text("\n".join(["TransactionID,TransactionDT,TransactionAmt,ProductCD,card1,C1", *later]))
+    Path(tmp_path, "test_identity.csv").write_text("TransactionID,id-01,id-12,id-13\n2001,1,x,z\n")
+    Path(tmp_path, "s.json").write_text(json.dumps({"iterations": 20, "minimum_positive": 3, "minimum_negative": 3, "trials": 1}))
     chosen = ["--config", f"{tmp_path}/s.json"]
     assert cli.main(["prepare", *chosen, str(tmp_path), f"{tmp_path}/out"]) == 0
+    made = ingest.read_manifest(spark, f"{tmp_path}/out/manifest")
+    assert set(made["source_files"]) == set(config.Settings().expected_files) and made["source_files"]["train_transaction.csv"]["lines"] == 2001
+    assert made["train"]["rows"] == sum(made["train"]["period_rows"].values()) == 2000 and made["train"]["identity_coverage"] == 0.25
+    assert (made["train"]["minimum_time"], made["train"]["maximum_time"]) == (0, 1999 * 8000) and made["train"]["schema"]["C1"] == made["train"]["schema"]["id_01"] == "double"
+    assert made["train"]["missing_fraction"]["C1"] == pytest.approx(667 / 2000) and made["test"]["rows"] == 200 and "prevalence" not in made["test"]
+    assert made["train"]["prevalence"] == pytest.approx(sum(line.split(",")[1] == "1" for line in lines) / 2000)
+    assert [f["validation_block"] for f in made["development_folds"]] == [3, 4, 5]
     assert cli.main(["train", *chosen, f"{tmp_path}/out", f"{tmp_path}/models"]) == 0
     bundle = capsys.readouterr().out.strip().splitlines()[-1]
     assert spark.read.parquet(f"{tmp_path}/models/runs").count() == 1
+    report = json.loads(spark.read.text(f"{bundle}/report").first()[0])
+    assert report["data_version"] == preparation.data_version(made) and report["tuning"]["trials"] == 1
+    known = report["acceptance_intervals"]["pr_auc"]
+    assert known["lower"] <= known["value"] <= known["upper"] and known["value"] == pytest.approx(report["acceptance_metrics"]["pr_auc"])
+    assert report["acceptance_intervals"]["recall"]["value"] == pytest.approx(report["acceptance_metrics"]["recall"])
+    assert report["baseline_pr_auc"]["prior"] == pytest.approx(report["acceptance_metrics"]["prevalence"])
+    assert min(known["value"], report["baseline_pr_auc"]["logistic"]) > 2 * report["baseline_pr_auc"]["prior"]
+    assert {"in_C1", "in_id_01", "in_id_12", "in_missing_count_transaction"} <= set(report["importances"])
+    budgets = spark.read.parquet(f"{bundle}/review_budgets").orderBy("review_rate").collect()
+    assert [r["review_rate"] for r in budgets] == [0.005, 0.01, 0.02, 0.05] and budgets[2]["threshold"] == report["threshold"]
     assert cli.main(["replay", *chosen, f"{tmp_path}/out", bundle, f"{tmp_path}/monitoring"]) == 0
-    assert "recommendations" in json.loads(capsys.readouterr().out)
+    paths = json.loads(capsys.readouterr().out)
+    tables = {name: spark.read.parquet(paths[name]) for name in ("recommendations", "batches", "contract")}
+    assert {r[0] for r in tables["recommendations"].select("stream").distinct().collect()} == {"production", "shadow"}
+    assert tables["batches"].where("stream = 'shadow'").agg(F.sum("rows")).first()[0] == 200
+    assert {r["field"]: r["value"] for r in tables["contract"].collect()} == {
+        "Model version": report["model_version"], "Data version": report["data_version"], "Review threshold": f"{report['threshold']:.3f}", "Default capacity": "2%",
+    }
     assert cli.main(["retrain-eval", *chosen, f"{tmp_path}/out", bundle, f"{tmp_path}/trials"]) == 0
     trial = capsys.readouterr().out.strip().splitlines()[-1]
     assert spark.read.parquet(f"{trial}/summary").count() == 1
+
+
+def test_refused_preparation(spark, tmp_path):
+    Path(tmp_path, "a.csv").write_text("TransactionID,isFraud,TransactionDT,TransactionAmt\n" + "\n".join(f"{i},{i % 2},{i * 9},1" for i in range(40)))
+    Path(tmp_path, "b.csv").write_text("TransactionID,id-12\n1,x\n")
+    Path(tmp_path, "c.csv").write_text("TransactionID,TransactionDT,TransactionAmt\n100,351,1\n101,400,1\n")
+    four = config.Settings(expected_files=("a.csv", "b.csv", "c.csv", "b.csv"), batch_seconds=9)
+    with pytest.raises(ValueError, match="strictly after"):
+        preparation.prepare(spark, str(tmp_path), f"{tmp_path}/out", four)
+    with pytest.raises(FileNotFoundError):
+        ingest.read_manifest(spark, f"{tmp_path}/out/manifest")
+    two = preparation.prepare(spark, str(tmp_path), f"{tmp_path}/out", config.Settings(expected_files=("a.csv", "b.csv"), batch_seconds=9))
+    assert "test" not in two and two["outputs"] == {"train": "train.parquet"}
+    lines = Path(tmp_path, "a.csv").read_text().splitlines()
+    Path(tmp_path, "d.csv").write_text("\n".join([lines[0], *reversed(lines[1:])]))
+    Path(tmp_path, "e.csv").write_text("\n".join([*lines, lines[-1]]))
+    first, second, third = (ingest.fingerprint(spark, f"{tmp_path}/{n}.csv") for n in "ade")
+    assert first == second == two["source_files"]["a.csv"] and third["digest"] != first["digest"] and third["lines"] == 42
+    ingest.write_manifest(spark, f"{tmp_path}/later", {"manifest_version": 2})
+    with pytest.raises(ingest.DataValidationError):
+        ingest.read_manifest(spark, f"{tmp_path}/later")
+    with pytest.raises(ValueError):
+        config.Settings(expected_files=("a.csv",))
+
+
+def test_missing_counts_by_family(spark):
+    df = spark.createDataFrame([(1, 5, None, None, None, 2.0, True), (2, 9, 1.0, "a", None, None, False)], "event_id long, t long, amount double, id_12 string, DeviceInfo string, V10 double, identity_available boolean")
+    families = features.column_families([*df.columns, "M4", "Vx", "C", "missing_count_vendor"])
+    assert families == {"identity": ["id_12", "DeviceInfo"], "vendor": ["V10", "M4"], "transaction": ["amount", "V10", "M4", "Vx", "C"]}
+    counted = features.add_missing_counts(features.add_stateless(df)).orderBy("event_id").select(*features.COUNTS).collect()
+    # The amount, its logarithm and its fraction; the vendor column counts in both families.
+    assert [tuple(r) for r in counted] == [(2, 0, 3), (1, 1, 1)]
+    assert features.is_categorical("id_12") and features.is_categorical("M9") and not features.is_categorical("id_11") and features.is_numeric("id_11") and not features.is_numeric("M1")
+    assert [tuple(r) for r in features.add_missing_counts(df.select("event_id")).select(*features.COUNTS).distinct().collect()] == [(0, 0, 0)]

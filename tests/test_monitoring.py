@@ -106,8 +106,19 @@ def test_export(spark, tmp_path):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, TransactionID int")
     export.export_tables({"t": df}, {"t": ["a", "b"]}, str(tmp_path))
     assert export.load_tables(spark, str(tmp_path), {"t": ["a", "b"]})["t"].columns == ["a", "b"]
+    for wrong in ({"t": ["a"]}, {"t": ["a", "b"], "u": ["a"]}, {}):
+        with pytest.raises(ValueError):
+            export.load_tables(spark, str(tmp_path), wrong)
+    # An optional table may be absent; one that lies there unlisted is refused.
+    held = export.load_tables(spark, str(tmp_path), {"t": ["a", "b"]}, {"u": ["c"]})
+    assert held["u"].columns == ["c"] and held["u"].count() == 0
+    df.select("a").write.parquet(f"{tmp_path}/u.parquet")
     with pytest.raises(ValueError):
-        export.load_tables(spark, str(tmp_path), {"t": ["a"]})
+        export.load_tables(spark, str(tmp_path), {"t": ["a", "b"]}, {"u": ["a"]})
+    export.export_tables({"t": df, "u": df}, {"t": ["a", "b"], "u": ["a"]}, str(tmp_path))
+    assert set(export.load_tables(spark, str(tmp_path), {"t": ["a", "b"]}, {"u": ["a"]})) == {"t", "u"}
+    with pytest.raises(FileNotFoundError):
+        export.load_tables(spark, f"{tmp_path}/t.parquet", {"t": ["a", "b"]})
     for columns in (["a", "missing"], ["TransactionID"]):
         with pytest.raises(ValueError):
             export.public_table(df, "t", columns)
