@@ -18,7 +18,8 @@ class Settings:
     label_column: str = "isFraud"
     amount_column: str = "TransactionAmt"
     entity_column: str = "card1"
-    expected_files: tuple[str, ...] = ("train_transaction.csv", "train_identity.csv", "test_transaction.csv", "test_identity.csv")
+    expected_files: tuple[str, ...] = ("train_transaction.csv", "train_identity.csv")
+    later_files: tuple[str, ...] = ("test_transaction.csv", "test_identity.csv")
     period_ends: tuple[float, ...] = (0.5, 0.6, 0.7, 1.0)
     development_blocks: int = 5
     batch_seconds: int = 604_800
@@ -39,7 +40,7 @@ class Settings:
         ends = self.period_ends
         checks = {
             "period_ends must be four increasing shares, the last of them 1": len(ends) == 4 and 0 < ends[0] < ends[1] < ends[2] < ends[3] == 1,
-            "expected_files must be the training tables, with or without the two later ones": len(self.expected_files) in (2, 4),
+            "expected_files and later_files must be two tables each": len(self.expected_files) == len(self.later_files) == 2,
             "development_blocks must be at least 3": self.development_blocks >= 3,
             "batch_seconds must be positive": self.batch_seconds > 0,
             "label_delay must not be negative": self.label_delay >= 0,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riskmon.config import Settings
 from riskmon.operators import bootstrap, features, lifecycle, metrics, models, performance, temporal, tuning
-from riskmon.sources import ingest, scratch
+from riskmon.sources import export, ingest, scratch
 
 
 def read_joined(spark: SparkSession, paths: list[str], s: Settings, labelled: bool) -> DataFrame:
@@ -31,14 +31,16 @@ def read_joined(spark: SparkSession, paths: list[str], s: Settings, labelled: bo
 def prepare(spark: SparkSession, source: str, target: str, settings: Settings | None = None) -> dict:
     """CSV transactions and identities to validated Parquet tables, labelled and later ones, and the manifest, which is returned.
 
-    With four expected files the last two are later, unlabelled rows: they must all follow the labelled ones and
-    are dealt into shadow batches. The labelled table is partitioned by period. The manifest is written last.
+    Later, unlabelled rows are taken where one of their files exists, and then both must: they must all follow the
+    labelled ones and are dealt into shadow batches. The labelled table is partitioned by period. The manifest is written last.
     """
     s = settings or Settings()
-    paths = ingest.required_files(spark, source, s.expected_files)
+    more = any(export.present(spark, f"{source.rstrip('/')}/{name}") for name in s.later_files)
+    names = s.expected_files + (s.later_files if more else ())
+    paths = ingest.required_files(spark, source, names)
     train = read_joined(spark, paths[:2], s, labelled=True)
     bounds = temporal.time_bounds(train, s.time_column)
-    later = read_joined(spark, paths[2:], s, labelled=False) if len(paths) == 4 else None
+    later = read_joined(spark, paths[2:], s, labelled=False) if more else None
     if later is not None:
         shadow = temporal.time_bounds(later, s.time_column)
         temporal.check_shadow_follows(bounds, shadow)
@@ -48,7 +50,7 @@ def prepare(spark: SparkSession, source: str, target: str, settings: Settings |
     parted.write.mode("overwrite").option("compression", "zstd").partitionBy("dataset_period").parquet(f"{target}/train.parquet")
     manifest = {
         "manifest_version": 1, "created_at_utc": datetime.now(UTC).isoformat(), "project": s.name,
-        "source_files": {name: ingest.fingerprint(spark, path) for name, path in zip(s.expected_files, paths)},
+        "source_files": {name: ingest.fingerprint(spark, path) for name, path in zip(names, paths)},
         "train": ingest.table_profile(spark.read.parquet(f"{target}/train.parquet"), s.time_column, s.label_column, "dataset_period"),
         "temporal_boundaries": {"least": bounds.least, "most": bounds.most, "cutoffs": [bounds.cutoff(i) for i in range(3)]},
         "development_folds": [{"name": name, "train_blocks": list(range(1, last + 1)), "validation_block": valid} for name, last, valid in temporal.expanding_folds(s.development_blocks)],

@@ -145,7 +145,7 @@ def test_commands_from_files_to_a_trial(spark, tmp_path, capsys):
     chosen = ["--config", f"{tmp_path}/s.json"]
     assert cli.main(["prepare", *chosen, str(tmp_path), f"{tmp_path}/out"]) == 0
     made = ingest.read_manifest(spark, f"{tmp_path}/out/manifest")
-    assert set(made["source_files"]) == set(config.Settings().expected_files) and made["source_files"]["train_transaction.csv"]["lines"] == 2001
+    assert set(made["source_files"]) == {*config.Settings().expected_files, *config.Settings().later_files} and made["source_files"]["train_transaction.csv"]["lines"] == 2001
     assert made["train"]["rows"] == sum(made["train"]["period_rows"].values()) == 2000 and made["train"]["identity_coverage"] == 0.25
     assert (made["train"]["minimum_time"], made["train"]["maximum_time"]) == (0, 1999 * 8000) and made["train"]["schema"]["C1"] == made["train"]["schema"]["id_01"] == "double"
     assert made["train"]["missing_fraction"]["C1"] == pytest.approx(667 / 2000) and made["test"]["rows"] == 200 and "prevalence" not in made["test"]
@@ -181,12 +181,14 @@ def test_refused_preparation(spark, tmp_path):
     Path(tmp_path, "a.csv").write_text("TransactionID,isFraud,TransactionDT,TransactionAmt\n" + "\n".join(f"{i},{i % 2},{i * 9},1" for i in range(40)))
     Path(tmp_path, "b.csv").write_text("TransactionID,id-12\n1,x\n")
     Path(tmp_path, "c.csv").write_text("TransactionID,TransactionDT,TransactionAmt\n100,351,1\n101,400,1\n")
-    four = config.Settings(expected_files=("a.csv", "b.csv", "c.csv", "b.csv"), batch_seconds=9)
+    names = {"expected_files": ("a.csv", "b.csv"), "batch_seconds": 9}
     with pytest.raises(ValueError, match="strictly after"):
-        preparation.prepare(spark, str(tmp_path), f"{tmp_path}/out", four)
+        preparation.prepare(spark, str(tmp_path), f"{tmp_path}/out", config.Settings(later_files=("c.csv", "b.csv"), **names))
+    with pytest.raises(FileNotFoundError):
+        preparation.prepare(spark, str(tmp_path), f"{tmp_path}/out", config.Settings(later_files=("c.csv", "absent.csv"), **names))
     with pytest.raises(FileNotFoundError):
         ingest.read_manifest(spark, f"{tmp_path}/out/manifest")
-    two = preparation.prepare(spark, str(tmp_path), f"{tmp_path}/out", config.Settings(expected_files=("a.csv", "b.csv"), batch_seconds=9))
+    two = preparation.prepare(spark, str(tmp_path), f"{tmp_path}/out", config.Settings(**names))
     assert "test" not in two and two["outputs"] == {"train": "train.parquet"}
     lines = Path(tmp_path, "a.csv").read_text().splitlines()
     Path(tmp_path, "d.csv").write_text("\n".join([lines[0], *reversed(lines[1:])]))
