@@ -101,9 +101,14 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], most: int =
 
     The `most` keys of the most rows are joined by broadcast, all others, of which
     none has more than 1 / `most` of the rows, by shuffle. So no task gathers the
-    rows of a hot key, and what is broadcast is bounded at any size.
+    rows of a hot key, and what is broadcast is bounded at any size. A table of fewer
+    than `most` keys needs no second join.
     """
-    hot = table.orderBy(F.desc("n"), *keys).limit(most)
+    # Taken once, as a local table of bounded size: every plan that broadcasts it would sort the whole table again.
+    taken = table.orderBy(F.desc("n"), *keys).limit(most).toArrow()
+    hot = table.sparkSession.createDataFrame(taken, table.schema)
+    if taken.num_rows < most:
+        return rows.join(F.broadcast(hot), keys)
     known = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("__hot"))), keys, "left")
     rest = known.where("__hot is null").select(*rows.columns).join(table, keys)
     return rest.unionByName(rows.join(F.broadcast(hot), keys))

@@ -147,16 +147,24 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return placed.select("a", "part", "b", "text").mapInArrow(alike, "a long, b long")
 
 
+def stars(edges: DataFrame) -> bool:
+    """Whether every upper end hangs on one lower end that hangs on none, so that the lower ends are the smallest ids of their components."""
+    ends = edges.select(F.col("hi").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("lo").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    counted = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return counted.where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over the links (a, b), by alternating stars.
 
     Each round moves neighbours to the smallest neighbour of their centre, first
     from below and then from above, until every node hangs on its component's
     smallest id; the number of rounds grows with the logarithm of the longest path.
+    The links are checked for that before each round, so no round only confirms.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct(), "cc")
-    before = None
-    while True:
+    while not stars(edges):
         both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = F.min("lo").alias("m"), F.count(F.lit(1)).alias("n")
         centre = materialize(both.groupBy("hi").agg(*least).withColumn("m", F.least("m", "hi")), "cc")
@@ -168,10 +176,6 @@ def components(links: DataFrame) -> DataFrame:
         edges, old = materialize(small.where("hi <> lo").distinct(), "cc"), edges
         for done in (old, centre, large, lower):
             discard(done)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
 
 

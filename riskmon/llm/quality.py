@@ -132,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> R
     rules = sorted(set().union(*[paths(tree.toDebugString) for tree in grown.trees]))
     if not rules:
         rules = [((0, ">", 0.0),)]
-    held = train.select("label", F.array(*[rule_column(r) for r in rules]).alias("x"))
+    # Stored, since the lasso runs over a hundred jobs, and each one's task would carry the plan of all rules.
+    held = materialize(train.select("label", F.array(*[rule_column(r) for r in rules]).alias("x")), "quality-rules").coalesce(4)
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=PENALTY, standardization=False, maxIter=60)
     model = lasso.fit(held.select("label", array_to_vector("x").alias("features")))
     weights = model.coefficients.toArray()
