@@ -166,6 +166,11 @@ def fit_folds(df: DataFrame, folds: dict[str, Column], categorical: list[str], n
             own = counts.where((F.col("fold") == r["fold"]) & (F.col("column") == c))
             value, share = F.coalesce("value", F.lit(MISSING)).alias("value"), (F.sum("n") / r["rows"]).alias("frequency")
             one.frequencies[c] = own.groupBy(value).agg(F.sum("n").alias("n"), share)
+    for one in fitted.values():
+        # As the columns were given, in whatever order the counts came.
+        one.dropped = [c for c in (*categorical, *numeric) if c in one.dropped]
+        one.levels = {c: one.levels[c] for c in categorical if c in one.levels}
+        one.frequencies = {c: one.frequencies[c] for c in categorical if c in one.frequencies}
     return fitted
 
 

@@ -693,19 +693,21 @@ def attribution_drivers(spark: SparkSession, d: str) -> DataFrame:
     return rounded(diagnosis.rank_drivers(drift_records(spark, d), attribution_change(spark, d), ["batch"]))
 
 
-def trial(spark: SparkSession, d: str) -> lifecycle.Trial:
-    made = engineered(spark, d)
-    return lifecycle.evaluate_challenger(made, lifecycle.train_champion(made, MODEL_CATEGORIES), MODEL_CATEGORIES, ["product", "region"])
+def contest(spark: SparkSession, d: str) -> tuple[DataFrame, lifecycle.Bundle, list[str], list[str]]:
+    """What a challenger's trial is given: the rows with all features, stored once, the champion, and the columns of inputs and segments."""
+    rows = labelled(spark, d).select("t", "amount", *MODEL_CATEGORIES, "label", "dataset_period", "production_batch")
+    made = lifecycle.engineer(rows, MODEL_CATEGORIES, keep=lambda table: scratch.stored(table, "engineered"))
+    return made, lifecycle.train_champion(made, MODEL_CATEGORIES), MODEL_CATEGORIES, ["product", "region"]
 
 
 def challenger_trial(spark: SparkSession, d: str) -> DataFrame:
     """One row: windows, thresholds, differences with bounds and the decision about a challenger."""
-    return rounded(trial(spark, d).summary)
+    return rounded(lifecycle.evaluate_challenger(*contest(spark, d)).summary)
 
 
 def challenger_segments(spark: SparkSession, d: str) -> DataFrame:
     """Recall differences of the challenger in every segment with enough positives."""
-    return rounded(trial(spark, d).segments)
+    return rounded(lifecycle.train_challenger(*contest(spark, d)).segments)
 
 
 # A fitted model decides the rows of these, so they have no SQL.
